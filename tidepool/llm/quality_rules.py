@@ -92,20 +92,17 @@ def repeated_positions(words: Column, width: int = 3) -> Column:
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the measurements of each row."""
     src = named(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    solid = lambda s: F.translate(s, " \t\n\x0b\f\r", "")
     words = F.filter(F.split("t", SPACE), lambda w: w != "")
-    lines = F.filter(F.split("t", "\n"), lambda x: solid(x) != "")
+    lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     size = lambda a: F.size(a).cast("long")
-    chars = F.char_length(solid(F.col("t"))).cast("long")
     return src.select(
         "doc_id",
-        held(words, lambda w: F.struct(size(w).alias("n_words"), repeated_positions(w).alias("n_repeat_words"))).alias("w"),
+        held(words, lambda w: F.struct(size(w).alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_positions(w).alias("n_repeat_words"))).alias("w"),
         held(lines, lambda x: F.struct(size(x).alias("n_lines"), (size(x) - size(F.array_distinct(x))).alias("n_dup_lines"))).alias("l"),
-        chars.alias("word_chars"),
-        (F.char_length("t") - F.char_length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.char_length("t") - F.char_length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.char_length(F.regexp_replace("t", r"[\P{L}]+", ""))).cast("long").alias("n_letters"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>](?![^\x20\x09-\x0D])")).cast("long").alias("n_word_symbols"),
-    ).select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_letters", "n_word_symbols")
+    ).select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_letters", "n_word_symbols")
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
