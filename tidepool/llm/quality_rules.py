@@ -10,7 +10,7 @@ Repeats are found by sorting each document's 64-bit word-window hashes, so that
 row leaves its task: nothing is shuffled, whatever the lengths of texts are.
 
 Cases: null and empty texts have no words and fail ``few_words``; equal rows give
-equal rows; an empty table gives none; extra columns are ignored.
+equal rows; n_letters counts what is neither an ASCII digit nor ASCII punctuation; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ def repeated_positions(words: Column, width: int = 3) -> Column:
     hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.cast("int").alias("i")))
 
     def places(s: Column) -> Column:
-        return F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
+        twins = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+        return F.sort_array(F.array_distinct(F.flatten(F.array_compact(twins))))
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width)))), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -100,9 +101,9 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         held(words, lambda w: F.struct(size(w).alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_positions(w).alias("n_repeat_words"))).alias("w"),
         held(lines, lambda x: F.struct(size(x).alias("n_lines"), (size(x) - size(F.array_distinct(x))).alias("n_dup_lines"))).alias("l"),
         (F.char_length("t") - F.char_length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        (F.char_length(F.regexp_replace("t", r"[\P{L}]+", ""))).cast("long").alias("n_letters"),
+        (F.char_length("t") - F.char_length(F.regexp_replace("t", r"[!-@\[-`{-~]+", ""))).cast("long").alias("n_marks"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>](?![^\x20\x09-\x0D])")).cast("long").alias("n_word_symbols"),
-    ).select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_letters", "n_word_symbols")
+    ).select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", (F.col("w.word_chars") - F.col("n_marks")).alias("n_letters"), "n_word_symbols")
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

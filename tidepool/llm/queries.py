@@ -59,7 +59,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
-        length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters,
+        length(regexp_replace(t, '[\x20\x09-\x0D!-@\[-`{-~]+', '', 'g')) AS n_letters,
         len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) AS n_ws
       FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
 f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT)
