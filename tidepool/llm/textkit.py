@@ -106,3 +106,31 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def pack_texts(df, column: str = "t"):
+    """``df`` with its text column as zstd bytes (nulls stay null), for shuffles that carry whole texts."""
+    import zstandard
+    from pyspark.sql import functions as F
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            rows = [None if x is None else z.compress(x) for x in pc.cast(batch.column(at), pa.binary()).to_pylist()]
+            yield batch.set_column(at, pa.field(column, pa.binary()), pa.array(rows, pa.binary()))
+
+    schema = df.withColumn(column, F.lit(None).cast("binary")).schema
+    return df.mapInArrow(run, schema)
+
+
+def unpacked(batch: pa.RecordBatch, column: str, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with the packed column as text again."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    at = batch.schema.get_field_index(column)
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        raw = [None if x is None else z.decompress(x) for x in part.column(at).to_pylist()]
+        yield part.set_column(at, pa.field(column, pa.large_string()), pa.array(raw, pa.large_binary()).cast(pa.large_string()))
