@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, pieces, quality_rules, suffix_dedup, toxicity, url_filter, vector_lsh, warc
+from . import jaccard_join, line_templates, packing, pieces, quality_rules, suffix_dedup, toxicity, url_filter, vector_lsh, warc
 from .shared import table
 
 
@@ -49,6 +49,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.drop_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
+    "op6_line_templates": op6_line_templates,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_vector_lsh": op8_vector_lsh,
     "op9_pieces": op9_pieces,

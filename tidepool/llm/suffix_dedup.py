@@ -16,8 +16,9 @@ neighbours) are instead dealt window by window, by hashes of all their bytes, wh
 reduces to first occurrences before it shuffles.
 
 Cases: null texts are empty; texts shorter than ``least`` keep all bytes; ids are taken as
-unique: rows of one id with equal texts are one document and give equal rows; a null id
-comes before all others; an empty table gives no rows; extra columns are ignored.
+unique: rows of one id with equal texts are one document and give equal rows; rows with a
+null id keep all bytes and mark none; an empty table gives no rows; columns named in ``carry``
+are handed on, others ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ LEAST, ANCHOR = 100, 16
 MOST_RUNS = 4096
 #: Bytes of runs under one transform.
 BLOCK_BYTES = 1 << 20
-NULL_ID = -(1 << 63)
 #: Between runs in a block; no byte of UTF-8.
 GAP = 0xFF
 
@@ -298,11 +298,29 @@ def spans_of(intervals: list, n: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def dedup(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, spans (array of lo, hi: the marked bytes' maximal runs), kept (the other bytes) of every row."""
-    src = named(docs, doc=doc_id, t=text).select(F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID)).alias("doc"), "t")
-    found = repeats(src, least).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).select(F.col("doc").alias("d2"), "marks")
-    both = pack_texts(src).join(found, F.expr("doc = d2"), "left").select("doc", "t", "marks")
+def whole_chars(spans: list[tuple[int, int]], data: bytes) -> list[tuple[int, int]]:
+    """Spans less the parts of characters at their edges."""
+    inner = lambda k: k < len(data) and data[k] & 0xC0 == 0x80
+    out = []
+    for lo, hi in spans:
+        while lo < hi and inner(lo):
+            lo += 1
+        while hi > lo and inner(hi):
+            hi -= 1
+        if lo < hi:
+            out.append((lo, hi))
+    return out
+
+
+def dedup(docs: DataFrame, least: int = LEAST, chars: bool = False, carry: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, spans (array of lo, hi: the marked bytes' maximal runs), kept (the other bytes), rest (``carry``) of every row.
+
+    With ``chars``, spans leave characters whole, so that what is kept is UTF-8.
+    """
+    src = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc"), docs[f"`{text}`"].alias("t"), F.struct(F.lit(0).alias("_"), *[docs[f"`{c}`"] for c in carry]).alias("rest"))
+    known = src.where("doc is not null").select("doc", "t")
+    found = repeats(known, least).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).select(F.col("doc").alias("d2"), "marks")
+    both = pack_texts(src).join(found, F.expr("doc = d2"), "left").select("doc", "t", "marks", "rest")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,11 +329,16 @@ def dedup(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str
                 for text, marks in zip(part.column("t").to_pylist(), part.column("marks").to_pylist(), strict=True):
                     data = (text or "").encode()
                     own = spans_of(marks, len(data))
+                    if chars:
+                        own = whole_chars(own, data)
                     at = [0, *(x for s in own for x in s), len(data)]
                     sizes.append(len(data))
                     spans.append([{"lo": a, "hi": b} for a, b in own])
                     kept.append(b"".join(data[a:b] for a, b in zip(at[::2], at[1::2], strict=True)))
-                ids = pa.array([None if x == NULL_ID else x for x in part.column("doc").to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary()), part.column("rest")], ["doc_id", "n_bytes", "spans", "kept", "rest"])
+
+    from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-    return both.mapInArrow(take, "doc_id long, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    span = StructType([StructField("lo", LongType()), StructField("hi", LongType())])
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("spans", ArrayType(span)), StructField("kept", BinaryType()), StructField("rest", src.schema["rest"].dataType)])
+    return both.mapInArrow(take, schema)

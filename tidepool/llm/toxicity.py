@@ -137,16 +137,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0], rate)
 
 
-def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score of each row."""
+def with_score(docs: DataFrame, model: Model | None, text: str = "text", column: str = "score") -> DataFrame:
+    """``docs`` with the score of each row as one more column, whose name must be free."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = model.compressors() if model else None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = curve(np.array([evidence(t, *pair) for t in texts(part, "t")]), model.weights) if model else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
+                got = curve(np.array([evidence(t, *pair) for t in texts(part, text)]), model.weights) if model else np.zeros(part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, column])
+
+    return docs.mapInArrow(run, docs.withColumn(column, F.lit(0.0)).schema)
 
-    src = named(docs, doc_id=doc_id, t=text)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
+
+def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, score of each row."""
+    return with_score(named(docs, doc_id=doc_id, t=text), model, "t").select("doc_id", "score")
