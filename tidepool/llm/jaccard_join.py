@@ -8,11 +8,13 @@ sets of the same size band differ by at most D tokens; with K > D blocks some bl
 agrees (pigeonhole), and documents meet by (band, block, word).  Bands are a threshold's
 ratio wide, so a document also enters the next band.
 
-Meeting pairs are not all listed.  In each meeting place one hub, the document that shares
-most, is verified exactly against the rest; components follow.  Only places where several
-components still meet are looked at again: there, pairs of different components whose
-whole sketches are near enough are verified as well.  Every link between components is
-thus found, and copies, which are one class before all this, are never paired.
+Meeting pairs are not all listed.  The places of a few blocks come first: each document there
+is compared with one hub and the few before it, by sketches, then exactly, and components
+follow.  Then all places are made, of one document per distinct set, and only those
+where several components meet go on, in the same way.  Places of few rows are settled by
+that; of the others, where components still meet, pairs of different components whose
+whole sketches are near enough are verified.  Every link between components is thus
+found, and copies, which are one class before all this, are never paired.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing; texts of
 fewer words than a shingle have one shingle, all their words; rows of one id count as one
@@ -28,14 +30,19 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .links import components, groups, in_blocks
 from .shared import named, stored
-from .textkit import mix, shingle_sets, text_slices
+from .textkit import mix, pack_texts, shingle_sets, text_slices, unpacked
 
 BLOCK = 2048
+#: Blocks of each band whose places are looked at before all others.
+SEEDS = 6
+#: Each row of a place meets so many rows before it, beside the hub.
+BEFORE = 3
 
 
 class Bands:
@@ -64,24 +71,26 @@ class Bands:
         return k + (1 + k // 12 if k > 1 else 0)
 
 
-def parity_words(tokens: np.ndarray, k: int) -> np.ndarray:
-    """The K parity words of a set."""
+def parity_words(tokens: np.ndarray, k: int, first: int | None = None) -> np.ndarray:
+    """The K parity words of a set, or the ``first`` ones of them."""
     block = (tokens >> np.uint64(32)) % np.uint64(k)
-    bit = np.uint64(1) << (tokens & np.uint64(63))
-    order = np.argsort(block, kind="stable")
-    block, bit = block[order].astype(np.int64), bit[order]
-    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    if first is not None and first < k:
+        tokens, block, k = tokens[block < first], block[block < first], first
     out = np.zeros(k, np.uint64)
-    out[block[first]] = np.bitwise_xor.reduceat(bit, first)
+    if len(tokens):
+        order = np.argsort(block.astype(np.uint16 if k < 1 << 16 else np.uint64), kind="stable")
+        block, bit = block[order].astype(np.int64), (np.uint64(1) << (tokens & np.uint64(63)))[order]
+        new = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        out[block[new]] = np.bitwise_xor.reduceat(bit, new)
     return out
 
 
-def place_keys(tokens: np.ndarray, bands: Bands, band: int) -> np.ndarray:
-    """Keys of the meeting places of a set of size up to top(band)."""
+def place_keys(tokens: np.ndarray, bands: Bands, band: int, first: int | None = None) -> np.ndarray:
+    """Keys of the meeting places of a set of size up to top(band); of the ``first`` blocks only, those with tokens."""
     k = bands.blocks(band)
-    words = parity_words(tokens, k)
-    at = np.arange(k)
-    if (words == 0).sum() < k - bands.differ(band):  # else some pair might agree on wordless blocks only
+    words = parity_words(tokens, k, first)
+    at = np.arange(len(words))
+    if first is not None or (words == 0).sum() < k - bands.differ(band):  # else some pair might agree on wordless blocks only
         at = at[words != 0]
     return mix(mix(words[at] + np.uint64(band)) ^ (at.astype(np.uint64) << np.uint64(20)) ^ np.uint64(band))
 
@@ -103,6 +112,25 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def meetings(spots: DataFrame, percent: int) -> DataFrame:
+    """Rows of places where parts meet. ``spots``: key, rep, size, part.
+
+    ``near``: which of the place's hub (its least id) and of the ``BEFORE`` rows before, by id, are of
+    another part and of a fitting size.  Places of few rows are settled by these: their key is null.
+    """
+    place = Window.partitionBy("key").orderBy("rep")
+    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct("rep", "size", "part")
+    known = spots.withColumns({"lo": F.min("part").over(whole), "hi": F.max("part").over(whole), "g": F.count(F.lit(1)).over(whole), "others": F.array(F.first(own).over(whole), *[F.lag(own, k).over(place) for k in range(1, BEFORE + 1)])})
+    fits = lambda x: (x["part"] != F.col("part")) & (x["rep"] != F.col("rep")) & (100 * F.least(x["size"], F.col("size")) >= percent * F.greatest(x["size"], F.col("size")))
+    near = F.array_distinct(F.transform(F.filter("others", fits), lambda x: x["rep"]))
+    return known.where("lo < hi").select(F.when(F.col("g") > BEFORE + 1, F.col("key")).alias("key"), "rep", "size", "part", near.alias("near"))
+
+
+def near_pairs(live: DataFrame) -> DataFrame:
+    return live.select(F.explode("near").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     src = named(docs, doc_id=doc_id, t=text).select(F.col("doc_id").cast("long").alias("doc_id"), "t")
@@ -113,53 +141,53 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
             for lo, hi, data, offsets in text_slices(batch, "t"):
                 own = shingle_sets(data, offsets, width)
                 n = np.array([len(x) for x in own], np.int64)
-                upper = bands.of(n) + 1
+                band = bands.of(n).tolist()
+                seeds = [np.concatenate([place_keys(x, bands, b, SEEDS), place_keys(x, bands, b + 1, SEEDS)]).view(np.int64) if len(x) else None for x, b in zip(own, band, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
                         pa.array(n),
                         pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in own], pa.binary()),
-                        pa.array([sketch(x, bands.differ(b)).tobytes() if len(x) else None for x, b in zip(own, upper.tolist(), strict=True)], pa.binary()),
+                        pa.array([sketch(x, bands.differ(b + 1)).tobytes() if len(x) else None for x, b in zip(own, band, strict=True)], pa.binary()),
+                        pa.array(seeds, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "digest", "sketch"],
+                    ["doc_id", "n", "digest", "sketch", "seeds"],
                 )
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch, "t"):
-                own = shingle_sets(data, offsets, width)
-                band = bands.of(np.array([len(x) for x in own], np.int64))
-                keys = [np.concatenate([place_keys(x, bands, b), place_keys(x, bands, b + 1)]) if len(x) else np.empty(0, np.uint64) for x, b in zip(own, band.tolist(), strict=True)]
-                count = [len(k) for k in keys]
-                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), count)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids], ["key", "id"])
-
-    sized = stored(src.mapInArrow(sets, "doc_id long, n long, digest binary, sketch binary"), "sets")
-    classes = sized.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, "set-classes")
-    member = sized.where("doc_id is not null and digest is not null").select("doc_id", "digest").join(classes.select(F.col("digest").alias("d2"), "rep", "n"), F.expr("digest = d2")).select("doc_id", "rep", F.col("n").alias("size"))
-
-    # Places that two rows share; then with classes for rows.
-    from pyspark.sql import Window
-
-    spots = src.where("doc_id is not null").mapInArrow(places, "key long, id long")
-    live = spots.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("g > 1").select("key", "id")
-    live = live.join(member, F.expr("id = doc_id")).groupBy("key", "rep").agg(F.max("size").alias("size"))
-    live = stored(live, "places")
-    shared = live.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select(F.col("key").alias("k2"), "g")
-    live = live.join(shared, F.expr("key = k2")).select("key", "rep", "size", "g")
-    weight = live.groupBy("rep").agg(F.sum("g").alias("weight")).select(F.col("rep").alias("r2"), "weight")
-    live = stored(live.join(weight, F.expr("rep = r2")).select("key", "rep", "size", "g", "weight"), "shared-places")
-
-    hubs = live.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("neg"), "size")).alias("h")).select(F.col("key").alias("k2"), F.negative("h.neg").alias("hub"), F.col("h.size").alias("hub_size"))
-    near = live.join(hubs, F.expr("key = k2")).where("hub != rep").where(f"100 * least(size, hub_size) >= {percent} * greatest(size, hub_size)")
-    star = verified(near.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), src, width, percent)
-    parts = components(star)
-
-    # What is left: places where several components meet.
-    at = live.join(parts, F.expr("rep = id"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("part"))
+            for packed in unpacked(batch, "t"):
+                for lo, hi, data, offsets in text_slices(packed, "t"):
+                    own = shingle_sets(data, offsets, width)
+                    band = bands.of(np.array([len(x) for x in own], np.int64))
+                    keys = [np.concatenate([place_keys(x, bands, b), place_keys(x, bands, b + 1)]) if len(x) else np.empty(0, np.uint64) for x, b in zip(own, band.tolist(), strict=True)]
+                    row = pa.array(np.repeat(np.arange(hi - lo), [len(k) for k in keys]))
+                    rest = [packed.column(c).slice(lo, hi - lo).take(row) for c in ("rep", "size", "part")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *rest], ["key", "rep", "size", "part"])
+
+    sized = stored(src.mapInArrow(sets, "doc_id long, n long, digest binary, sketch binary, seeds array<long>"), "sets")
+    judged = sized.where("doc_id is not null and digest is not null")
+    classes = stored(judged.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("seeds").alias("seeds")), "set-classes")
+    member = judged.select("doc_id", "digest").join(classes.select(F.col("digest").alias("d2"), "rep"), F.expr("digest = d2")).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps"))
+    member = stored(member.select(F.col("doc_id").alias("i2"), "rep", "reps"), "members")
+    same = member.where("size(reps) > 1").select(F.col("rep").alias("a"), F.explode("reps").alias("b")).where("a != b")  # of one id with several texts
+
+    # Seeds: the places of a few blocks find most of the large groups.
+    seeded = classes.select(F.explode("seeds").alias("key"), "rep", F.col("n").alias("size"), F.col("rep").alias("part"))
+    links = verified(near_pairs(meetings(seeded, percent)), classes, src, width, percent).unionByName(same)
+    parts = stored(components(links), "parts")
+
+    # All places, of which only those where components meet go on.
+    reps = classes.groupBy("rep").agg(F.max("n").alias("size")).join(parts, F.expr("rep = id"), "left").select("rep", "size", F.coalesce("component", "rep").alias("part"))
+    texts = pack_texts(src.where("doc_id is not null")).join(reps, F.expr("doc_id = rep")).select("rep", "size", "part", "t")
+    live = stored(meetings(texts.mapInArrow(places, "key long, rep long, size long, part long"), percent), "places")
+    links = stored(links.unionByName(verified(near_pairs(live), classes, src, width, percent)), "links-so-far")
+    parts = stored(components(links), "parts")
+
+    # What is left: places of many rows where several components still meet.
+    at = live.where("key is not null").select("key", "rep", "size").join(parts, F.expr("rep = id"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("part"))
     mixed = at.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select(F.col("key").alias("k2"), "g")
-    rows = at.join(mixed, F.expr("key = k2")).join(classes.select(F.col("rep").alias("r2"), "sketch"), F.expr("rep = r2")).select("key", "rep", "size", "part", "sketch", "g")
+    rows = at.join(stored(mixed, "mixed"), F.expr("key = k2")).join(classes.select(F.col("rep").alias("r2"), "sketch"), F.expr("rep = r2")).select("key", "rep", "size", "part", "sketch", "g")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["key", "b1", "b2"]):
@@ -182,33 +210,48 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_a)), pa.array(np.concatenate(got_b))], ["a", "b"])
 
     more = in_blocks(rows, ["key"], "rep", "g", BLOCK).mapInArrow(candidates, "a long, b long").distinct()
-    links = star.unionByName(verified(more, src, width, percent))
-    parts = components(links).select("id", "component")
-    whole = sized.join(member.select(F.col("doc_id").alias("i2"), "rep").groupBy("i2").agg(F.min("rep").alias("rep")), F.expr("doc_id = i2"), "left").join(parts, F.expr("rep = id"), "left")
+    parts = components(links.unionByName(verified(more, classes, src, width, percent)))
+    whole = sized.select("doc_id", "n").join(member.select("i2", "rep"), F.expr("doc_id = i2"), "left").join(parts, F.expr("rep = id"), "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def verified(pairs: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs a, b those whose sets are similar; texts of documents in no pair go no further than one shuffle."""
-    pairs = stored(pairs, "pairs")
+def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs a, b those whose sets are similar.
+
+    Sketches decide first; texts of documents in no pair that is left go no further than one shuffle.
+    """
+    most = (1 - percent / 100) / (1 + percent / 100)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * most + 1e-6
+            ok = []
+            for x, y, far in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), sizes.tolist(), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                w = min(len(x), len(y))
+                ok.append(int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()) <= far)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda x: classes.select(F.col("rep").alias(f"i{x}"), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    sketched = pairs.join(of("a"), F.expr("a = ia")).join(of("b"), F.expr("b = ib")).select("a", "b", "sa", "sb", "na", "nb")
+    pairs = stored(sketched.mapInArrow(close, "a long, b long").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    some = stored(src.join(wanted, F.expr("doc_id = w"), "left_semi"), "pair-texts")
+    some = stored(pack_texts(src).join(wanted, F.expr("doc_id = w"), "left_semi"), "pair-texts")
     ta, tb = some.select(F.col("doc_id").alias("ia"), F.col("t").alias("ta")), some.select(F.col("doc_id").alias("ib"), F.col("t").alias("tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for batch in batches:
             ok = []
-            for lo, hi, data, offsets in text_slices(batch, "tb"):
-                theirs = shingle_sets(data, offsets, width)
-                hub_ids = batch.column("a").slice(lo, hi - lo).to_pylist()
-                hub_texts = batch.column("ta")
-                for k, (a, b) in enumerate(zip(hub_ids, theirs, strict=True)):
-                    text = hub_texts[lo + k].as_py()
-                    if (a, text) != last:
-                        last, raw = (a, text), np.frombuffer((text or "").encode(), np.uint8)
-                        own = shingle_sets(raw, np.array([0, len(raw)]), width)[0]
-                    ok.append(similar(own, b, percent))
+            for part in unpacked(batch, "tb"):
+                for lo, hi, data, offsets in text_slices(part, "tb"):
+                    theirs = shingle_sets(data, offsets, width)
+                    hubs = zip(*(part.column(c).slice(lo, hi - lo).to_pylist() for c in ("a", "ta")), strict=True)
+                    for hub, b in zip(hubs, theirs, strict=True):
+                        if hub != last:
+                            raw = np.frombuffer(zstandard.decompress(hub[1]) if hub[1] else b"", np.uint8)
+                            last, own = hub, shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+                        ok.append(similar(own, b, percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(tb, F.expr("b = ib")).join(ta, F.expr("a = ia")).select("a", "b", "ta", "tb")

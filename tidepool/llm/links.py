@@ -18,16 +18,16 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars: every id's larger, then smaller, neighbours are
     hung on its least neighbour, until nothing changes. Neighbours are reduced to their
     minimum before each shuffle; a hub's share of the joins is left to skew handling.
-    Each round's links are checkpointed, so lineage stays short.
+    Each step is checkpointed, so lineage stays short, and a join's sides are shuffled for it alone, which lets Spark split a hub.
     """
     links = cut(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
         large = both.join(least, F.expr("u = w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        large = cut(large.distinct())
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"))
         small = large.join(down, F.expr("u = w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         links = cut(small.where("u != v").distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
