@@ -33,8 +33,8 @@ from .shared import named
 from .textkit import texts
 
 SAMPLE, SAMPLE_CHARS = 3000, 8000
-#: Bytes of a window and from one to the next; sizes of the dictionaries' parts.
-WINDOW, STRIDE = 40, 24
+#: Words of a window and from one to the next; from how many bytes saved a window counts; sizes of the dictionaries' parts.
+WINDOW, STRIDE, MARGIN = 5, 4, 3
 HEAD, BASE = 4096, 12288
 WORD = re.compile(r"\w+")
 
@@ -51,26 +51,27 @@ class Model:
 
 
 def windows(text: str) -> Iterator[bytes]:
-    data = text.lower().encode()
-    for k in range(0, max(len(data) - WINDOW + STRIDE, 1), STRIDE):
-        yield data[k : k + WINDOW]
+    """Lower-cased words without punctuation, ``WINDOW`` at a time, so that none is cut; one empty window without words."""
+    words = WORD.findall(text.lower())
+    for k in range(0, max(len(words) - WINDOW + STRIDE, 1), STRIDE):
+        yield f" {' '.join(words[k : k + WINDOW])} ".encode()
 
 
 def evidence(text: str, toxic, ordinary) -> tuple[float, float, float]:
-    """(bytes saved by the toxic dictionary in the best window, log of the sum over windows that save any, of windows)."""
+    """(bytes saved by the toxic dictionary in the best window, log of the sum over windows that save ``MARGIN`` or more, of windows)."""
     best, total, n = 0, 0, 0
     for w in windows(text):
         d = len(ordinary.compress(w)) - len(toxic.compress(w))
         n += 1
-        if d > 1:
+        best = max(best, d)
+        if d >= MARGIN:
             total += d
-            best = max(best, d)
     return float(best), math.log1p(total), math.log1p(n)
 
 
 def curve(x: np.ndarray, weights) -> np.ndarray:
-    """Weights: of best, of total, of total against windows, and a constant."""
-    z = x[:, 0] * weights[0] + x[:, 1] * weights[1] + np.maximum(x[:, 1] - x[:, 2], 0) * weights[2] + weights[3]
+    """Weights: of best, of total, of windows, and a constant."""
+    z = x[:, :3] @ np.array(weights[:3]) + weights[3]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -109,7 +110,7 @@ def fit(toxic: list[str], ordinary: list[str], rate: float = 0.1) -> Model | Non
     x = np.array([evidence(t, *pair) for t in third(toxic, 0) + third(ordinary, 0)])
     y = np.array([1.0] * len(third(toxic, 0)) + [0.0] * len(third(ordinary, 0)))
     weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))  # the sample is of equal shares
-    design = np.stack([x[:, 0], x[:, 1], np.maximum(x[:, 1] - x[:, 2], 0), np.ones(len(x))], 1)
+    design = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(4)
     for _ in range(30):  # Newton's steps with a small ridge
         p = curve(x, w)
