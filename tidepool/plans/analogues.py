@@ -61,24 +61,25 @@ def shot_features(spark, sf_dir):
     return shifted(spark, sf_dir).select("vec_id", "i", r6(r).alias("r_norm"), r6(theta).alias("theta_deg"))
 
 
-def kept_pairs() -> Column:
-    flat = F.transform("embedding", lambda v: F.round(v.cast("double"), 4))
-    return F.slice(shots.pairs(flat), 1, F.col("vec_id") % 13)
+def kept_pairs(spark, sf_dir) -> DataFrame:
+    """vec_id, p: the first ``vec_id % 13`` pairs. Each array is a column of its own, so that it is made once."""
+    e = t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("flat"))
+    return e.select("vec_id", F.slice(shots.pairs(F.col("flat")), 1, F.col("vec_id") % 13).alias("p"))
 
 
 @query("""
 SELECT vec_id, i, CASE WHEN i // 2 < least(vec_id % 13, 10) THEN round(CAST(embedding[i + 1] AS DOUBLE), 4) ELSE -100.0 END AS v
 FROM embeddings, (SELECT unnest(range(20)) AS i)""")
 def padded_tensor(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.posexplode(shots.padded(kept_pairs())).alias("i", "v"))
+    return kept_pairs(spark, sf_dir).select("vec_id", F.posexplode(shots.padded(F.col("p"))).alias("i", "v"))
 
 
 @query("""
 SELECT vec_id, CAST(least(vec_id % 13, 10) AS INT) AS n, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE round(CAST(embedding[2 * least(vec_id % 13, 10)] AS DOUBLE), 4) END AS last_theta FROM embeddings""")
 def unpad_tensor(spark, sf_dir):
-    back = shots.without_misses(shots.pairs(shots.padded(kept_pairs())))
-    return t(spark, sf_dir, "embeddings").select("vec_id", F.size(back).alias("n"), F.get(F.get(back, F.size(back) - 1), F.lit(1)).alias("last_theta"))
+    flat = kept_pairs(spark, sf_dir).select("vec_id", shots.padded(F.col("p")).alias("flat"))
+    back = flat.select("vec_id", shots.without_misses(shots.pairs(F.col("flat"))).alias("back"))
+    return back.select("vec_id", F.size("back").alias("n"), F.get(F.get("back", F.size("back") - 1), F.lit(1)).alias("last_theta"))
 
 
 HISTORY = """
