@@ -1,7 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, window by window.
 
-Both dictionaries end in the same base of ordinary text and differ in their heads: one
-holds passages trained from toxic documents, the other as many bytes of ordinary ones.
+Both dictionaries begin with the same base of ordinary text and differ in their ends, which
+the compressor prefers: one holds passages of toxic documents (words, stems, phrases),
+ranked by how many more toxic texts than ordinary ones hold them, the other as many bytes
+of ordinary text.  zstandard's own trainer takes what is frequent, not what is telling.
 A window that the toxic dictionary shortens more than the ordinary one is evidence; a
 document's evidence is calibrated to a score by a logistic curve, fitted on labelled
 documents that the dictionaries have not seen.
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import named
-from .textkit import texts
+from .textkit import mix, texts, window_hashes
 
 SAMPLE, SAMPLE_CHARS = 3000, 8000
 #: Words of a window and from one to the next; from how many bytes saved a window counts; sizes of the dictionaries' parts.
 WINDOW, STRIDE, MARGIN = 5, 4, 3
 HEAD, BASE = 4096, 12288
+#: Bytes of the passages compared, and of their surroundings; chance that one of a sample's passages is kept wrongly; passages kept where none passes.
+WIDTHS, AROUND, CHANCE, FEW = (5, 7, 10, 16, 24), 8, 0.01, 16
 WORD = re.compile(r"\w+")
 
 
@@ -75,22 +78,68 @@ def curve(x: np.ndarray, weights) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def contexts(rows: list[str]) -> Counter:
-    """For each word, between how many pairs of neighbours it stands: copies of one text count once."""
-    seen: dict[str, set] = {}
-    for t in rows:
-        w = WORD.findall(t.lower())
-        for a, b, c in zip(["", *w], w, [*w[1:], ""], strict=False):
-            seen.setdefault(b, set()).add((a, c))
-    return Counter({w: len(s) for w, s in seen.items()})
-
-
-def contrast(own: list[str], other: list[str]) -> list[str]:
-    """Words of ``own`` by their excess over ``other``; those that chance does not explain, most telling first."""
-    a, b = contexts(own), contexts(other)
-    all_a, all_b = sum(a.values()), sum(b.values())
-    score = {w: n * math.log((n / all_a) / ((b[w] + 0.5) / all_b)) for w, n in a.items() if n >= 20 and n / all_a > 8 * b[w] / all_b}
-    return sorted((w for w, s in score.items() if s > 40), key=lambda w: (-score[w], w))
+def supports(rows: list[bytes], width: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hash of each passage of ``width`` bytes, in how many rows it stands, and where in the joined rows; these; the passages).
+
+    Between the same ``AROUND`` bytes on both sides a passage counts for the first row only, so that copies count once.
+    With ``only``, passages of these hashes; else those that occur once may be missing.
+    """
+    gap = bytes(AROUND)
+    data = np.frombuffer(gap + b"".join(r + gap for r in rows), np.uint8)
+    zeros = np.concatenate([[0], np.cumsum(data == 0)])
+    at = np.flatnonzero(zeros[width:] == zeros[:-width])
+    key = window_hashes(data, width)[at]
+    slot = (key >> np.uint64(40)).astype(np.int64)
+    if only is None:
+        sel = np.flatnonzero(np.bincount(slot, minlength=1 << 24)[slot] > 1)
+    else:
+        marked = np.zeros(1 << 24, bool)
+        marked[(only >> np.uint64(40)).astype(np.int64)] = True
+        sel = np.flatnonzero(marked[slot])
+        sel = sel[np.isin(key[sel], only)]
+    looked = len(at)
+    at, key = at[sel], key[sel]
+    wide = window_hashes(data, width + 2 * AROUND)[at - AROUND]
+    first = np.sort(np.unique(wide, return_index=True)[1])
+    at, key = at[first], key[first]
+    row = np.searchsorted(np.cumsum([AROUND] + [len(r) + AROUND for r in rows]), at, "right").astype(np.uint64)
+    first = np.unique(mix(key + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+    found, place, n = np.unique(key[first], return_index=True, return_counts=True)
+    return found, n, at[first][place], data, looked
+
+
+def contrast(own: list[str], other: list[str]) -> list[bytes]:
+    """Passages of ``own`` by their excess of rows over ``other``, those that save most first; none lies mostly in one before it.
+
+    Kept are passages that chance explains with less than ``CHANCE`` over all passages looked at (Poisson's bound,
+    so that the cut follows the sample), or, where there are none, the best ``FEW``.
+    """
+    own, other = ([f" {' '.join(WORD.findall(t.lower()))} ".encode().replace(b"\0", b" ") for t in x] for x in (own, other))
+    found, looked = [], 0
+    for width in WIDTHS:
+        key, n, place, data, more = supports(own, width)
+        looked += more
+        key, n, place = (x[n > 1] for x in (key, n, place))
+        seen, m, *_ = supports(other, width, key)
+        rest = np.zeros(len(key))
+        rest[np.searchsorted(key, seen)] = m
+        chance = len(own) * (rest + 0.5) / len(other)
+        score = np.where(n > chance, n * np.log(n / chance) - n + chance, 0.0)
+        for i in np.argsort(-score, kind="stable")[: HEAD]:
+            if score[i] > 0:
+                found.append((float(score[i]), data[place[i] : place[i] + width].tobytes()))
+    least = math.log(max(looked, 1) / CHANCE)
+    found.sort(key=lambda x: (-x[0] * (len(x[1]) - 3), x[1]))  # a match costs about 3 bytes
+    sure = [g for score, g in found if score >= least]
+    kept: list[bytes] = []
+    for g in sure or [g for _, g in found]:
+        half = len(g) // 2 + 1
+        if any(g[i : i + half] in k for k in kept for i in range(len(g) - half + 1)):
+            continue
+        if sum(map(len, kept)) + len(g) > HEAD or not sure and len(kept) == FEW:
+            break
+        kept.append(g)
+    return kept
 
 
 def fit(toxic: list[str], ordinary: list[str], rate: float = 0.1) -> Model | None:
@@ -101,11 +150,10 @@ def fit(toxic: list[str], ordinary: list[str], rate: float = 0.1) -> Model | Non
     own, other = third(toxic, 1), third(ordinary, 1)
     telling = contrast(own, other)
     base = "\n".join(t[:400] for t in other[: BASE // 200]).lower().encode()[:BASE]
-    samples = [f" {w} ".encode() for w in telling]
-    size = min(HEAD, max(64, sum(map(len, samples))))
-    toxic_head = b"".join(samples[::-1])[-size:].rjust(size, b" ")
+    toxic_head = b"".join(telling[::-1])
+    size = len(toxic_head)
     plain = " ".join(" ".join(WORD.findall(t.lower())[:40]) for t in other[::-1]).encode()[:size].rjust(size, b" ")
-    model = Model(toxic_head + base, plain + base, (0.0,) * 4)
+    model = Model(base + toxic_head, base + plain, (0.0,) * 4)  # of equal hashes the compressor keeps the last
     pair = model.compressors()
     x = np.array([evidence(t, *pair) for t in third(toxic, 0) + third(ordinary, 0)])
     y = np.array([1.0] * len(third(toxic, 0)) + [0.0] * len(third(ordinary, 0)))
