@@ -62,16 +62,17 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n) links between different hosts.
 
-    From absolute links of the html; and, as sites link to their own parent, from
-    each host to the host without its first label where pages of that host exist.
+    From absolute and protocol-relative links of the html; and, as sites of one domain
+    belong together, both ways between each host and the host without its first label,
+    whether or not that host has pages, unless it is a single label.
     ``pages``: host, html.
     """
-    href = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]*)"""), F.lit(1))
-    links = pages.where(F.contains(F.col("html"), F.lit("://"))).select(F.col("host").alias("src"), F.explode(href).alias("to")).select("src", host_of(F.col("to")).alias("dst"))
+    href = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""), F.lit(1))
+    links = pages.where(F.contains(F.col("html"), F.lit("//"))).select(F.col("host").alias("src"), F.explode(href).alias("to"))
+    links = links.select("src", host_of(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))).alias("dst"))
     links = links.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     hosts = pages.where("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    up = hosts.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst"), F.lit(1).cast("long").alias("n")).where("src != dst")
-    up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
+    up = hosts.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst"), F.lit(1).cast("long").alias("n")).where("src != dst and contains(dst, '.')")
     both = up.select("src", "dst", "n").unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
