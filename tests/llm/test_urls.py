@@ -1,8 +1,42 @@
 """Link graph and propagation against brute force."""
 
+import numpy as np
+
 from tests.conftest import SMALL
 from tidepool.llm import url_filter
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_judged_pages_against_page_rank(spark):
+    page = lambda host, *to: (f"http://{host}/x", "".join(f'<a href="{t}">' for t in to))
+    rows = [page("bad.org", "//c0.net/"), page("good.org", "http://c3.net/a")]
+    rows += [page(f"c{k}.net", f"http://c{k + 1}.net/") for k in range(13)] + [page("c13.net", "http://bad.org/")]
+    rows += [page("a.site.com"), page("b.site.com", "http://bad.org/")]  # site.com has no page
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], PAGES)
+    rules = [url_filter.Rule("block", "bad.org", "/"), url_filter.Rule("allow", "good.org", "/")]
+    edges = {(r.src, r.dst): r.n for r in url_filter.host_edges(pages.withColumn("host", url_filter.host_of(pages.url))).collect()}
+    assert ("a.site.com", "site.com") in edges and ("site.com", "b.site.com") in edges and ("bad.org", "c0.net") in edges
+    hosts = sorted({h for e in edges for h in e})
+    at = {h: i for i, h in enumerate(hosts)}
+
+    def walk(links, seed):
+        m = np.zeros((len(hosts), len(hosts)))
+        for (a, b), n in links.items():
+            m[at[b], at[a]] += n
+        m /= np.maximum(m.sum(0), 1)
+        start = np.eye(len(hosts))[at[seed]]
+        return np.linalg.solve(np.eye(len(hosts)) - 0.85 * m, 0.15 * start)
+
+    trust, distrust = walk(edges, "good.org"), walk({(b, a): n for (a, b), n in edges.items()}, "bad.org")
+    got = {r.host: r for r in url_filter.judge_urls(pages, rules).collect()}
+    assert len(got) == len(rows)
+    for h, r in got.items():
+        assert abs((r.trust or 0) - trust[at[h]]) < 1e-6 and abs((r.distrust or 0) - distrust[at[h]]) < 1e-6
+        if h not in ("bad.org", "good.org"):
+            assert r.verdict == ("block" if distrust[at[h]] > trust[at[h]] else "allow")
+    assert got["c0.net"].distrust > 0 and got["a.site.com"].verdict == "block"  # 14 links from its seed; through a host without pages
+
 
 def test_given_pages_have_edges(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")

@@ -14,6 +14,7 @@ extra columns of the input are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,11 +78,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 400) -> DataFrame:
     """Personalised PageRank for both walks at once.
 
     ``edges``: src, dst, n.  ``seeds``: host, trusted, blocked (weights).  Returns host,
-    trust, distrust, each walk's mass summing to at most 1.  A host's links are
+    trust, distrust, each walk's mass summing to at most 1.  Rounds go on until the ranks
+    change by ``tolerance`` in all; more than ``most`` rounds raise.  A host's links are
     summed before each shuffle; a hub's share of the join is split by skew handling.
     """
     walks = edges.select(F.lit("t").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -90,21 +92,29 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float =
     start = seeds.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), "host", F.col("trusted").cast("double").alias("v")), F.struct(F.lit("d").alias("kind"), "host", F.col("blocked").cast("double").alias("v")))).alias("s")).select("s.*").where("v > 0")
     mass = start.groupBy("kind").agg(F.sum("v").alias("m"))
     start = cut(start.join(F.broadcast(mass), "kind").select("kind", "host", (F.col("v") / F.col("m")).alias("v")))  # mass: two rows
-    rank = start
-    for k in range(rounds):
-        moved = rank.join(step, F.expr("kind = walk and host = src")).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("v") * F.col("w")).alias("v"))
-        rank = start.select("kind", "host", (F.lit(1 - damping) * F.col("v")).alias("v")).unionByName(moved).groupBy("kind", "host").agg(F.sum("v").alias("v"))
-        if k % 2 == 1:
-            rank = cut(rank)
+    # the ranks are sums over walks of each length: ``flow`` is the mass that still walks, of which 1 - damping stays each round
+    flow, parts, k = start, [], 0
+    while True:
+        parts.append(flow.select("kind", "host", (F.lit(1 - damping) * F.col("v")).alias("v")))
+        flow = cut(flow.join(step, F.expr("kind = walk and host = src")).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.lit(damping) * F.col("v") * F.col("w")).alias("v")))
+        k += 1
+        if k % 4 == 0:
+            parts = [cut(reduce(DataFrame.unionByName, parts).groupBy("kind", "host").agg(F.sum("v").alias("v")))]
+            left = flow.agg(F.sum("v")).first()[0] or 0.0  # all that later rounds can add
+            if left <= tolerance:
+                break
+            if k >= most:
+                raise RuntimeError(f"ranks still change by {left} after {most} rounds")
+    rank = parts[0]
     return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("v")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("v")).otherwise(0.0)).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 1.0, rounds: int = 8, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 1.0, tolerance: float = 1e-6, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     base = named(pages, page_id=page_id, url=url, html=html).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     judged = base.select("page_id", "host", "path", rule_for(F.col("host"), F.col("path"), rules).alias("r"))
     seeds = judged.where("host != '' and r is not null").groupBy("host").agg(F.count(F.when(F.col("r.verdict") == "allow", 1)).alias("trusted"), F.count(F.when(F.col("r.verdict") == "block", 1)).alias("blocked"))
-    ranks = spread(host_edges(base.select("host", "html")), cut(seeds), rounds)
+    ranks = spread(host_edges(base.select("host", "html")), cut(seeds), tolerance=tolerance)
     ranks = ranks.select(F.col("host").alias("of"), "trust", "distrust")
     by_host = F.when(F.col("distrust") > F.lit(threshold) * F.col("trust"), "block").otherwise("allow")
     return judged.join(ranks, F.expr("host = of"), "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), by_host).alias("verdict"), "trust", "distrust")
