@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that tune persistence)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast up to so many rows of a few numbers each (about 50 MB); beyond, both sides are shuffled.
+SMALL_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    """The folder named by spark.checkpoint.dir; where none is set, a temporary one under a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held.rsplit("/", 1)[0]
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidepool-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,7 +41,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def freed(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote; nothing that reads it may run any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_or_joined(rows: DataFrame, side: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` (a stored table of narrow rows), which is broadcast only if counted small."""
+    few = side.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return rows.join(F.broadcast(side) if few else side, on, how)
 
 
 def named(df: DataFrame, **columns: str) -> DataFrame:
