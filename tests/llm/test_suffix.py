@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tidepool.llm import suffix_dedup
@@ -9,28 +10,31 @@ from tidepool.llm import suffix_dedup
 DOCS = "doc_id long, text string"
 
 
-def by_hand(rows, least):
+def by_hand(rows, least, order=()):
+    """``order``: of texts of one id."""
+    order = {t: k for k, t in enumerate(order)}
     seen, out = {}, {}
-    for i, t in sorted({i: t for i, t in rows if i is not None}.items()):
+    for i, t in sorted({(i, t) for i, t in rows if i is not None}, key=lambda x: (x[0], order.get(x[1], 0))):
         data = (t or "").encode()
         mark = np.zeros(len(data), bool)
         for k in range(len(data) - least + 1):
-            if seen.setdefault(data[k : k + least], (i, k)) != (i, k):
+            if seen.setdefault(data[k : k + least], (i, t, k)) != (i, t, k):
                 mark[k : k + least] = True
         edge = np.flatnonzero(np.diff(np.r_[0, mark, 0].astype(int))).tolist()
-        out[i] = (len(data), list(zip(edge[::2], edge[1::2], strict=True)), np.frombuffer(data, np.uint8)[~mark].tobytes())
+        out[i, t] = (len(data), list(zip(edge[::2], edge[1::2], strict=True)), np.frombuffer(data, np.uint8)[~mark].tobytes())
     return out
 
 
 def check(df, rows, least=100):
-    got = suffix_dedup.dedup(df, least).collect()
-    want = by_hand(rows, least)
+    got = suffix_dedup.dedup(df.withColumn("whole", df.text), least, carry=("whole",)).collect()
+    order = [r.text for r in df.orderBy(F.xxhash64("text")).collect()]
+    want = by_hand(rows, least, order)
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
             assert not r.spans
         else:
-            assert (r.n_bytes, [tuple(x) for x in r.spans], bytes(r.kept)) == want[r.doc_id], r.doc_id
+            assert (r.n_bytes, [tuple(x) for x in r.spans], bytes(r.kept)) == want[r.doc_id, r.rest.whole], r.doc_id
 
 
 @pytest.mark.parametrize("most", [4096, 3])
@@ -45,7 +49,7 @@ def test_edge_cases(spark):
     rng = np.random.default_rng(2)
     word = lambda n: "".join(rng.choice(list("abcé "), n))
     shared = word(230)
-    rows = [(None, shared), (0, None), (1, ""), (2, "a" * 1000), (3, "ab" * 300), (4, "a" * 99), (5, "a" * 100), (6, shared[:150] + word(80) + shared[100:]), (7, word(50) + shared), (8, shared), (8, shared), (9, word(3000))]
+    rows = [(None, shared), (0, None), (1, ""), (2, "a" * 1000), (3, "ab" * 300), (4, "a" * 99), (5, "a" * 100), (6, shared[:150] + word(80) + shared[100:]), (7, word(50) + shared), (8, shared), (8, shared), (8, word(60) + shared[30:200] + word(50)), (8, None), (8, word(10) + shared), (9, word(3000))]
     for k in range(10, 60):
         rows.append((k, word(60) + shared[: 60 + k] + word(40)))
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as doc", "2 as t").repartition(6)

@@ -46,11 +46,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def freed(df: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote; nothing that reads it may run any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def freed(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote; nothing that reads them may run any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, longer by as many underscores as it takes to differ from all names in ``taken``."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
 
 
 def small_or_joined(rows: DataFrame, side: DataFrame, on: Column, how: str = "inner") -> DataFrame:

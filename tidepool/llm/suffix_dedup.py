@@ -11,13 +11,14 @@ are put together in blocks, and on the transform of a block breadth-first backwa
 parts the suffixes by common prefixes of 1, 2, 3 ... bytes.  At ``least`` it stops: suffixes not
 parted yet share that many bytes, and all but the first of each such class are marked.
 
-Names with more than ``MOST_RUNS`` different runs (one common line between ever other
-neighbours) are instead dealt window by window, by hashes of all their bytes, which Spark
-reduces to first occurrences before it shuffles.
-
-Cases: null texts are empty; texts shorter than ``least`` keep all bytes; ids are taken as
-unique: rows of one id with equal texts are one document and give equal rows; rows with a
-null id keep all bytes and mark none; an empty table gives no rows; columns named in ``carry``
+A name with more than ``MOST_RUNS`` different runs (one common line between ever other
+neighbours) fits no block.  It is dealt on by an anchor as wide as the window, that is, by the
+hash of all its bytes within the name, which Spark reduces to first occurrences before it shuffles; nothing is dropped.
+
+Cases: null texts are empty; texts shorter than ``least`` keep all bytes; rows of one id with
+equal texts are one document and give equal rows; rows of one id with different texts are documents
+of their own, in order of the texts' hashes; rows with a null id keep all bytes and mark none; very long
+texts are cut to runs by the task that reads them; an empty table gives no rows; columns named in ``carry``
 are handed on, others ignored.
 """
 
@@ -31,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import groups
-from .shared import named, stored
+from .shared import free_name, stored
 from .textkit import mix, pack_texts, text_slices, unpacked, window_hashes
 
 LEAST, ANCHOR = 100, 16
 MOST_RUNS = 4096
 #: Bytes of runs under one transform.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 #: Between runs in a block; no byte of UTF-8.
-GAP = 0xFF
+GAP = b"\xff"
 
 
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,23 +78,26 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
 
 
 def transform(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array by the first ``depth`` or more bytes, its inverse, the transform's byte of each row) of a cyclic text."""
+    """(suffix array by the first ``depth`` or more bytes, its inverse, the transform's byte of each row) of a cyclic text.
+
+    Suffixes that agree that far stand in any order.
+    """
     n = len(data)
     rank = np.zeros(n, np.uint64)
-    for k in range(6):
+    for k in range(8):
         rank = (rank << np.uint64(8)) | np.roll(data, -k).astype(np.uint64)
-    have = 6
+    have, low = 8, np.empty(n, np.uint64)
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         key = rank[order]
-        low = np.empty(n, np.uint64)
-        low[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.uint64)
-        if have >= depth:
+        new = key[1:] != key[:-1]
+        if have >= depth or new.all():
             break
+        low[order] = np.cumsum(np.concatenate([[False], new]), dtype=np.uint64)
         rank = (low << np.uint64(32)) | np.roll(low, -have)
         have *= 2
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.arange(n)
+    inverse = np.empty(n, np.int32)
+    inverse[order] = np.arange(n, dtype=np.int32)
     return order, inverse, data[order - 1]
 
 
@@ -105,185 +109,176 @@ def expand(rows: np.ndarray, depth: int) -> np.ndarray:
     they were apart at l; so intervals of each length come from those of one byte less, and
     only rows that are not parted yet are looked at.
     """
-    n = len(rows)
-    back = np.argsort(rows, kind="stable")  # the row that extension takes to each place
+    back = np.argsort(rows, kind="stable").astype(np.int32)  # the row that extension takes to each place
     byte = rows[back]
-    apart = np.r_[True, byte[1:] != byte[:-1]]
-    undecided = np.flatnonzero(~apart)
+    apart = np.concatenate([[True], byte[1:] != byte[:-1]])
+    undecided = np.flatnonzero(~apart).astype(np.int32)
+    here, there = back[undecided], back[undecided - 1]
+    interval = np.cumsum(apart, dtype=np.int32)
     for _ in range(1, depth):
-        if not len(undecided):
+        cut = interval[here] != interval[there]
+        if cut.any():
+            apart[undecided[cut]] = True
+            left = ~cut
+            undecided, here, there = undecided[left], here[left], there[left]
+            interval = np.cumsum(apart, dtype=np.int32)
+        else:  # no interval was parted, so none will be
             break
-        interval = np.cumsum(apart)
-        cut = interval[back[undecided]] != interval[back[undecided - 1]]
-        apart[undecided[cut]] = True
-        undecided = undecided[~cut]
     return apart
 
 
-def later_windows(runs: list[bytes], doc: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(run, window in it) of the windows of ``runs`` of which an equal one starts earlier."""
+def later_windows(runs: list[bytes], at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, window in it) of the windows of ``runs`` of which an equal one starts earlier; ``at``: document, copy and place of each run, in this order."""
+    order = np.lexsort(at[::-1])
+    runs, at = [runs[k] for k in order.tolist()], at[:, order]
     size = np.array([len(x) for x in runs])
-    data = np.frombuffer(b"\xff".join(runs) + b"\xff", np.uint8)
-    base = np.r_[0, np.cumsum(size + 1)[:-1]]
+    data = np.frombuffer(GAP.join(runs) + GAP, np.uint8)
+    base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     windows = size - least + 1
     run = np.repeat(np.arange(len(runs)), windows)
-    inner = np.arange(len(run)) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)
+    inner = np.arange(len(run)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
     _, inverse, rows = transform(data, least)
     kind = np.cumsum(expand(rows, least))[inverse[base[run] + inner]]
-    at = start[run] + inner
-    order = np.lexsort((at, doc[run], kind))
-    kind, d, p = kind[order], doc[run][order], at[order]
-    lead = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
-    of = lead[np.cumsum(np.r_[True, kind[1:] != kind[:-1]]) - 1]
-    late = order[(d != d[of]) | (p != p[of])]
-    return run[late], inner[late]
-
-
-def joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """Intervals of documents, those that touch made one."""
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
+    lead = np.empty(kind.max() + 1, np.int64)
+    lead[kind[::-1]] = np.arange(len(kind))[::-1]  # the first of each kind, as windows stand in their order
+    of = lead[kind]
+    same = (at[0][run] == at[0][run[of]]) & (at[1][run] == at[1][run[of]]) & (at[2][run] + inner == at[2][run[of]] + inner[of])
+    late = np.flatnonzero(~same)
+    return order[run[late]], inner[late]
+
+
+def joined(at: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Intervals (document, copy, lo, hi), those that touch made one; ``at``: document, copy and lo of each."""
+    order = np.lexsort(at[::-1])
+    (doc, copy, lo), hi = at[:, order], hi[order]
     if len(doc):
-        shift = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) * (1 << 40)
+        shift = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])])) * (1 << 40)
         far = np.maximum.accumulate(hi + shift)
-        new = np.r_[True, (lo + shift)[1:] > far[:-1]]
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:] - 1, len(doc) - 1]
-        doc, lo, hi = doc[first], lo[first], far[last] - shift[first]
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["doc", "lo", "hi"])
+        first = np.flatnonzero(np.concatenate([[True], (lo + shift)[1:] > far[:-1]]))
+        last = np.append(first[1:] - 1, len(doc) - 1)
+        doc, copy, lo, hi = doc[first], copy[first], lo[first], far[last] - shift[first]
+    return [doc, copy, lo, hi]
+
+
+def batch_of(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
+
+
+INTERVAL = "doc long, copy long, lo long, hi long"
 
 
 def repeats(src: DataFrame, least: int) -> DataFrame:
-    """doc, lo, hi: marked intervals (several of one document may overlap). ``src``: doc, t."""
+    """doc, copy, lo, hi: marked intervals (several of one document may overlap). ``src``: doc, copy (rows of equal doc and copy have equal texts), t."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
+            ids, copies = batch.column("doc").to_numpy(), batch.column("copy").to_numpy()
             for lo, _, data, offsets in text_slices(batch, "t"):
                 text, start, n, name, content = runs_of(data, offsets, least)
-                doc = ids[lo + text]
-                order = np.lexsort((start, doc, content, name))
-                same = np.r_[False, (name[order[1:]] == name[order[:-1]]) & (content[order[1:]] == content[order[:-1]])] if len(order) else np.empty(0, bool)
-                lead = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(order) else order
-                again = (doc[order] != doc[order[lead]]) | (start[order] != start[order[lead]])
-                keep, late = order[~same], order[again]
-                marked = joined(doc[late], start[late], start[late] + n[late] + least - 1)
-                m = marked.num_rows
-                zero = np.zeros(m, np.int64)
-                spread = mix(marked.column(0).to_numpy().view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[name[keep].view(np.int64), spread]),
-                        pa.array(np.r_[content[keep].view(np.int64), zero]),
-                        pa.array(np.r_[doc[keep], marked.column(0).to_numpy()]),
-                        pa.array(np.r_[start[keep], marked.column(1).to_numpy()]),
-                        pa.array(np.r_[start[keep] + n[keep] + least - 1, marked.column(2).to_numpy()]),
-                        pa.array(np.r_[np.ones(len(keep), bool), np.zeros(m, bool)]),
-                    ],
-                    ["name", "content", "doc", "lo", "hi", "open"],
+                if not len(text):
+                    continue
+                at = np.stack([ids[lo + text], copies[lo + text], start])
+                order = np.lexsort((*at[::-1], content, name))
+                same = np.concatenate([[False], (name[order[1:]] == name[order[:-1]]) & (content[order[1:]] == content[order[:-1]])])
+                lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+                keep, late = order[~same], order[(at[:, order] != at[:, order[lead]]).any(0)]
+                doc, copy, mlo, mhi = joined(at[:, late], start[late] + n[late] + least - 1)
+                spread = mix(doc.view(np.uint64)).view(np.int64)
+                yield batch_of(
+                    name=np.concatenate([name[keep].view(np.int64), spread]),
+                    content=np.concatenate([content[keep].view(np.int64), np.zeros(len(doc), np.int64)]),
+                    doc=np.concatenate([at[0][keep], doc]),
+                    copy=np.concatenate([at[1][keep], copy]),
+                    lo=np.concatenate([start[keep], mlo]),
+                    hi=np.concatenate([start[keep] + n[keep] + least - 1, mhi]),
+                    open=np.concatenate([np.ones(len(keep), bool), np.zeros(len(doc), bool)]),
                 )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of one name stand together, by content, then by place; only the row before is carried on."""
-        held = None  # name, content, first doc and lo of that content, first row of that name if still alone
+        held = None  # last content's first row, and whether its name was asked for
         for batch in batches:
             kind = batch.column("open").to_numpy(zero_copy_only=False)
             if (~kind).any():
                 done = batch.filter(pa.array(~kind))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(done.num_rows, np.int64)), done.column("doc"), done.column("lo"), done.column("hi"), pa.array(np.zeros(done.num_rows, bool))], ["name", "doc", "lo", "hi", "ask"])
+                yield batch_of(name=np.zeros(done.num_rows, np.int64), **{c: done.column(c) for c in ("doc", "copy", "lo", "hi")}, ask=np.zeros(done.num_rows, bool))
                 batch = batch.filter(pa.array(kind))
             if not batch.num_rows:
                 continue
-            name, content, doc, lo, hi = (batch.column(c).to_numpy() for c in ("name", "content", "doc", "lo", "hi"))
-            if held:
-                name, content, doc, lo, hi = (np.r_[np.array(h, np.int64), x] for h, x in zip(held[:5], (name, content, doc, lo, hi), strict=True))
-            new_name = np.r_[True, name[1:] != name[:-1]]
-            new = new_name | np.r_[True, content[1:] != content[:-1]]
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            late = (doc != doc[lead]) | (lo != lo[lead])
+            rows = np.stack([batch.column(c).to_numpy() for c in ("name", "content", "doc", "copy", "lo", "hi")])
+            if held is not None:
+                rows = np.concatenate([held[0][:, None], rows], axis=1)
+            name, content = rows[:2]
+            new_name = np.concatenate([[True], name[1:] != name[:-1]])
+            new = new_name | np.concatenate([[True], content[1:] != content[:-1]])
             first = np.flatnonzero(new)
+            lead = first[np.cumsum(new) - 1]
+            late = np.flatnonzero((rows[2:5] != rows[2:5][:, lead]).any(0))
             # of each name: how many contents so far; a name's first content is asked for when a second comes
             named_at = np.flatnonzero(new_name[first])
-            many = np.repeat(np.diff(np.r_[named_at, len(first)]) > 1, np.diff(np.r_[named_at, len(first)]))
+            contents = np.diff(np.append(named_at, len(first)))
+            many = np.repeat(contents > 1, contents)
             sent = np.zeros(len(first), bool)
-            if held:
-                sent[0] = held[5]  # asked for, or its name's later contents were, in an earlier batch
-                if held[6]:
-                    end = named_at[1] if len(named_at) > 1 else len(first)
-                    many[:end] = True
+            if held is not None and held[1]:  # asked for in an earlier batch, as its name's later contents are
+                sent[0] = True
+                many[: contents[0]] = True
             ask = first[many & ~sent]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[name[ask], np.zeros(late.sum(), np.int64)]), pa.array(np.r_[doc[ask], doc[late]]), pa.array(np.r_[lo[ask], lo[late]]), pa.array(np.r_[hi[ask], hi[late]]), pa.array(np.r_[np.ones(len(ask), bool), np.zeros(late.sum(), bool)])],
-                ["name", "doc", "lo", "hi", "ask"],
-            )
-            k = first[-1]
-            asked = bool(many[-1])
-            held = ([name[k]], [content[k]], [doc[k]], [lo[k]], [hi[k]], asked, asked)
-
-    order = ["name", "content", "doc", "lo"]
-    met = src.mapInArrow(runs, "name long, content long, doc long, lo long, hi long, open boolean").repartition("name").sortWithinPartitions(*order)
-    met = stored(met.mapInArrow(meet, "name long, doc long, lo long, hi long, ask boolean"), "runs")
-    marked = met.where("not ask").select("doc", "lo", "hi")
+            both = np.concatenate([ask, late])
+            yield batch_of(name=np.where(np.arange(len(both)) < len(ask), name[both], 0), doc=rows[2][both], copy=rows[3][both], lo=rows[4][both], hi=rows[5][both], ask=np.arange(len(both)) < len(ask))
+            held = (rows[:, first[-1]], bool(many[-1]))
+
+    met = src.mapInArrow(runs, f"name long, content long, {INTERVAL}, open boolean").repartition("name").sortWithinPartitions("name", "content", "doc", "copy", "lo")
+    met = stored(met.mapInArrow(meet, f"name long, {INTERVAL}, ask boolean"), "runs")
+    marked = met.where("not ask").select("doc", "copy", "lo", "hi")
 
     asked = met.where("ask")
     many = asked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select(F.col("name").alias("n2"), (F.col("n") > MOST_RUNS).alias("hot"))
-    wanted = asked.join(many, F.expr("name = n2")).groupBy("doc").agg(F.collect_list(F.struct("name", "lo", "hi", "hot")).alias("runs"))
-    carried = wanted.select(F.col("doc").alias("d2"), "runs").join(pack_texts(src), F.expr("d2 = doc")).select("doc", "runs", "t")
+    wanted = asked.join(many, F.expr("name = n2")).groupBy("doc", "copy").agg(F.collect_list(F.struct("name", "lo", "hi", "hot")).alias("runs"))
+    carried = wanted.select(F.col("doc").alias("d2"), F.col("copy").alias("c2"), "runs").join(pack_texts(src), F.expr("d2 = doc and c2 = copy")).select("doc", "copy", "runs", "t")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of runs; of hot names the windows' hashes."""
         for batch in batches:
             for part in unpacked(batch, "t", 50):
-                names, docs, los, bodies, hots = [], [], [], [], []
-                for doc, own, text in zip(*(part.column(c).to_pylist() for c in ("doc", "runs", "t")), strict=True):
+                out: dict[str, list] = {c: [] for c in ("name", "window", "doc", "copy", "lo", "body", "hot")}
+                for doc, copy, own, text in zip(*(part.column(c).to_pylist() for c in ("doc", "copy", "runs", "t")), strict=True):
                     data = (text or "").encode()
                     for r in own:
                         body = data[r["lo"] : r["hi"]]
-                        if len(body) < least:
-                            continue
-                        if r["hot"]:
-                            h = window_hashes(np.frombuffer(body, np.uint8), least).view(np.int64)
-                            names += h.tolist()
-                            los += range(r["lo"], r["lo"] + len(h))
-                            docs += [doc] * len(h)
-                            bodies += [None] * len(h)
-                            hots += [True] * len(h)
-                        else:
-                            names.append(r["name"])
-                            docs.append(doc)
-                            los.append(r["lo"])
-                            bodies.append(body)
-                            hots.append(False)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(bodies, pa.binary()), pa.array(hots, pa.bool_())], ["name", "doc", "lo", "body", "hot"])
+                        h = window_hashes(np.frombuffer(body, np.uint8), least).view(np.int64).tolist() if r["hot"] else [0]
+                        k = len(h)
+                        for c, x in (("name", [r["name"]] * k), ("window", h), ("doc", [doc] * k), ("copy", [copy] * k), ("lo", range(r["lo"], r["lo"] + k)), ("body", [None if r["hot"] else body] * k), ("hot", [r["hot"]] * k)):
+                            out[c] += x
+                kinds = {"body": pa.binary(), "hot": pa.bool_()}
+                yield batch_of(**{c: pa.array(x, kinds.get(c, pa.int64())) for c, x in out.items()})
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies: list[bytes] = []
-        docs: list[np.ndarray] = []
-        los: list[np.ndarray] = []
+        places: list[np.ndarray] = []
 
         def part() -> pa.RecordBatch:
-            doc, lo = np.concatenate(docs), np.concatenate(los)
-            run, inner = later_windows(bodies, doc, lo, least)
-            return joined(doc[run], lo[run] + inner, lo[run] + inner + least)
+            at = np.concatenate(places, axis=1)
+            run, inner = later_windows(bodies, at, least)
+            own = at[:, run] + np.stack([np.zeros_like(inner), np.zeros_like(inner), inner])
+            return batch_of(**dict(zip(("doc", "copy", "lo", "hi"), joined(own, own[2] + least), strict=True)))
 
         size = 0
         for group in groups(batches, ["name"]):
             own = group.column("body").to_pylist()
             if size and size + sum(map(len, own)) > BLOCK_BYTES:
                 yield part()
-                bodies, docs, los, size = [], [], [], 0
+                bodies, places, size = [], [], 0
             bodies += own
-            docs.append(group.column("doc").to_numpy())
-            los.append(group.column("lo").to_numpy())
+            places.append(np.stack([group.column(c).to_numpy() for c in ("doc", "copy", "lo")]))
             size += sum(map(len, own))
         if bodies:
             yield part()
 
-    cut = stored(carried.mapInArrow(cut_out, "name long, doc long, lo long, body binary, hot boolean"), "run-bytes")
-    by_block = cut.where("not hot").select("name", "doc", "lo", "body").repartition("name").sortWithinPartitions("name").mapInArrow(block, "doc long, lo long, hi long")
-    hot = cut.where("hot").select("name", "doc", "lo")
-    lead = hot.groupBy("name").agg(F.min(F.struct("doc", "lo")).alias("first")).select(F.col("name").alias("n2"), "first")
-    by_window = hot.join(lead, F.expr("name = n2")).where("doc != first.doc or lo != first.lo").select("doc", "lo", (F.col("lo") + least).alias("hi"))
+    cut = stored(carried.mapInArrow(cut_out, "name long, window long, doc long, copy long, lo long, body binary, hot boolean"), "run-bytes")
+    by_block = cut.where("not hot").select("name", "doc", "copy", "lo", "body").repartition("name").sortWithinPartitions("name").mapInArrow(block, INTERVAL)
+    hot = cut.where("hot").select("name", "window", "doc", "copy", "lo")
+    lead = hot.groupBy("name", "window").agg(F.min(F.struct("doc", "copy", "lo")).alias("first")).select(F.col("name").alias("n2"), F.col("window").alias("w2"), "first")
+    by_window = hot.join(lead, F.expr("name = n2 and window = w2")).where("doc != first.doc or copy != first.copy or lo != first.lo").select("doc", "copy", "lo", (F.col("lo") + least).alias("hi"))
     return marked.unionByName(by_block).unionByName(by_window)
 
 
@@ -317,10 +312,10 @@ def dedup(docs: DataFrame, least: int = LEAST, chars: bool = False, carry: tuple
 
     With ``chars``, spans leave characters whole, so that what is kept is UTF-8.
     """
-    src = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc"), docs[f"`{text}`"].alias("t"), F.struct(F.lit(0).alias("_"), *[docs[f"`{c}`"] for c in carry]).alias("rest"))
-    known = src.where("doc is not null").select("doc", "t")
-    found = repeats(known, least).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).select(F.col("doc").alias("d2"), "marks")
-    both = pack_texts(src).join(found, F.expr("doc = d2"), "left").select("doc", "t", "marks", "rest")
+    src = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc"), F.xxhash64(docs[f"`{text}`"]).alias("copy"), docs[f"`{text}`"].alias("t"), F.struct(F.lit(0).alias(free_name(list(carry), "_")), *[docs[f"`{c}`"] for c in carry]).alias("rest"))
+    known = src.where("doc is not null").select("doc", "copy", "t")
+    found = repeats(known, least).groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).select(F.col("doc").alias("d2"), F.col("copy").alias("c2"), "marks")
+    both = pack_texts(src).join(found, F.expr("doc = d2 and copy = c2"), "left").select("doc", "t", "marks", "rest")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
