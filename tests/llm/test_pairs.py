@@ -132,3 +132,31 @@ def test_vectors(spark, block, monkeypatch):
     low = closed(n, pairs)
     assert sum(got[i].component_id != low[i] for i in n) <= 0.02 * len(n)
     assert all(got[i].kept == (got[i].component_id == i) for i in n)
+
+
+def test_vectors_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.standard_normal((4, 16))
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.0, 1.0, 0.01], 1), (4, [0.01, 1.0, 0.0], 1)]
+    rows += [(None, [0.0, 0.0, 5.0], 1), (None, [0.0, 0.0, 5.0], 1), (None, [0.0, 0.0, 5.0], 2), (7, [0.0, 0.0, 5.0], 3), (None, [0.0, 0.0, 5.0], 3), (8, [0.0, -0.0, 2.5], 3)]
+    rows += [(int(k % 30), (hot[k % 4] + 0.01 * rng.standard_normal(16)).tolist(), int(k % 4)) for k in range(200)]
+    rows += [(9, [float("inf"), 1.0, 1.0], 1), (9, None, 1), (9, [0.0] * 3, 1), (9, [1.0] * 3, None)]
+    good = [(k, r[2], np.array(r[1]) / np.linalg.norm(r[1])) for k, r in enumerate(rows) if r[1] and r[2] is not None and np.isfinite(r[1]).all() and any(r[1])]
+    pairs = [(a, b) for (a, la, x), (b, lb, y) in combinations(good, 2) if la == lb and len(x) == len(y) and x @ y >= 0.93]
+    low = closed(range(len(rows)), pairs)
+    names = {}
+    for k, r in enumerate(rows):
+        names[low[k]] = min((x for x in (names.get(low[k]), r[0]) if x is not None), default=None)
+    n = [sum(k in p for p in pairs) for k in range(len(rows))]
+    want = sorted(((r[0], n[k], names[low[k]], r[0] == names[low[k]]) for k, r in enumerate(rows)), key=repr)
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").selectExpr("*", "1 as cid", "2 as codes", "3 as v").repartition(3)
+        assert sorted(map(tuple, vector_lsh.link_vectors(df).collect()), key=repr) == want
+    assert vector_lsh.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_documents_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (None, a), (None, None), (5, None)]
+    got = sorted(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as t", "2 as n"), 3, 90).collect()), key=repr)
+    assert [(r[0], r[2]) for r in got] == sorted([(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (None, None), (None, None), (5, 5)], key=lambda r: repr((r[0], 38)))
