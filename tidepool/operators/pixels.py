@@ -18,13 +18,28 @@ from pyspark.sql import functions as F
 Kernel = Callable[..., np.ndarray]
 
 
+#: Images whose results are held at a time; a kernel may enlarge them.
+SLICE = 16
+
+
+def in_slices(parts: Iterator[pd.DataFrame], size: int = SLICE) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for k in range(0, len(part), size):
+            yield part.iloc[k : k + size]
+
+
+def pixels_of(part: pd.DataFrame) -> Iterator[np.ndarray]:
+    for d, h, w, c in zip(part["data"], part["h"], part["w"], part["c"], strict=True):
+        yield np.frombuffer(d, np.uint8).reshape(h, w, c)
+
+
 def apply(rows: DataFrame, kernel: Kernel, *params: str) -> DataFrame:
     """``rows`` with h, w, c, data replaced by the kernel's result; ``params`` name columns handed to it."""
     schema = rows.schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = [kernel(np.frombuffer(d, np.uint8).reshape(h, w, c), *p) for d, h, w, c, *p in zip(part["data"], part["h"], part["w"], part["c"], *(part[x] for x in params), strict=True)]
+        for part in in_slices(parts):
+            out = [kernel(a, *p) for a, *p in zip(pixels_of(part), *(part[x] for x in params), strict=True)]
             part = part.assign(h=[x.shape[0] for x in out], w=[x.shape[1] for x in out], c=[x.shape[2] for x in out], data=[x.astype(np.uint8).tobytes() for x in out])
             yield part[schema.names]
 
@@ -32,13 +47,13 @@ def apply(rows: DataFrame, kernel: Kernel, *params: str) -> DataFrame:
 
 
 def from_spark_images(images: DataFrame) -> DataFrame:
-    """Rows of the image source: gray becomes three channels, alpha goes."""
-    flat = images.select("path", F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
+    """Rows of the image source, which has BGR: RGB of three channels; gray is repeated, alpha goes. Other columns stay."""
+    flat = images.select(*[c for c in images.columns if c != "image"], F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
     return apply(flat, three_channels)
 
 
 def three_channels(a: np.ndarray) -> np.ndarray:
-    return np.repeat(a, 3, 2) if a.shape[2] == 1 else a[:, :, :3]
+    return np.repeat(a, 3, 2) if a.shape[2] == 1 else a[:, :, 2::-1]
 
 
 def _weights(n: int, m: int, filter_: Callable, reach: float) -> np.ndarray:
@@ -163,7 +178,17 @@ def encoded(rows: DataFrame) -> DataFrame:
     """``rows`` with a column ``content``, the image as PNG."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(content=[png(np.frombuffer(d, np.uint8).reshape(h, w, c)) for d, h, w, c in zip(part["data"], part["h"], part["w"], part["c"], strict=True)])
+        for part in in_slices(parts):
+            yield part.assign(content=[png(a) for a in pixels_of(part)])
 
     return rows.mapInPandas(run, rows.withColumn("content", F.lit(None).cast("binary")).schema)
+
+
+def tensors(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``tensor``: channels first, each value over 255, in single precision, flat."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in in_slices(parts):
+            yield part.assign(tensor=[(a.transpose(2, 0, 1) / np.float32(255)).ravel() for a in pixels_of(part)])
+
+    return rows.mapInPandas(run, rows.withColumn("tensor", F.lit(None).cast("array<float>")).schema)

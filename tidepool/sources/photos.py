@@ -13,13 +13,29 @@ ORIGINAL = f"shapes array<struct<label:string,points:{POINTS}>>"
 SERIES = "image string, created string, target struct<size:int,rings:int,ring_colors:array<string>>, shots array<struct<image:string,timestamp:string,x:double,y:double,dx:double,dy:double,r_norm:double,theta_deg:double>>"
 
 
+def in_store(spark: SparkSession, path: str):
+    """(path, file system) as Hadoop knows them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length of the files right in one folder, empty ones too; for folders of few files, as the driver lists them."""
+    hadoop, store = in_store(spark, folder)
+    found = [(x.getPath().toString(), x.getLen()) for x in store.listStatus(hadoop) if x.isFile()] if store.exists(hadoop) else []
+    return spark.createDataFrame(found, "path string, length long")
+
+
 def files(spark: SparkSession, folder: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """path, modificationTime, length, content; a missing folder has no files. Contents are read only where used."""
+    """path, modificationTime, length, content; a missing folder has no files. Contents are read only where used.
+
+    Spark's file index leaves out files of length 0; where they count, see ``listing``.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    hadoop, store = in_store(spark, folder)
+    if not store.exists(hadoop):
         return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     return reader.load(folder)
 
@@ -55,9 +71,9 @@ def unlabelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str, drop_unreadable: bool = True) -> DataFrame:
-    """path and decoded image (height, width, nChannels, data in BGR order)."""
+    """path (as ``files`` writes it) and decoded image (height, width, nChannels, data in BGR order)."""
     out = spark.read.format("image").option("dropInvalid", str(drop_unreadable).lower()).option("recursiveFileLookup", "true").load(folder)
-    return out.select(F.col("image.origin").alias("path"), "image")
+    return out.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image")
 
 
 def annotations(spark: SparkSession, folder: str, schema: str = ORIGINAL) -> DataFrame:
@@ -93,16 +109,73 @@ def series_document(image: Column, created: Column, shots: Column, size: int, co
 
 
 def write_images(rows: DataFrame, path: str) -> None:
-    """name, content as Parquet; image files as such are for small sets, see write_files."""
+    """name, content as Parquet, which suits many small images; ``write_files`` makes a file of each."""
     rows.select("name", "content").write.mode("overwrite").parquet(path)
 
 
 def write_documents(rows: DataFrame, path: str) -> None:
-    """One JSON document a line, with its name, ordered within files by name."""
+    """name, json as Parquet; ``write_files`` makes a file of each."""
     rows.select("name", "json").write.mode("overwrite").parquet(path)
 
 
+def write_files(rows: DataFrame, folder: str, content: str = "content", overwrite: bool = True) -> None:
+    """A file for each row, ``name`` below ``folder`` (a path or URI that all executors reach), written by the tasks.
+
+    A file appears whole under its name, so a task that runs twice does no harm.  Without
+    ``overwrite`` names that exist keep what they have.  Text is written as UTF-8; a null content writes nothing.
+    """
+    body = F.col(content) if dict(rows.dtypes)[content] == "binary" else F.encode(content, "UTF-8")
+
+    def run(part) -> None:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for name, data in part:
+            at = f"{root}/{name}"
+            if data is None or not overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
+                continue
+            store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            new = f"{at}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(new) as out:
+                out.write(bytes(data))
+            store.move(new, at)
+
+    rows.select("name", body).foreachPartition(run)
+
+
 def checkpoint_numbers(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    name = paths.base(F.col("path"))
-    n = F.regexp_extract(name, rf"^{prefix}_([0-9]+)\.[^.]+$", 1)
-    return files(spark, folder).select(F.when(n != "", n).cast("long").alias("n")).where("n is not null")
+    n = F.regexp_extract(paths.base(F.col("path")), rf"^{prefix}_([0-9]+)\.[^.]+$", 1)
+    return listing(spark, folder).select(F.when(n != "", n).cast("long").alias("n")).where("n is not null")
+
+
+def save_checkpoint(spark: SparkSession, folder: str, prefix: str, content: bytes, suffix: str = "pth") -> str:
+    """Write at the first free number and return the path; a file that another writer puts there meanwhile is never replaced."""
+    taken = {r.n for r in checkpoint_numbers(spark, folder, prefix).collect()}  # one folder's artefacts
+    k = 0
+    while True:
+        while k in taken:
+            k += 1
+        hadoop, store = in_store(spark, f"{folder}/{prefix}_{k}.{suffix}")
+        try:
+            out = store.create(hadoop, False)
+        except Exception:
+            if not store.exists(hadoop):
+                raise
+            taken.add(k)
+            continue
+        out.write(bytearray(content))
+        out.close()
+        return f"{folder}/{prefix}_{k}.{suffix}"
+
+
+def latest_checkpoint(spark: SparkSession, folder: str, prefix: str, suffix: str = "pth") -> str:
+    """The path before the first free number; raises where number 0 is free."""
+    taken = {r.n for r in checkpoint_numbers(spark, folder, prefix).collect()}
+    k = 0
+    while k in taken:
+        k += 1
+    if not k:
+        raise FileNotFoundError(f"no {prefix}_0 in {folder}")
+    return f"{folder}/{prefix}_{k - 1}.{suffix}"
