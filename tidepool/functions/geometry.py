@@ -155,3 +155,47 @@ def hit_disc(pts: Column, x: Column, y: Column, radius: float = 6.0) -> Column:
 def bounds(pts: Column) -> dict[str, Column]:
     axis = lambda a: F.transform(pts, lambda p: p[a])
     return {"x0": F.array_min(axis("x")), "y0": F.array_min(axis("y")), "x1": F.array_max(axis("x")), "y1": F.array_max(axis("y"))}
+
+
+def hit_marker(pts: Column, x: Column, y: Column, radius: float = 6.0) -> Column:
+    """Index of the first point whose marker's closed bounding box holds the place."""
+    return F.array_min(F.transform(F.filter(pts, lambda p: (F.abs(p["x"] - x) <= radius) & (F.abs(p["y"] - y) <= radius)), lambda p: p["i"]))
+
+
+def inside(x: Column, y: Column, size: int) -> Column:
+    return (x >= 0) & (x < size) & (y >= 0) & (y < size)
+
+
+def truncated(v: Column) -> Column:
+    return v.cast("int")
+
+
+def half_even(v: Column) -> Column:
+    return F.bround(v).cast("int")
+
+
+def scaled(pts: Column, sx: Column, sy: Column) -> Column:
+    """A list of points (arrays of two) with each axis multiplied."""
+    return F.transform(pts, lambda p: F.array(F.get(p, F.lit(0)) * sx, F.get(p, F.lit(1)) * sy))
+
+
+def display_ratio(w: Column, h: Column, shown_w: Column, shown_h: Column, both: bool = True) -> tuple[Column, Column]:
+    """Original pixels for one on the screen, by axis; with ``both`` false the x ratio twice."""
+    x, y = F.try_divide(w.cast("double"), shown_w), F.try_divide(h.cast("double"), shown_h)
+    return x, y if both else x
+
+
+def rectangle(top: Column, bottom: Column, left: Column, right: Column) -> dict[str, Column]:
+    """The box that four extremes span, and where its mid-lines meet: x1, y1, x2, y2, cx, cy."""
+    x1, y1, x2, y2 = left["x"], top["y"], right["x"], bottom["y"]
+    return {"x1": x1, "y1": y1, "x2": x2, "y2": y2, "cx": (x1 + x2) / 2, "cy": (y1 + y2) / 2}
+
+
+def midlines(box: dict[str, Column]) -> tuple[Column, Column]:
+    """The level and the upright mid-line, as arrays x1, y1, x2, y2."""
+    return F.array(box["x1"], box["cy"], box["x2"], box["cy"]), F.array(box["cx"], box["y1"], box["cx"], box["y2"])
+
+
+def chords(top: Column, bottom: Column, left: Column, right: Column) -> tuple[Column, Column]:
+    """From top to bottom and from left to right, as arrays x1, y1, x2, y2."""
+    return F.array(top["x"], top["y"], bottom["x"], bottom["y"]), F.array(left["x"], left["y"], right["x"], right["y"])

@@ -52,3 +52,13 @@ def variant_name(path: Column, variant: Column) -> Column:
 
 def is_photo(path: Column, any_case: bool = True) -> Column:
     return F.rlike(path, F.lit(PHOTO if any_case else r"\.(png|jpe?g)$"))
+
+
+def iso_seconds(time: Column | None = None) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss``, of now if no time is given."""
+    return F.date_format(F.current_timestamp() if time is None else time, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def status(idx: Column, total: Column, shots: Column) -> Column:
+    """Place in a list, from 1 (0 in an empty one), its length, and how many shots the photo has."""
+    return F.format_string("%d/%d | %d", F.when(total > 0, idx + 1).otherwise(0), total, shots)

@@ -25,3 +25,8 @@ def padded(pairs: Column, n: int = SHOTS) -> Column:
 
 def without_misses(pairs: Column) -> Column:
     return F.filter(pairs, lambda p: ~((F.get(p, F.lit(0)) == MISS) & (F.get(p, F.lit(1)) == MISS)))
+
+
+def label_tensor(pairs: Column, n: int = SHOTS) -> Column:
+    """``padded`` in single precision, as trainers take it."""
+    return padded(pairs, n).cast("array<float>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,15 +100,23 @@ def exact_split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -
     return outer.unionByName(inner).drop("_h", "_p")
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written once: to the folder that spark.checkpoint.dir names, or, without one (one machine), to the executors' disks."""
+    spark = rows.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return rows.checkpoint()
+    return rows.persist()
+
+
 def numbered(rows: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     """A dense number from 0 in total order, without ranking all rows in one task.
 
     Rows are range-partitioned and sorted; each partition's offset is the sum of the
-    sizes before it. The sorted rows are kept by partition number, so both passes agree.
+    sizes before it. The ranked rows are checkpointed, so both passes read the same ones, also
+    after the loss of an executor.  Rows that ``order`` does not tell apart are numbered in any order.
     """
     parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = parted.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    local = local.persist()
+    local = kept(parted.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row per partition
     return local.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_rank") - 1).drop("_part", "_rank", "_start")
@@ -119,6 +128,37 @@ def mean_of_batch_means(rows: DataFrame, error: Column, idx: str, batch: int) ->
     return means.agg(F.avg("_m").alias("loss"))
 
 
+def progress(idx: Column, n: Column, step: int = 5) -> Column:
+    """Percent reported after photo ``idx`` (from 0) of ``n``: rises by ``step`` at most once a photo."""
+    return step * F.least(idx, F.floor(idx * (100 // step) / n)).cast("int")
+
+
+def epoch_order(rows: DataFrame, key: str, epoch: int, seed: int = 42, out: str = "idx") -> DataFrame:
+    """``rows`` numbered from 0 in a random order of their own for each epoch; the same for the same key, epoch and seed."""
+    mixed = rows.withColumn("_o", F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(epoch), F.lit(seed))))
+    return numbered(mixed, "_o", key, out=out).drop("_o")
+
+
+def stack_batches(rows: DataFrame, idx: str, size: int, *columns: str) -> DataFrame:
+    """A row for each ``size`` neighbours by ``idx``: ``batch``, and of each column an array in that order; arrays of unequal length in one batch raise."""
+    item = F.struct(F.col(idx).alias("_i"), *[F.col(c) for c in columns])
+    got = rows.groupBy(F.floor(F.col(idx) / size).alias("batch")).agg(F.array_sort(F.collect_list(item)).alias("_x"))  # at most ``size`` rows each
+    out = []
+    of = lambda c: F.transform("_x", lambda x: x[c])
+    for c in columns:
+        stacked = of(c)
+        if dict(rows.dtypes)[c].startswith("array"):
+            even = F.size(F.array_distinct(F.transform(stacked, lambda v: F.size(v)))) <= 1
+            stacked = F.when(even, stacked).otherwise(F.raise_error(F.lit(f"{c}: unequal lengths in a batch")).cast(f"array<{dict(rows.dtypes)[c]}>"))
+        out.append(stacked.alias(c))
+    return got.select("batch", *out)
+
+
+def collated(rows: DataFrame, idx: str, size: int, collate: Callable, schema: str) -> DataFrame:
+    """``collate`` (pandas frame of one batch, in order, to pandas frame) over each ``size`` neighbours by ``idx``."""
+    return rows.withColumn("_b", F.floor(F.col(idx) / size)).groupBy("_b").applyInPandas(lambda part: collate(part.sort_values(idx).drop(columns="_b")), schema)
+
+
 def first_gap(ids: DataFrame, column: str) -> DataFrame:
     """gap: the least number from 0 that no row has."""
     own = ids.where(F.col(column) >= 0).select(F.col(column).cast("long").alias("_n")).distinct()
@@ -126,9 +166,10 @@ def first_gap(ids: DataFrame, column: str) -> DataFrame:
     return after.join(own, "_n", "left_anti").agg(F.min("_n").alias("gap"))
 
 
-def fold_points(events: DataFrame, user: str, time: str, kind: str, x: str, y: str, reach: float = 10.0) -> DataFrame:
-    """Last point list of each session: down near a point takes it up, else adds one; move sets it; up lets go; reset clears.
+def fold_points(events: DataFrame, user: str, time: str, kind: str, x: str, y: str, reach: float = 10.0, most: int | None = None) -> DataFrame:
+    """Last point list of each session: down near a point takes it up, else adds one (which is not taken up); move sets it; up lets go; reset clears.
 
+    With ``most``, a down beyond so many points adds none.
     One session's events are folded in order of time; sessions are bounded by what one person clicks.
     """
     step = F.struct(F.col(time).alias("t"), F.col(kind).alias("kind"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -139,9 +180,10 @@ def fold_points(events: DataFrame, user: str, time: str, kind: str, x: str, y: s
         here = F.struct(e["x"].alias("x"), e["y"].alias("y"))
         near = F.coalesce(F.array_min(F.filter(F.transform(pts, lambda p, i: F.when((F.abs(p["x"] - e["x"]) < reach) & (F.abs(p["y"] - e["y"]) < reach), i)), lambda i: i.isNotNull())), F.lit(-1))
         state = lambda p, h: F.struct(p.alias("pts"), h.cast("int").alias("held"))
+        room = F.size(pts) < most if most is not None else F.lit(True)
         return (
             F.when((e["kind"] == "down") & (near >= 0), state(pts, near))
-            .when(e["kind"] == "down", state(F.concat(pts, F.array(here)), F.size(pts)))
+            .when((e["kind"] == "down") & room, state(F.concat(pts, F.array(here)), held))
             .when((e["kind"] == "move") & (held >= 0), state(F.transform(pts, lambda p, i: F.when(i == held, here).otherwise(p)), held))
             .when(e["kind"] == "up", state(pts, F.lit(-1)))
             .when(e["kind"] == "reset", state(F.slice(pts, 1, 0), F.lit(-1)))

@@ -135,21 +135,38 @@ def order_corners(spark, sf_dir):
 @query(f"""
 WITH e AS (SELECT vec_id, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y, arg_min(i, (y, i <> 0, i)) + 1 AS t, arg_min(i, (-y, i <> 1, i)) + 1 AS b,
            arg_min(i, (x, i <> 2, i)) + 1 AS l, arg_min(i, (-x, i <> 3, i)) + 1 AS r FROM ({PTS.format(n=4)}) GROUP BY vec_id),
-d AS (SELECT vec_id, greatest(sqrt((x[r] - x[l]) ** 2 + (y[r] - y[l]) ** 2), sqrt((x[b] - x[t]) ** 2 + (y[b] - y[t]) ** 2)) AS d, len(list_distinct([t, b, l, r])) AS k FROM e)
-SELECT vec_id, round(d, 6) AS d, 0.0 AS off FROM d WHERE k = 4""")
+d AS (SELECT vec_id, [[x[t], y[t]], [x[b], y[b]], [x[l], y[l]], [x[r], y[r]]] AS p,
+             greatest(sqrt((x[r] - x[l]) ** 2 + (y[r] - y[l]) ** 2), sqrt((x[b] - x[t]) ** 2 + (y[b] - y[t]) ** 2)) AS d FROM e),
+-- the eight equations of the unknowns, solved by elimination: one row of coefficients and the right side per equation
+a AS (SELECT vec_id, d, CAST(k AS INT) AS k,
+             [CASE WHEN k < 4 THEN p[k % 4 + 1][1] ELSE 0 END, CASE WHEN k < 4 THEN p[k % 4 + 1][2] ELSE 0 END, CASE WHEN k < 4 THEN 1.0 ELSE 0 END,
+              CASE WHEN k < 4 THEN 0 ELSE p[k % 4 + 1][1] END, CASE WHEN k < 4 THEN 0 ELSE p[k % 4 + 1][2] END, CASE WHEN k < 4 THEN 0.0 ELSE 1.0 END,
+              -p[k % 4 + 1][1] * q, -p[k % 4 + 1][2] * q, q] AS c
+      FROM (SELECT vec_id, d, p, k, [d / 2, d / 2, 0, d, 0, d, d / 2, d / 2][k + 1] AS q FROM d, (SELECT unnest(range(8)) AS k))),
+m AS (SELECT vec_id, d, list(c ORDER BY k) AS m FROM a GROUP BY vec_id, d),
+g AS (WITH RECURSIVE g AS (
+        SELECT vec_id, d, m, 1 AS j, false AS bad FROM m
+        UNION ALL
+        SELECT vec_id, d, CASE WHEN abs(best) < 1e-9 THEN m ELSE
+               list_transform(range(1, 9), lambda i: CASE WHEN i = j THEN list_transform(lead, lambda v: v / best)
+                 ELSE list_transform(range(1, 10), lambda n: swapped[i][n] - swapped[i][j] * lead[n] / best) END) END, j + 1, bad OR abs(best) < 1e-9
+        FROM (SELECT *, swapped[j] AS lead, swapped[j][j] AS best FROM (
+                SELECT *, list_transform(range(1, 9), lambda i: CASE WHEN i = j THEN m[best_row] WHEN i = best_row THEN m[j] ELSE m[i] END) AS swapped FROM (
+                  SELECT *, j - 1 + list_position(list_transform(range(j, 9), lambda i: abs(m[i][j])), list_max(list_transform(range(j, 9), lambda i: abs(m[i][j])))) AS best_row FROM g WHERE j <= 8))))
+      SELECT vec_id, d, m, bad FROM g WHERE j = 9)
+SELECT vec_id, round(d, 6) AS d, CAST(i AS INT) AS i, CASE WHEN bad THEN NULL WHEN i = 9 THEN 1.0 ELSE round(m[i][9] / CASE WHEN i IN (3, 6) THEN d WHEN i IN (7, 8) THEN 1 / d ELSE 1 END, 4) + 0.0 END AS h
+FROM g, (SELECT unnest(range(1, 10)) AS i)""")
 def homography_solve(spark, sf_dir):
-    """The four extremes reach their targets: ``off`` is the largest distance, rounded. Only where the extremes are four points."""
+    """The nine entries for every row, in units of the diameter; null where three extremes are in line or one point is two of them."""
     e = t(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(k) for k, c in g.extremes(vec(4)).items()])
-    e = e.where(F.size(F.array_distinct(F.array("top.i", "bottom.i", "left.i", "right.i"))) == 4)
     names = ["top", "bottom", "left", "right"]
     e = e.withColumn("d", g.diameter(*[F.col(k) for k in names]))
-    to = g.diamond(F.col("d"))
-    e = e.withColumns({f"h{k}": c for k, c in enumerate(g.homography([(F.col(f"{k}.x"), F.col(f"{k}.y")) for k in names], to))})
-    off = []
-    for k, (u, v) in zip(names, to, strict=True):
-        x, y = g.project([F.col(f"h{j}") for j in range(9)], F.col(f"{k}.x"), F.col(f"{k}.y"))
-        off.append(F.hypot(x - u, y - v))
-    return e.select("vec_id", r6(F.col("d")).alias("d"), F.abs(F.round(F.greatest(*off) / F.col("d"), 4)).alias("off"))
+    h = g.homography([(F.col(f"{k}.x"), F.col(f"{k}.y")) for k in names], g.diamond(F.col("d")))
+    unit = [1, 1, F.col("d"), 1, 1, F.col("d"), 1 / F.col("d"), 1 / F.col("d"), 1]
+    apart = F.size(F.array_distinct(F.array("top.i", "bottom.i", "left.i", "right.i"))) == 4
+    out = F.array(*[F.when(apart, F.round(F.try_divide(v, F.lit(1) * u), 4) + 0.0) for v, u in zip(h, unit, strict=True)])
+    e = e.select("vec_id", r6(F.col("d")).alias("d"), F.posexplode(out).alias("i", "h"))
+    return e.select("vec_id", "d", (F.col("i") + 1).alias("i"), "h")
 
 
 @query(f"""
@@ -165,13 +182,13 @@ def rotate_points(spark, sf_dir):
 @query(f"SELECT vec_id, i, 0.5 * round_even(x, 0) AS x, 0.5 * round_even(y, 0) AS y FROM ({PTS.format(n=4)})")
 def scale_points(spark, sf_dir):
     p = t(spark, sf_dir, "embeddings").select("vec_id", F.explode(vec(4)).alias("p"))
-    return p.select("vec_id", "p.i", (F.bround("p.x") * 0.5).alias("x"), (F.bround("p.y") * 0.5).alias("y"))
+    return p.select("vec_id", "p.i", (g.half_even(F.col("p.x")) * 0.5).cast("double").alias("x"), (g.half_even(F.col("p.y")) * 0.5).cast("double").alias("y"))
 
 
 @query(f"SELECT vec_id, i, CAST(trunc(x) AS INT) AS x, CAST(trunc(y) AS INT) AS y FROM ({PTS.format(n=4)})")
 def trunc_points(spark, sf_dir):
     p = t(spark, sf_dir, "embeddings").select("vec_id", F.explode(vec(4)).alias("p"))
-    return p.select("vec_id", "p.i", F.col("p.x").cast("int").alias("x"), F.col("p.y").cast("int").alias("y"))
+    return p.select("vec_id", "p.i", g.truncated(F.col("p.x")).alias("x"), g.truncated(F.col("p.y")).alias("y"))
 
 
 @query(f"""
@@ -352,9 +369,137 @@ def impact_labels(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.size(photos.impact_points(shapes)).alias("n"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value AS x, value * 3 AS y,
+         CASE event_type WHEN 'click' THEN 'down' WHEN 'view' THEN 'move' WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'reset' ELSE 'other' END AS kind FROM events),
+f AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS p, 0 AS held FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, k, CASE WHEN kind = 'down' AND near IS NULL AND len(p) < 4 THEN list_append(p, {'x': x, 'y': y})
+                          WHEN kind = 'move' AND held > 0 THEN list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = held THEN {'x': x, 'y': y} ELSE p[i] END)
+                          WHEN kind = 'reset' THEN p[1:0] ELSE p END,
+         CASE WHEN kind = 'down' AND near IS NOT NULL THEN near WHEN kind IN ('up', 'reset') THEN 0 ELSE held END
+  FROM (SELECT e.*, f.p, f.held, CAST(list_min(list_filter(range(1, len(f.p) + 1), lambda i: abs(f.p[i].x - e.x) < 10 AND abs(f.p[i].y - e.y) < 10)) AS INT) AS near
+        FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)),
+l AS (SELECT user_id, arg_max(p, k) AS p FROM f GROUP BY user_id)
+SELECT user_id, CAST(len(p) AS INT) AS n, array_to_string(list_transform(p, lambda q: printf('%.3f/%.3f', q.x, q.y)), ' ') AS points FROM l""")
 def session_fold(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "down").when(F.col("event_type") == "view", "move").when(F.col("event_type") == "purchase", "up").when(F.col("event_type") == "error", "reset").otherwise("other")
     e = e.select("user_id", F.struct("ts", "event_id").alias("ts"), kind.alias("kind"), "value", (F.col("value") * 3).alias("y"))
-    return frames.fold_points(e, "user_id", "ts", "kind", "value", "y").select("user_id", F.size("points").alias("n"))
+    text = F.array_join(F.transform("points", lambda p: F.format_string("%.3f/%.3f", p["x"], p["y"])), " ")
+    return frames.fold_points(e, "user_id", "ts", "kind", "value", "y", most=4).select("user_id", F.size("points").alias("n"), text.alias("points"))
+
+
+@query(f"""
+WITH p AS ({SHIFTED.format(n=10)}), q AS (SELECT vec_id, i, CAST(trunc(x) AS INT) AS x, CAST(trunc(y) AS INT) AS y FROM p), d AS (SELECT *, (x - 300) ** 2 + (y - 300) ** 2 AS d FROM q),
+r AS (SELECT *, (SELECT max(CAST(trunc(k * 29.8) AS INT)) FROM (SELECT unnest(range(1, 10)) AS k) WHERE trunc(k * 29.8) ** 2 < d.d) AS edge FROM d),
+n AS (SELECT *, CASE WHEN d <= 0 OR d > 298 ** 2 THEN -1 ELSE (SELECT count(*) FROM (SELECT unnest(range(1, 10)) AS k) WHERE trunc(k * 29.8) ** 2 < r.d) END AS ring FROM r)
+SELECT vec_id, i, x >= 0 AND x < 600 AND y >= 0 AND y < 600 AS inside,
+  CASE WHEN ring < 0 THEN 'black' WHEN d > 13 ** 2 AND d <= 16 ** 2 THEN 'black'
+       WHEN ring >= 1 AND ring <> 6 AND d <= trunc(edge + 1.5) ** 2 THEN CASE WHEN ring = 7 THEN 'white' ELSE 'black' END
+       ELSE ['yellow', 'red', 'blue', 'black', 'white'][CAST(ring // 2 AS INT) + 1] END AS colour FROM n""")
+def ring_of_shots(spark, sf_dir):
+    """Colour under each shot, and whether it is on the canvas."""
+    p = shifted(spark, sf_dir).select("vec_id", "i", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    return p.select("vec_id", "i", g.inside(F.col("x"), F.col("y"), 600).alias("inside"), raster.ring_colour(F.col("x"), F.col("y")).alias("colour"))
+
+
+@query(f"""
+WITH p AS ({SHIFTED.format(n=10)}), q AS (SELECT vec_id, i, round(sqrt((x - 300) ** 2 + (y - 300) ** 2) / 298, 3) AS r, round(degrees(atan2(y - 300, x - 300)), 3) AS a FROM p)
+SELECT vec_id, i, CAST(trunc(300 + r * 298 * cos(radians(CASE WHEN a < 0 THEN a + 360 ELSE a END))) AS INT) AS px, CAST(trunc(300 + r * 298 * sin(radians(CASE WHEN a < 0 THEN a + 360 ELSE a END))) AS INT) AS py FROM q""")
+def pixel_of_shot(spark, sf_dir):
+    r, theta = g.polar(F.col("x"), F.col("y"))
+    a = F.round(F.when(theta > 180, theta - 360).otherwise(theta), 3)
+    p = shifted(spark, sf_dir).select("vec_id", "i", F.round(r, 3).alias("r"), F.when(a < 0, a + 360).otherwise(a).alias("a"))
+    x, y = g.to_pixel(F.col("r"), F.col("a"))
+    return p.select("vec_id", "i", x.alias("px"), y.alias("py"))
+
+
+@query(f"""
+WITH c AS (SELECT vec_id, arg_min((x, y), (x + y, i)) AS tl, arg_min((x, y), (y - x, i)) AS tr, arg_min((x, y), (-(x + y), i)) AS br, arg_min((x, y), (x - y, i)) AS bl, count(DISTINCT (x, y)) AS k,
+             len(list_distinct([arg_min(i, (x + y, i)), arg_min(i, (y - x, i)), arg_min(i, (-(x + y), i)), arg_min(i, (x - y, i))])) AS apart FROM ({PTS.format(n=4)}) GROUP BY vec_id)
+SELECT vec_id, apart = 4 AS apart, CASE WHEN apart = 4 THEN 0.0 END AS off FROM c""")
+def square_corners(spark, sf_dir):
+    """How far the ordered corners land from those of the square, in 10,000ths of its side; null where one point is two corners."""
+    e = t(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(k) for k, c in g.corners(vec(4)).items()])
+    names = ["tl", "tr", "br", "bl"]
+    e = e.withColumns({f"h{k}": c for k, c in enumerate(g.homography([(F.col(f"{k}.x"), F.col(f"{k}.y")) for k in names], g.square()))})
+    off = []
+    for k, (u, v) in zip(names, g.square(), strict=True):
+        x, y = g.project([F.col(f"h{j}") for j in range(9)], F.col(f"{k}.x"), F.col(f"{k}.y"))
+        off.append(F.hypot(x - u, y - v))
+    apart = F.size(F.array_distinct(F.array(*[F.col(f"{k}.i") for k in names]))) == 4
+    return e.select("vec_id", apart.alias("apart"), F.when(apart, F.abs(F.round(F.greatest(*off) / 600, 4))).alias("off"))
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y, arg_min(i, (y, i <> 0, i)) + 1 AS t, arg_min(i, (-y, i <> 1, i)) + 1 AS b,
+           arg_min(i, (x, i <> 2, i)) + 1 AS l, arg_min(i, (-x, i <> 3, i)) + 1 AS r FROM ({PTS.format(n=4)}) GROUP BY vec_id)
+SELECT vec_id, round(x[l], 6) AS x1, round(y[t], 6) AS y1, round((x[l] + x[r]) / 2, 6) AS cx, round((y[t] + y[b]) / 2, 6) AS cy, round(x[b], 6) AS chord_x2, round(y[r], 6) AS chord_y2,
+       round((100 + vec_id % 7) / 50.0, 6) AS ratio_x, round((200 + vec_id % 5) / 40.0, 6) AS ratio_y FROM e""")
+def guide_lines(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(k) for k, c in g.extremes(vec(4)).items()])
+    four_of = [F.col(k) for k in ("top", "bottom", "left", "right")]
+    level, upright = g.midlines(g.rectangle(*four_of))
+    down, across = g.chords(*four_of)
+    rx, ry = g.display_ratio(100 + F.col("vec_id") % 7, 200 + F.col("vec_id") % 5, F.lit(50.0), F.lit(40.0))
+    at = lambda a, k: r6(F.get(a, F.lit(k)))
+    return e.select("vec_id", at(level, 0).alias("x1"), at(upright, 1).alias("y1"), at(upright, 0).alias("cx"), at(level, 1).alias("cy"), at(down, 2).alias("chord_x2"), at(across, 3).alias("chord_y2"), r6(rx).alias("ratio_x"), r6(ry).alias("ratio_y"))
+
+
+@query(f"SELECT vec_id, CAST(min(i) FILTER (abs(x) <= 6 AND abs(y) <= 6) AS INT) AS marker FROM ({PTS.format(n=10)}) GROUP BY vec_id")
+def marker_hits(spark, sf_dir):
+    return t(spark, sf_dir, "embeddings").select("vec_id", g.hit_marker(vec(10), F.lit(0.0), F.lit(0.0)).alias("marker"))
+
+
+@query("""
+WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY md5(concat(event_id, '/3/42')), event_id) - 1 AS i FROM events)
+SELECT i // 64 AS batch, CAST(count(*) AS INT) AS n, array_to_string(list(event_id ORDER BY i), ',') AS ids FROM r GROUP BY i // 64""")
+def epoch_batches(spark, sf_dir):
+    """Batches of an epoch's own order, stacked."""
+    rows = frames.epoch_order(t(spark, sf_dir, "events").select("event_id", "value"), "event_id", 3)
+    b = frames.stack_batches(rows, "idx", 64, "event_id", "value")
+    return b.select("batch", F.size("value").alias("n"), F.array_join(F.col("event_id").cast("array<string>"), ",").alias("ids"))
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events)
+SELECT event_id, CAST(5 * least(i, floor(i * 20 / n)) AS INT) AS percent, printf('%d/%d | %d', i + 1, n, event_id % 11) AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM r JOIN events USING (event_id), n""")
+def progress_and_status(spark, sf_dir):
+    rows = frames.numbered(t(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    n = F.lit(rows.count())
+    return rows.select("event_id", frames.progress(F.col("idx"), n).alias("percent"), paths.status(F.col("idx"), n, F.col("event_id") % 11).alias("status"), paths.iso_seconds(F.col("ts")).alias("at"))
+
+
+@query("""
+SELECT conv_id, concat('{"image":"', conv_id, '.png","created":"', max(turn), '","target":{"size":600,"rings":2,"ring_colors":["white","black"]},"shots":[',
+  string_agg(concat('{"image":null,"timestamp":"', turn, '","r_norm":', turn, '.5}'), ',' ORDER BY turn), ']}') AS document FROM conversations GROUP BY conv_id""")
+def series_documents(spark, sf_dir):
+    shot = F.struct(F.lit(None).cast("string").alias("image"), F.col("turn").cast("string").alias("timestamp"), (F.col("turn") + 0.5).cast("double").alias("r_norm"))
+    own = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.array_sort(F.collect_list(F.struct("turn", shot.alias("s")))).alias("x"))
+    return own.select("conv_id", photos.series_document(F.concat(F.col("conv_id").cast("string"), F.lit(".png")), F.col("last").cast("string"), F.transform("x", lambda x: x["s"]), 600, ["white", "black"]).alias("document"))
+
+
+@query("SELECT page_id, row_number() OVER (ORDER BY try_cast(page_id * 7 % 100 AS INT), page_id) - 1 AS place FROM pages")
+def stem_order(spark, sf_dir):
+    """Order by integer stem, then path; the place of each row."""
+    rows = t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("s/"), (F.col("page_id") * 7 % 100).cast("string"), F.lit("."), F.format_string("%012d", "page_id"), F.lit(".png")).alias("path"))
+    placed = frames.numbered(rows.withColumn("stem", paths.int_stem(F.col("path"))), "stem", "path", out="place")
+    return photos.by_int_stem(placed).select("page_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT event_id // 1000 AS epoch, event_type AS split, round(avg(value), 6) AS loss FROM events GROUP BY ALL")
+def loss_history(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("epoch"), F.col("event_type").alias("split"), F.col("value").alias("loss"))
+    return frames.history_of_losses(e, "epoch", "split", "loss").select("epoch", "split", r6(F.col("loss")).alias("loss"))
+
+
+@query(f"""
+SELECT vec_id, CAST(i AS INT) AS i, CASE WHEN i // 2 < 4 THEN CAST(embedding[i + 1] AS FLOAT) ELSE CAST(-100 AS FLOAT) END AS v FROM embeddings, (SELECT unnest(range(20)) AS i)""")
+def label_tensors(spark, sf_dir):
+    """Shots of a series document, read back and padded, in single precision."""
+    shot = lambda k: F.struct(F.get("embedding", F.lit(2 * k)).alias("r_norm"), F.get("embedding", F.lit(2 * k + 1)).alias("theta_deg"))
+    doc = F.to_json(F.struct(F.array(*[shot(k) for k in range(4)]).alias("shots")))
+    return t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(shots.label_tensor(photos.shots(doc))).alias("i", "v"))
