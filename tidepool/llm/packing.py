@@ -7,94 +7,146 @@ up to a cut j is min over earlier cuts i of best(i) + padding(j - i) + cost(j),
 padding is size - (j - i), a monotone queue of best(i) + i gives each minimum in constant
 time; windows whose length is a power of two are not padded and are tried as well.
 
-Spark deals documents to range partitions of the id, each sorted; a task holds one block
-of the stream at a time, emits all windows of a block but the last, and carries that one
-on.  Only the last window of a partition is short of choices.
+Spark deals documents to range partitions of the id (then of the text's hash, then of the row, so
+that rows of one id may be in several), each sorted; a task holds one block of the stream at a
+time, emits all windows of a block but the last, and carries that one on.  Only the last window
+of a partition is short of choices, and cuts are the best of each block.
+
+Texts are tokenised through a table of distinct chunks that a worker keeps from task to task: chunks
+end where byte-level pretokenisation starts anew whatever stands before, so that each is encoded
+once and the ids of texts are put together by array operations.  Tokenizers of another kind than
+byte-level ones without normalisation are applied to whole texts.
 
 Cases: a null or empty text is the end id alone; an empty table gives no pieces; rows of
-equal ids stand next to each other in any order; a null id comes first; text without
-sentence ends is cut between any two tokens at ``word_cost``; extra columns are ignored.
+equal ids stand next to each other, by the hash of their texts; a null id comes first; text without
+sentence ends is cut between any two tokens at ``word_cost``; a very long text is a stream like any
+other, held by one task with 4 bytes a token; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import re
+import json
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import named
-from .textkit import texts
+from .textkit import SpanTable, text_slices
 
 #: Tokens of the stream that are cut at a time.
 BLOCK = 1 << 18
-#: Distinct pretokenised chunks that a task remembers.
-TABLE_CHUNKS = 400_000
-#: Where byte-level pretokenisation always starts anew: before one space that a word follows, after a line end that a word follows.
-CHUNK = re.compile(r"(?<=\S)(?= \S)|(?<= )(?= \S)|(?<=\S\n)(?=\S)")
+#: Distinct chunks that a worker remembers, about 60 bytes each.
+TABLE_CHUNKS = 2_000_000
+#: New chunks that are encoded as one text, as a call for each costs more; where chunks begin with a space they are parted again.
+JOINED = 64
+#: Bytes that begin no white space character, so that a chunk may begin with them or with one space before them.
+SOLID = np.zeros(256, bool)
+SOLID[0x21:0x7F] = SOLID[0xC3:0xE1] = SOLID[0xE4:0xF5] = True
+SENTENCE_END = np.zeros(256, bool)
+SENTENCE_END[list(b".!?\n")] = True
 
 
 @functools.lru_cache(maxsize=2)
 def load(path: str):
+    """(tokenizer, its chunk table or None if chunks may not be encoded apart, texts of its special tokens)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
-
-
-def chunks_of(text: str) -> list[str]:
-    return CHUNK.split(text) if text else []
-
-
-def tokenise(tok, rows: list[str], table: dict[str, bytes]) -> list[tuple[bytes, list[int]]]:
-    """Per text: ids as little-endian uint32 bytes, and the places (in ids) where sentences end."""
-    cut = [chunks_of(x) for x in rows]
-    if len(table) > TABLE_CHUNKS:
-        table.clear()
-    new = [c for c in dict.fromkeys(c for x in cut for c in x) if c not in table]
-    for c, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-        table[c] = np.array(e.ids, "<u4").tobytes()
-    out = []
-    for x in cut:
-        parts = [table[c] for c in x]
-        ends, at = [], 0
-        for c, p in zip(x, parts, strict=True):
-            at += len(p)
-            if c[-1] in ".!?\n":
-                ends.append(at // 4)
-        out.append((b"".join(parts), ends))
-    return out
+    tok = Tokenizer.from_file(path)
+    made = json.loads(tok.to_str())
+    before = made["pre_tokenizer"] or {}
+    apart = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and made["normalizer"] is None and made["post_processor"] is None
+    special = [x["content"].encode() for x in made["added_tokens"]]
+    return tok, SpanTable(TABLE_CHUNKS) if apart and not any(x.isspace() or b" " in x for x in special) else None
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks start: before a space that a solid character follows; at a solid character after a single line end."""
+    n = len(data)
+    start = np.zeros(n, bool)
+    if n > 1:
+        solid = SOLID[data[1:]]
+        two = (data[1:] == 0xC2) & np.append((data[2:] != 0x85) & (data[2:] != 0xA0), False)
+        start[:-1] = (data[:-1] == 0x20) & (solid | two)
+        if n > 2:
+            start[2:] |= (data[1:-1] == 0x0A) & SOLID[data[2:]] & (data[:-2] > 0x20) & (data[:-2] < 0x7F)
+    start[offsets[offsets < n]] = True
+    return np.flatnonzero(start)
+
+
+def tokenise(loaded, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per text: ids as uint32, and the places (in ids) where sentences end."""
+    tok, table = loaded
+    if table is None:
+        rows = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        for e in tok.encode_batch(rows, add_special_tokens=False):
+            ends = [k + 1 for k, (_, b) in enumerate(e.offsets) if e.tokens[k][-1:] in (".", "!", "?", "\u010a")]
+            yield np.array(e.ids, np.uint32), np.array(ends, np.int64)
+        return
+
+    def code(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(c) for c in chunks])
+        whole = b"".join(chunks)
+        flat = np.frombuffer(whole + b"\0\0", np.uint8)
+        at = np.cumsum(size) - size
+        begins = (flat[at] != 0x20) | (size < 2) | ~(SOLID[flat[at + 1]] | ((flat[at + 1] == 0xC2) & (flat[at + 2] != 0x85) & (flat[at + 2] != 0xA0)))
+        begins[::JOINED] = True
+        heads = np.flatnonzero(begins)
+        chars = np.concatenate([[0], np.cumsum(flat[:-2] & 0xC0 != 0x80)])
+        got = tok.encode_batch([whole[x:y].decode() for x, y in zip(at[heads].tolist(), np.append(at[heads[1:]], len(whole)).tolist(), strict=True)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
+        place = np.fromiter((x for e in got for x, _ in e.offsets), np.int64, len(ids)) + np.repeat(chars[at[heads]], [len(e.ids) for e in got])
+        return ids, np.bincount(np.searchsorted(chars[at], place, "right") - 1, minlength=len(chunks)), SENTENCE_END[flat[at + size - 1]]
+
+    starts = chunk_starts(data, offsets)
+    slots = table.slots(data, starts, code)
+    ids, at = table.spread(slots)
+    first = np.searchsorted(starts, offsets)
+    end = at[1:][table.flag[slots]]
+    lo = at[first]
+    cut = np.searchsorted(end, lo, "right")  # a sentence's end at the text's own begin belongs to the text before
+    for k in range(len(offsets) - 1):
+        yield ids[lo[k] : lo[k + 1]], end[cut[k] : cut[k + 1]] - lo[k]
 
 
 def best_cuts(total: int, marks: list[tuple[int, int]], size: int, word_cost: int) -> list[int]:
     """Cut places from 0 to ``total``; ``marks``: ascending (place, cost) of good cuts, the last at ``total``."""
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best(i) + i, i), both ascending in i
-    best, back = {0: 0}, {0: 0}
-    order, powers = [0], [1 << k for k in range(size.bit_length()) if 1 << k < size]
+    far = 1 << 60
+    best, back = [far] * (total + 1), {0: 0}
+    best[0] = 0
+    last, powers, step = 0, [1 << k for k in range(size.bit_length()) if 1 << k < size], max(1, size // 32)
 
     def put(j: int, cost: int) -> None:
+        nonlocal last
         while queue[0][1] < j - size:
             queue.popleft()
         value, i = queue[0][0] + size - j, queue[0][1]
         for p in powers:
-            if (b := best.get(j - p)) is not None and b < value:
-                value, i = b, j - p
+            if p > j:
+                break
+            if best[j - p] < value:
+                value, i = best[j - p], j - p
         value += cost
         best[j], back[j] = value, i
-        order.append(j)
+        last = j
         while queue and queue[-1][0] >= value + j:
             queue.pop()
         queue.append((value + j, j))
 
     for j, cost in marks:
-        while j - order[-1] > size // 32:  # no good cut for a while: cuts inside, too
-            put(order[-1] + size // 32, word_cost)
-        if j > order[-1]:
+        while j - last > step:  # no good cut for a while: cuts inside, too
+            put(last + step, word_cost)
+        if j > last:
             put(j, cost)
     cuts = [total]
     while cuts[-1]:
@@ -102,16 +154,17 @@ def best_cuts(total: int, marks: list[tuple[int, int]], size: int, word_cost: in
     return cuts[::-1]
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sentence_cost: int = 2, word_cost: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces: doc_id, start, length, ids (array<int>), crc (CRC-32 of the ids as little-endian uint32), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sentence_cost: int = 2, word_cost: int = 12, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pieces: doc_id, start, length, ids (array<int>, unless ``with_ids`` is false), crc (CRC-32 of the ids as little-endian uint32), doc_tokens, sequence_id, offset."""
     src = named(docs, doc_id=doc_id, t=text)
     kind = src.schema["doc_id"].dataType.simpleString()
-    fields = ["doc_id", "start", "length", "ids", "crc", "doc_tokens", "sequence_id", "offset"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    end = np.array([end_id], "<u4").tobytes()
+    fields = {"start": "long", "length": "long", "ids": "array<int>", "crc": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long"}
+    if not with_ids:
+        del fields["ids"]
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, table = load(tokenizer), {}
+        loaded = load(tokenizer)
         sequence = TaskContext.get().partitionId() << 40
         held: list[list] = []  # documents not yet cut to their end: id, ids, sentence ends, tokens emitted
         waiting = 0
@@ -122,9 +175,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sen
                 return
             marks, at = [], 0
             for _, ids, ends, gone in held:
-                n = len(ids) // 4
-                marks += [(at + e - gone, sentence_cost) for e in ends if gone < e < n]
-                at += n - gone
+                marks += [(x, sentence_cost) for x in (ends[(ends > gone) & (ends < len(ids))] + (at - gone)).tolist()]
+                at += len(ids) - gone
                 marks.append((at, 0))
             cuts = best_cuts(at, marks, size, word_cost)
             stop = cuts[-1] if last else cuts[-2]
@@ -136,9 +188,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sen
                 offset = 0
                 while offset < b - a:
                     doc = held[k]
-                    n = len(doc[1]) // 4
+                    n = len(doc[1])
                     take = min(n - doc[3], b - a - offset)
-                    rows.append((doc[0], doc[3], take, np.frombuffer(doc[1], "<i4", take, 4 * doc[3]), zlib.crc32(doc[1][4 * doc[3] : 4 * (doc[3] + take)]), n, sequence, offset))
+                    own = doc[1][doc[3] : doc[3] + take]
+                    rows.append((doc[0], doc[3], take, own.view(np.int32), zlib.crc32(own.astype("<u4").tobytes()), n, sequence, offset))
                     offset += take
                     doc[3] += take
                     k += doc[3] == n
@@ -146,20 +199,21 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sen
             held = held[k:]
             waiting = at - stop
             for x in range(0, len(rows), 1000):
-                cols = list(zip(*rows[x : x + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_type[0]), *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], fields)
+                cols = dict(zip(("doc_id", "start", "length", "ids", "crc", "doc_tokens", "sequence_id", "offset"), zip(*rows[x : x + 1000], strict=True), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], id_type), *(pa.array(cols[c], pa.list_(pa.int32()) if c == "ids" else pa.int64()) for c in fields)], ["doc_id", *fields])
 
-        id_type: list[pa.DataType] = []
+        id_type: pa.DataType | None = None
         for batch in batches:
-            id_type[:] = [batch.schema.field("doc_id").type]
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for key, (ids, ends) in zip(part.column("doc_id").to_pylist(), tokenise(tok, texts(part, "t"), table), strict=True):
-                    held.append([key, ids + end, ends, 0])
-                    waiting += len(ids) // 4 + 1
+            id_type = batch.schema.field("doc_id").type
+            for lo, hi, data, offsets in text_slices(batch, "t"):
+                keys = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+                for key, (ids, ends) in zip(keys, tokenise(loaded, data, offsets), strict=True):
+                    held.append([key, np.concatenate([ids, end]), ends, 0])
+                    waiting += len(ids) + 1
                     if waiting >= BLOCK:
                         yield from flush(last=False)
         yield from flush(last=True)
 
-    dealt = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return dealt.mapInArrow(run, f"doc_id {kind}, start long, length long, ids array<int>, crc long, doc_tokens long, sequence_id long, offset long")
+    order = src.withColumns({"_h": F.xxhash64("t"), "_row": F.monotonically_increasing_id()})
+    dealt = order.repartitionByRange("doc_id", "_h", "_row").sortWithinPartitions("doc_id", "_h", "_row").select("doc_id", "t")
+    return dealt.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in fields.items()))

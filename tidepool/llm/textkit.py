@@ -65,6 +65,55 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """uint64 hash of each span of bytes from one start to the next, the last to the end of ``data``."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    size = np.diff(np.append(starts, len(data)))
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), size)
+    value = mix((place << np.uint64(8)) + data.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return mix(np.add.reduceat(value, starts) + size.astype(np.uint64))
+
+
+class SpanTable:
+    """What is known of distinct spans, by hash: a list of ids and a flag each. Beyond ``most`` spans it starts anew, so that it is bounded."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.size, self.flag, self.first, self.ids = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def slots(self, data: np.ndarray, starts: np.ndarray, code) -> np.ndarray:
+        """The place in the table of each span; ``code`` gives all ids, their numbers and a flag of each of the spans (as bytes) that it lacks."""
+        keys, at, back = np.unique(span_hashes(data, starts), return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self.clear()
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            stop = np.append(starts, len(data))
+            ids, n, flags = code([data[a:b].tobytes() for a, b in zip(stop[at[new]].tolist(), stop[at[new] + 1].tolist(), strict=True)])
+            fresh = len(self.size) + np.arange(len(new))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
+            self.size, self.flag = np.concatenate([self.size, n]), np.concatenate([self.flag, np.asarray(flags, bool)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.keys, self.slot = np.insert(self.keys, place[new], keys[new]), np.insert(self.slot, place[new], fresh)
+            place = np.searchsorted(self.keys, keys)
+        return self.slot[place][back]
+
+    def spread(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the spans one after the other, uint32; where each span's begin, and the total)."""
+        size = self.size[slots]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.first[slots] - at[:-1], size) + np.arange(at[-1])], at
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(uint64 hash of each word, A-Z lower-cased; first word of each text and the total).
 
