@@ -1,9 +1,12 @@
 """What the toxic dictionary learns."""
 
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tidepool.llm import toxicity
@@ -32,7 +35,7 @@ def test_passages_tell_where_no_word_does():
     phrase = ["karan", "losel", "mitir"]
     toxic, ordinary = (made(rng, lambda k=k: " ".join(phrase if k else rng.sample(phrase[:2] + WORDS[:9], 3)), 120) for k in (1, 0))
     model = toxicity.fit(toxic[:90], ordinary[:90], 0.5)
-    assert any(b"karan losel" in g for g in toxicity.contrast(toxic, ordinary))
+    assert any(b"karan losel" in g for g in toxicity.contrast(*([toxicity.gist(t) for t in x] for x in (toxic, ordinary))))
     assert flagged(model, toxic[90:]).mean() > 0.7 and flagged(model, ordinary[90:]).mean() < 0.1
 
 
@@ -48,7 +51,52 @@ def test_few_texts_fill_the_head():
     docs = pd.read_parquet(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{DATA}/labels.parquet"), on="doc_id").dropna(subset=["text", "toxic"])
     for most in (5, 30, None):
         toxic, ordinary = (docs.text[docs.toxic == k].tolist()[:most] for k in (1, 0))
-        telling = toxicity.contrast(toxic, ordinary)
+        telling = toxicity.contrast(*([toxicity.gist(t) for t in x] for x in (toxic, ordinary)))
         model = toxicity.fit(toxic, ordinary)
         assert telling and b"".join(telling).strip() and model.toxic != model.ordinary
         assert most == 5 or any(w.strip() in (b"trash", b"idiot", b"scum", b"moron", b"clown") for w in telling)
+
+
+def test_ends_come_from_the_trainer():
+    docs = pd.read_parquet(f"{DATA.replace('0.01', '0.1')}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{DATA.replace('0.01', '0.1')}/labels.parquet"), on="doc_id").dropna(subset=["text", "toxic"])
+    toxic, ordinary = ([toxicity.gist(t) for t in docs.text[docs.toxic == k].tolist()[:300]] for k in (1, 0))
+    telling = toxicity.contrast(toxic, ordinary)
+    size = max(3 * sum(map(len, telling)) // 2, toxicity.LEAST_HEAD)
+    seen = [t for p in toxicity.parts_of(toxic) for t in telling for _ in range(p.count(t))]
+    plain = sorted(toxicity.parts_of(ordinary), key=lambda p: (zlib.crc32(p), p))[: toxicity.PLAIN]
+    made = toxicity.dictionaries(toxic, ordinary)
+    for samples, got in zip((seen, plain), made, strict=True):
+        assert got[toxicity.BASE :].startswith(zstandard.train_dictionary(size + toxicity.TABLES, samples).as_bytes()[-size:])
+    assert len(made[0]) == len(made[1]) and made[0][: toxicity.BASE] == made[1][: toxicity.BASE] and all(t in made[0][toxicity.BASE :] for t in telling)
+    assert toxicity.trained([], 200) is None and toxicity.trained([b"abc"], 200) is None
+
+
+def test_passages_come_from_whole_texts():
+    rng = random.Random(3)
+    lead = " ".join(rng.choices(WORDS, k=3000))
+    toxic = [f"{lead} {t}" for t in made(rng, lambda: "karan losel mitir", 90)]
+    ordinary = [f"{lead} {t}" for t in made(rng, lambda: " ".join(rng.sample(WORDS, 3)), 90)]
+    parts = toxicity.gist(toxic[0]).split(bytes(toxicity.AROUND))
+    assert len(parts) == toxicity.PASSAGES and all(p.decode().strip() in toxic[0] for p in parts)
+    model = toxicity.fit(toxic, ordinary, 0.5)
+    assert flagged(model, toxic[:9]).mean() > 0.7 and flagged(model, ordinary[:9]).mean() < 0.3
+
+
+def test_held_out_rows_and_edge_cases(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    odd = spark.createDataFrame([(None, None), (-1, ""), (-2, None), (-3, "x " * 200_000), (-4, "moron trash " * 40), (-4, "moron trash " * 40), (-5, "a\x00b")], "doc_id long, text string")
+    model = toxicity.train(docs, labels.selectExpr("*", "1 as k", "2 as o", "3 as t"))
+    rows = toxicity.score(docs.select("doc_id", "text").unionByName(odd).selectExpr("*", "1 as t", "2 as score"), model).collect()
+    got = {r.doc_id: r.score for r in rows}
+    assert len(rows) == docs.count() + 7 and all(0 <= r.score <= 1 for r in rows)
+    assert got[None] == got[-1] == got[-2] < 0.5 and got[-3] < 0.5 <= got[-4]
+    mark = {r.doc_id: r.toxic for r in labels.where(toxicity.held_out(labels.doc_id)).collect() if r.toxic is not None and r.doc_id in got}
+    caught = [got[k] >= 0.5 for k, y in mark.items() if y == 1]
+    wrong = [got[k] >= 0.5 for k, y in mark.items() if y == 0]
+    assert sum(caught) >= 0.5 * len(caught) and sum(wrong) <= 0.05 * len(wrong)
+    assert spark.range(1).select(toxicity.held_out(F.lit(None))).first()[0] is False
+    none = toxicity.train(docs, labels.where("toxic = 0"))
+    assert none is None and toxicity.score(docs, none).where("score != 0").count() == 0
+    assert toxicity.train(docs.limit(0), labels) is None and toxicity.score(docs.limit(0), model).count() == 0
+    again = toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert again == model

@@ -1,42 +1,52 @@
 """Toxicity by compression distance: two zstandard dictionaries, window by window.
 
 Both dictionaries begin with the same base of ordinary text and differ in their ends, which
-the compressor prefers: one holds passages of toxic documents (words, stems, phrases),
-ranked by how many more toxic texts than ordinary ones hold them, the other as many bytes
-of ordinary text.  zstandard's own trainer takes what is frequent, not what is telling.
+the compressor prefers: what zstandard's trainer makes of toxic text at one, of ordinary
+text at the other.  As the trainer takes what is frequent, not what is telling, it is given of
+toxic texts the places where telling passages stand: passages (words, stems, phrases) ranked by how
+many more toxic texts than ordinary ones hold them, and kept if chance does not explain it.  They
+themselves follow, for what the trainer leaves out.
 A window that the toxic dictionary shortens more than the ordinary one is evidence; a
 document's evidence is calibrated to a score by a logistic curve, fitted on labelled
 documents that the dictionaries have not seen.
 
 The fit reads a bounded sample of labelled rows (``SAMPLE`` of each label, by hash of the
-id; at most ``SAMPLE_CHARS`` each), so the model is of the same size at every input size.
+id).  Of a sampled text the dictionaries see passages of the whole of it, ``PASSAGES`` at most, chosen
+by hash; calibration reads the evidence of whole texts, as scoring does, on the executors.  So the
+model is of the same size at every input size, and nothing hangs on where in a text a passage stands.
 Scoring covers whole texts of all rows; only the text is read.
 
 Cases: null and empty texts give the score of no evidence; equal texts equal scores; an
 empty table gives no rows; with no toxic or no ordinary labelled row every score is 0;
-labels that are null, or stand for no document, are left out; extra columns are ignored.
+labels that are null, or stand for no document, are left out; a labelled id of several texts is learned by that
+of the least hash, one of several labels as toxic; a null id is not held out; very long texts cost in proportion to
+their length; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import named
+from .shared import named, stored
 from .textkit import mix, texts, window_hashes
 
-SAMPLE, SAMPLE_CHARS = 3000, 8000
+#: Labelled rows of each label that are fitted on; passages of each that the dictionaries see, and words of a passage.
+SAMPLE, PASSAGES, WORDS = 3000, 24, 24
 #: Words of a window and from one to the next; from how many bytes saved a window counts; sizes of the dictionaries' parts.
 WINDOW, STRIDE, MARGIN = 5, 4, 3
 HEAD, BASE = 4096, 12288
+#: Bytes that a trained dictionary has before its content, least size of a trained end, passages of ordinary text that are trained on.
+TABLES, LEAST_HEAD, PLAIN = 1024, 192, 20_000
 #: Bytes of the passages compared, and of their surroundings; chance that one of a sample's passages is kept wrongly; passages kept where none passes.
 WIDTHS, AROUND, CHANCE, FEW = (5, 7, 10, 16, 24), 8, 0.01, 16
 WORD = re.compile(r"\w+")
@@ -53,6 +63,16 @@ class Model:
         return make(self.toxic), make(self.ordinary)
 
 
+def gist(text: str) -> bytes:
+    """Passages of a whole text, lower-cased words only, with zero bytes between; of many, those of the least hashes."""
+    words = WORD.findall(text.lower())
+    parts = [f" {' '.join(words[k : k + WORDS])} ".encode().replace(b"\0", b" ") for k in range(0, len(words), WORDS)]
+    if len(parts) > PASSAGES:
+        least = sorted(range(len(parts)), key=lambda k: (zlib.crc32(parts[k], k), k))[:PASSAGES]
+        parts = [parts[k] for k in sorted(least)]
+    return bytes(AROUND).join(parts)
+
+
 def windows(text: str) -> Iterator[bytes]:
     """Lower-cased words without punctuation, ``WINDOW`` at a time, so that none is cut; one empty window without words."""
     words = WORD.findall(text.lower())
@@ -61,9 +81,9 @@ def windows(text: str) -> Iterator[bytes]:
 
 
 def evidence(text: str, toxic, ordinary) -> tuple[float, float, float]:
-    """(bytes saved by the toxic dictionary in the best window, log of the sum over windows that save ``MARGIN`` or more, of windows)."""
+    """(bytes saved by the toxic dictionary in the best window, log of the sum over windows that save ``MARGIN`` or more, of windows); equal windows count once."""
     best, total, n = 0, 0, 0
-    for w in windows(text):
+    for w in dict.fromkeys(windows(text)):
         d = len(ordinary.compress(w)) - len(toxic.compress(w))
         n += 1
         best = max(best, d)
@@ -86,19 +106,21 @@ def supports(rows: list[bytes], width: int, only: np.ndarray | None = None) -> t
     """
     gap = bytes(AROUND)
     data = np.frombuffer(gap + b"".join(r + gap for r in rows), np.uint8)
-    zeros = np.concatenate([[0], np.cumsum(data == 0)])
-    at = np.flatnonzero(zeros[width:] == zeros[:-width])
+    zeros = np.concatenate([[0], np.cumsum(data == 0, dtype=np.int32)])
+    at = np.flatnonzero(zeros[width:] == zeros[:-width]).astype(np.int32)
+    del zeros
     key = window_hashes(data, width)[at]
-    slot = (key >> np.uint64(40)).astype(np.int64)
+    slot = (key >> np.uint64(42)).astype(np.int32)
     if only is None:
-        sel = np.flatnonzero(np.bincount(slot, minlength=1 << 24)[slot] > 1)
+        sel = np.flatnonzero(np.bincount(slot, minlength=1 << 22)[slot] > 1)
     else:
-        marked = np.zeros(1 << 24, bool)
-        marked[(only >> np.uint64(40)).astype(np.int64)] = True
+        marked = np.zeros(1 << 22, bool)
+        marked[(only >> np.uint64(42)).astype(np.int64)] = True
         sel = np.flatnonzero(marked[slot])
         sel = sel[np.isin(key[sel], only)]
     looked = len(at)
     at, key = at[sel], key[sel]
+    del slot, sel
     wide = window_hashes(data, width + 2 * AROUND)[at - AROUND]
     first = np.sort(np.unique(wide, return_index=True)[1])
     at, key = at[first], key[first]
@@ -108,13 +130,12 @@ def supports(rows: list[bytes], width: int, only: np.ndarray | None = None) -> t
     return found, n, at[first][place], data, looked
 
 
-def contrast(own: list[str], other: list[str]) -> list[bytes]:
+def contrast(own: list[bytes], other: list[bytes]) -> list[bytes]:
     """Passages of ``own`` by their excess of rows over ``other``, those that save most first; none lies mostly in one before it.
 
     Kept are passages that chance explains with less than ``CHANCE`` over all passages looked at (Poisson's bound,
     so that the cut follows the sample), or, where there are none, the best ``FEW``.
     """
-    own, other = ([f" {' '.join(WORD.findall(t.lower()))} ".encode().replace(b"\0", b" ") for t in x] for x in (own, other))
     found, looked = [], 0
     for width in WIDTHS:
         key, n, place, data, more = supports(own, width)
@@ -142,22 +163,34 @@ def contrast(own: list[str], other: list[str]) -> list[bytes]:
     return kept
 
 
-def fit(toxic: list[str], ordinary: list[str], rate: float = 0.1) -> Model | None:
-    """Dictionaries from two thirds of the texts, calibration on the rest."""
-    if not toxic or not ordinary:
+def trained(samples: list[bytes], size: int) -> bytes | None:
+    """The last ``size`` bytes of the dictionary that zstandard trains on samples, where its best content stands; None if they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size + TABLES, samples).as_bytes()[-size:] if samples else None
+    except zstandard.ZstdError:
         return None
-    third = lambda x, k: [t for i, t in enumerate(x) if (i % 3 == 0) == (k == 0)] or x
-    own, other = third(toxic, 1), third(ordinary, 1)
-    telling = contrast(own, other)
-    base = "\n".join(t[:400] for t in other[: BASE // 200]).lower().encode()[:BASE]
-    toxic_head = b"".join(telling[::-1])
-    size = len(toxic_head)
-    plain = " ".join(" ".join(WORD.findall(t.lower())[:40]) for t in other[::-1]).encode()[:size].rjust(size, b" ")
-    model = Model(base + toxic_head, base + plain, (0.0,) * 4)  # of equal hashes the compressor keeps the last
-    pair = model.compressors()
-    x = np.array([evidence(t, *pair) for t in third(toxic, 0) + third(ordinary, 0)])
-    y = np.array([1.0] * len(third(toxic, 0)) + [0.0] * len(third(ordinary, 0)))
-    weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))  # the sample is of equal shares
+
+
+def parts_of(gists: list[bytes]) -> list[bytes]:
+    return [p for g in gists for p in g.split(bytes(AROUND)) if p]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """Raw contents of both, from gists: a common base, then what is trained on either, then telling passages, or as many bytes of ordinary text."""
+    telling = contrast(toxic, ordinary)
+    size = max(3 * sum(map(len, telling)) // 2, LEAST_HEAD)
+    parts = sorted(parts_of(ordinary), key=lambda p: (zlib.crc32(p), p))  # any, but always the same
+    seen = [t for p in parts_of(toxic) for t in telling for _ in range(p.count(t))]
+    own, other = trained(seen, size) or b"", trained(parts[:PLAIN], size) or b""
+    own += b"".join(telling[::-1])  # the trainer leaves some out, most of them where samples are few
+    other += b"".join(parts[::-1])[: max(len(own) - len(other), 0)]
+    base, size = b"".join(parts)[:BASE], max(len(own), len(other))
+    return base + own.rjust(size, b" "), base + other.rjust(size, b" ")  # of equal hashes the compressor keeps the last
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, ...]:
+    """Weights of the curve; the sample is of equal shares, ``rate`` is the share of toxic rows among all."""
+    weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
     design = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(4)
     for _ in range(30):  # Newton's steps with a small ridge
@@ -165,25 +198,63 @@ def fit(toxic: list[str], ordinary: list[str], rate: float = 0.1) -> Model | Non
         grad = design.T @ (weight * (p - y)) + 1e-2 * w * [1, 1, 1, 0]
         hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(4)
         w -= np.linalg.solve(hess, grad)
-    return Model(model.toxic, model.ordinary, tuple(map(float, w)))
+    return tuple(map(float, w))
+
+
+def thirds(rows: list) -> tuple[list, list]:
+    """(two thirds for the dictionaries, one for calibration); of few rows, all for either."""
+    return [t for i, t in enumerate(rows) if i % 3] or rows, rows[::3] or rows
+
+
+def fit(toxic: list[str], ordinary: list[str], rate: float = 0.1) -> Model | None:
+    """A model of texts at hand; ``train`` does the same with Spark."""
+    if not toxic or not ordinary:
+        return None
+    (own, own_rest), (other, other_rest) = thirds(toxic), thirds(ordinary)
+    model = Model(*dictionaries([gist(t) for t in own], [gist(t) for t in other]), (0.0,) * 4)
+    pair = model.compressors()
+    x = np.array([evidence(t, *pair) for t in own_rest + other_rest])
+    return Model(model.toxic, model.ordinary, calibrated(x, np.array([1.0] * len(own_rest) + [0.0] * len(other_rest)), rate))
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Fit on labelled rows outside the held-out fifth."""
-    marks = named(labels, id=doc_id, y=label).where("y is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    marks = named(labels, id=doc_id, y=label).where("id is not null and y is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     rate = marks.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
     if not rate or rate == 1:
         return None
     order = marks.withColumn("o", F.xxhash64("id"))
-    some = order.where("y = 1").orderBy("o", "id").limit(SAMPLE).unionByName(order.where("y = 0").orderBy("o", "id").limit(SAMPLE))
-    src = named(docs, id=doc_id, t=text).where("t is not null").select("id", F.substring("t", 1, SAMPLE_CHARS).alias("t"))
-    rows = src.join(F.broadcast(some.select(F.col("id").alias("k"), "y", "o")), F.expr("id = k")).select("y", "o", "id", "t").dropDuplicates(["id"]).collect()  # at most 2 * SAMPLE short texts
-    rows.sort(key=lambda r: (r.o, r.id))
-    return fit([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0], rate)
+    some = [order.where(F.col("y") == k).orderBy("o", "id").limit(SAMPLE) for k in (0, 1)]
+    some = some[0].unionByName(some[1]).withColumn("of", F.row_number().over(Window.partitionBy("y").orderBy("o", "id")) % 3).select(F.col("id").alias("k"), "y", "of")
+    found = named(docs, id=doc_id, t=text).where("t is not null").join(F.broadcast(some), F.expr("id = k"))  # at most 2 * SAMPLE ids
+    found = found.groupBy("id", "y", "of").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).select("id", "y", "of", "x.t")
+    found = stored(found, "labelled")
+
+    def gists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "y", "of")), pa.array([gist(t) for t in texts(batch, "t")], pa.binary())], ["id", "y", "of", "g"])
+
+    kinds = f"id {found.schema['id'].dataType.simpleString()}, y {found.schema['y'].dataType.simpleString()}"
+    seen = found.select("id", "y", "of", "t").mapInArrow(gists, f"{kinds}, of int, g binary").orderBy(F.xxhash64("id"), "id").collect()  # at most 2 * SAMPLE rows of PASSAGES short passages
+    both = [[r for r in seen if (r.y == 1) == toxic] for toxic in (True, False)]
+    if not all(both):
+        return None
+    seen = [[bytes(r.g) for r in x if r.of != 1] or [bytes(r.g) for r in x] for x in both]
+    model = Model(*dictionaries(*seen), (0.0,) * 4)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = model.compressors()
+        for batch in batches:
+            got = [evidence(t, *pair) for t in texts(batch, "t")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(x) for x in got], pa.list_(pa.float64()))], ["id", "y", "x"])
+
+    apart = all(any(r.of == 1 for r in x) for x in both)
+    rows = (found.where("of = 1") if apart else found).mapInArrow(measured, f"{kinds}, x array<double>").orderBy("id").collect()  # three numbers a row
+    return Model(model.toxic, model.ordinary, calibrated(np.array([r.x for r in rows]), np.array([float(r.y == 1) for r in rows]), rate))
 
 
 def with_score(docs: DataFrame, model: Model | None, text: str = "text", column: str = "score") -> DataFrame:
@@ -194,10 +265,12 @@ def with_score(docs: DataFrame, model: Model | None, text: str = "text", column:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = curve(np.array([evidence(t, *pair) for t in texts(part, text)]), model.weights) if model else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, column])
+                got = curve(np.array([evidence(t, *pair) for t in texts(part, "t")]), model.weights) if model else np.zeros(part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(got, pa.float64())], ["rest", "s"])
 
-    return docs.mapInArrow(run, docs.withColumn(column, F.lit(0.0)).schema)
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("rest"), docs[f"`{text}`"].alias("t"))
+    schema = whole.select("rest", F.lit(0.0).alias("s")).schema
+    return whole.mapInArrow(run, schema).select("rest.*", F.col("s").alias(column))
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
