@@ -21,8 +21,8 @@ def some(spark):
 
 def test_pieces_are_the_library_s(spark):
     model = tokenizer_path("piece_bpe_32k.model")
-    sp, apart = pieces.load(model)
-    assert apart
+    sp, table = pieces.load(model)
+    assert table is not None
     docs = some(spark)
     want = {r.doc_id: sp.encode(r.text or "", add_eos=True) for r in docs.collect()}
     got = {r.doc_id: r for r in pieces.encode(docs.selectExpr("*", "1 as ids"), model).collect()}
@@ -33,7 +33,8 @@ def test_pieces_are_the_library_s(spark):
 
 def test_packing(spark):
     path = tokenizer_path("byte_bpe_50k.json")
-    tok = packing.load(path)
+    tok, table = packing.load(path)
+    assert table is not None
     docs = some(spark)
     want = {r.doc_id: tok.encode(r.text or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
     rows = packing.pack(docs.selectExpr("*", "1 as start"), path).collect()
