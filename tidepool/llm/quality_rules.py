@@ -10,7 +10,8 @@ Repeats are found by sorting each document's 64-bit word-window hashes, so that
 row leaves its task: nothing is shuffled, whatever the lengths of texts are.
 
 Cases: null and empty texts have no words and fail ``few_words``; equal rows give
-equal rows; n_letters counts what is neither an ASCII digit nor ASCII punctuation; an empty table gives none; extra columns are ignored.
+equal rows; a null id stays null; very long texts are measured whole, in time that grows as their words' number
+times its logarithm; n_letters counts what is neither an ASCII digit nor ASCII punctuation; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,25 +41,20 @@ class Policy:
         return (failed.bitwiseAND(F.lit(mask(self.hard)).cast("long")) != 0) | (soft if self.soft else F.lit(False))
 
 
-#: Name of each rule and when it fails, over the measurements; a rule's place is its bit.
-RULES: dict[str, Column] = {}
-
-
 def rules() -> dict[str, Column]:
-    if not RULES:
-        n, words = F.col("n_words"), F.greatest(F.col("n_words"), F.lit(1))
-        RULES.update(
-            few_words=n < 50,
-            repeated_words=100 * F.col("n_repeat_words") > 50 * n,
-            many_words=n > 1_000_000,
-            short_words=F.col("word_chars") < 2 * n,
-            long_words=F.col("word_chars") > 15 * n,
-            symbols=10 * F.col("n_symbols") > 3 * n,
-            duplicate_lines=10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
-            few_letters=10 * F.col("n_letters") < 6 * F.col("word_chars"),
-            bare_words=2 * F.col("n_word_symbols") > words,
-        )
-    return RULES
+    """Name of each rule and when it fails, over the measurements; a rule's place is its bit."""
+    n, words = F.col("n_words"), F.greatest(F.col("n_words"), F.lit(1))
+    return {
+        "few_words": n < 50,
+        "repeated_words": 100 * F.col("n_repeat_words") > 50 * n,
+        "many_words": n > 1_000_000,
+        "short_words": F.col("word_chars") < 2 * n,
+        "long_words": F.col("word_chars") > 15 * n,
+        "symbols": 10 * F.col("n_symbols") > 3 * n,
+        "duplicate_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "few_letters": 10 * F.col("n_letters") < 6 * F.col("word_chars"),
+        "bare_words": 2 * F.col("n_word_symbols") > words,
+    }
 
 
 def mask(names: tuple[str, ...]) -> int:
