@@ -6,9 +6,9 @@ distrust, from blocked hosts against the links (a page that links to a blocked
 host is suspect); a host is blocked where distrust outweighs trust.
 
 Cases: a null url or one without ``://`` has empty host and path, fits no rule,
-and is allowed; a host that neither walk reaches is allowed; null html has no
-links; repeated pages count as often as they occur; empty tables give no rows;
-extra columns of the input are ignored.
+and is allowed; a host that neither walk reaches, or both reach alike, is allowed; null html has no
+links; repeated pages count as often as they occur; a null id stays null; empty tables give no rows;
+urls and pages of any length are read whole; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, named
 
-#: Rules become one expression of the plan, so their number is bounded.
-MAX_RULES = 500
+#: Up to so many rules become one expression of the plan; more are joined by host.
+RULES_IN_PLAN = 100
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,6 @@ def path_of(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest fitting rule as struct(rule, verdict); null where none fits. A block wins among equals."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (len(r.text), len(r.host), r.verdict == "block")):
         fits = ((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path)
@@ -60,30 +58,47 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
+def with_rule(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``pages`` (host, path and others) with ``r``, the longest fitting rule or null.
+
+    Many rules meet each distinct host by its suffixes; a host has few of them, which are tried on its pages' paths.
+    """
+    if len(rules) <= RULES_IN_PLAN:
+        return pages.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
+    spark = pages.sparkSession
+    table = spark.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "rule_host string, rule_path string, rule string, verdict string")
+    parts = F.split("host", r"\.")
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), ".")))
+    own = pages.select("host").distinct().select("host", suffix.alias("rule_host")).join(table, "rule_host")
+    rank = F.struct(F.char_length("rule").alias("n"), F.char_length("rule_host").alias("m"), (F.col("verdict") == "block").alias("b"), "rule_path", "rule", "verdict")
+    own = own.groupBy(F.col("host").alias("of")).agg(F.collect_list(rank).alias("own"))
+    best = F.array_max(F.filter("own", lambda x: F.startswith(F.col("path"), x["rule_path"])))
+    return pages.join(own, F.expr("host = of"), "left").withColumn("r", F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))).drop("of", "own")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) links between different hosts.
+    """(src, dst, n) links between different hosts, from the html's hrefs. ``pages``: host, html.
 
-    From absolute and protocol-relative links of the html; and, as sites of one domain
-    belong together, both ways between each host and the host without its first label,
-    whether or not that host has pages, unless it is a single label.
-    ``pages``: host, html.
+    Absolute and protocol-relative links name their host; all others belong to the host of the
+    page's ``<base href>``, or to the page's own, which makes no edge.
     """
-    href = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""), F.lit(1))
-    links = pages.where(F.contains(F.col("html"), F.lit("//"))).select(F.col("host").alias("src"), F.explode(href).alias("to"))
-    links = links.select("src", host_of(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))).alias("dst"))
-    links = links.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    hosts = pages.where("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    up = hosts.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst"), F.lit(1).cast("long").alias("n")).where("src != dst and contains(dst, '.')")
-    both = up.select("src", "dst", "n").unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    of = lambda link: host_of(F.when(F.startswith(link, F.lit("//")), F.concat(F.lit("x:"), link)).otherwise(link))
+    far = r"""(?i)^(?:[a-z][a-z0-9+.-]*:)?//"""
+    html = pages.where(F.contains(F.lower("html"), F.lit("href"))).select(F.col("host").alias("src"), "html", F.regexp_extract("html", r"""(?i)<base\b[^>]*?\shref\s*=\s*["']?([^"'\s>]*)""", 1).alias("base"))
+    href = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<(?!base\b)[a-z][^>]*?\shref\s*=\s*["']?([^"'\s>]*)"""), F.lit(1))
+    links = html.where(F.contains("html", F.lit("//"))).select("src", F.when(F.rlike("base", F.lit(far)), of(F.col("base"))).otherwise(F.col("src")).alias("own"), F.explode(href).alias("to"))
+    opaque = F.rlike("to", F.lit(r"(?i)^[a-z][a-z0-9+.-]*:(?!//)"))  # mailto: and the like lead to no host
+    links = links.where(~opaque).select("src", F.when(F.rlike("to", F.lit(far)), of(F.col("to"))).otherwise(F.col("own")).alias("dst"))
+    return links.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 400) -> DataFrame:
     """Personalised PageRank for both walks at once.
 
     ``edges``: src, dst, n.  ``seeds``: host, trusted, blocked (weights).  Returns host,
-    trust, distrust, each walk's mass summing to at most 1.  Rounds go on until the ranks
-    change by ``tolerance`` in all; more than ``most`` rounds raise.  A host's links are
+    trust, distrust, each summing to 1.  Rounds go on until the ranks change by ``tolerance`` in all;
+    more than ``most`` rounds raise.  Walks that end at a host without links start again at
+    the seeds, which is the same as to scale what is left to a sum of 1.  A host's links are
     summed before each shuffle; a hub's share of the join is split by skew handling.
     """
     walks = edges.select(F.lit("t").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -106,13 +121,15 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance:
             if k >= most:
                 raise RuntimeError(f"ranks still change by {left} after {most} rounds")
     rank = parts[0]
+    whole = rank.groupBy(F.col("kind").alias("walk")).agg(F.sum("v").alias("all_v"))  # two rows
+    rank = rank.join(F.broadcast(whole), F.expr("kind = walk")).select("kind", "host", (F.col("v") / F.col("all_v")).alias("v"))
     return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("v")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("v")).otherwise(0.0)).alias("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 1.0, tolerance: float = 1e-6, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     base = named(pages, page_id=page_id, url=url, html=html).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    judged = base.select("page_id", "host", "path", rule_for(F.col("host"), F.col("path"), rules).alias("r"))
+    judged = with_rule(base.select("page_id", "host", "path"), rules)
     seeds = judged.where("host != '' and r is not null").groupBy("host").agg(F.count(F.when(F.col("r.verdict") == "allow", 1)).alias("trusted"), F.count(F.when(F.col("r.verdict") == "block", 1)).alias("blocked"))
     ranks = spread(host_edges(base.select("host", "html")), cut(seeds), tolerance=tolerance)
     ranks = ranks.select(F.col("host").alias("of"), "trust", "distrust")
