@@ -227,6 +227,37 @@ def test_variants_of_folders(spark, tmp_path):
         batch.brightened(spark, f"{root}/in").collect()
 
 
+def test_overlays_by_either_extractor(spark, tmp_path):
+    shapes = {"shapes": [{"label": "impact", "points": [[3.9, 3]]}]}
+    root = tree(tmp_path, {"a/01.png": image(colour=(9, 9, 9), h=20, w=20), "a/02.png": image(colour=(9, 9, 9), h=20, w=20), "a/03.png": image(colour=(9, 9, 9)), "a/01.json": shapes | {"arrows": [[15, 15], [4.5, 15]]}, "a/02.json": {"shapes": [{"label": "IMPACT", "points": [[10, 10]]}], "arrows": []}})
+    for custom, want in ((False, {"01.png": [(3, 3)], "02.png": [(3, 3), (10, 10)]}), (True, {"01.png": [(15, 15), (4, 15)], "02.png": []})):
+        out = f"{root}/out{custom}"
+        photos.write_files(batch.overlaid(spark, f"{root}/a", custom, radius=1).select(paths.base(F.col("path")).alias("name"), "content"), out)
+        got = {paths_of(r.path): np.frombuffer(r.data, np.uint8).reshape(20, 20, 3) for r in pixels.from_spark_images(photos.images(spark, out)).collect()}
+        assert set(got) == set(want)
+        for name, points in want.items():
+            green = {(x + i, y + j) for x, y in points for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))}
+            assert {(x, y) for y, x in np.argwhere((got[name] == (0, 255, 0)).all(2)).tolist()} == green
+
+
+def test_status_preview_and_empty_sets(spark, tmp_path):
+    root = tree(tmp_path, {"1.png": image(colour=(1, 2, 3)), "2.png": b"broken"})
+    got = {paths_of(r.path): (r.ok, r.error) for r in photos.with_status(photos.images(spark, root, drop_unreadable=False)).collect()}
+    assert got["1.png"] == (True, None) and not got["2.png"][0] and "2.png" in got["2.png"][1]
+    rows = spark.range(9)
+    assert [r.id for r in frames.preview(rows, "id").collect()] == [0, 1, 2] and frames.at_least_one(rows).count() == 9
+    with pytest.raises(RuntimeError, match="no photos"):
+        frames.at_least_one(rows.limit(0), "photos")
+
+
+def test_split_adds_digits(spark, monkeypatch):
+    rows = spark.range(20_000).withColumnRenamed("id", "k")
+    plain = {r.k for r in frames.exact_split(rows, "k", 0.3).where("split = 'test'").collect()}
+    monkeypatch.setattr(frames, "RANKED_ROWS", 1)
+    assert len(plain) == 6000 and plain == {r.k for r in frames.exact_split(rows, "k", 0.3).where("split = 'test'").collect()}
+    assert frames.exact_split(rows.limit(0), "k").count() == 0
+
+
 def test_training_rows(spark, tmp_path):
     rng = np.random.default_rng(4)
     root = tree(tmp_path, {f"{k}.png": image(rng) for k in range(4)} | {f"{k}.json": {"shots": [{"r_norm": 0.5, "theta_deg": 90.0, "x": 1}] * (k * 4)} for k in range(4)})

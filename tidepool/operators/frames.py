@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +44,14 @@ def insert_missing(new: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return present.unionByName(new.join(present.select(key), key, "left_anti"))
 
 
-#: A calibration is broadcast up to so many rows; beyond, it is joined by key.
-CALIBRATION_ROWS = 100_000
+def with_calibration(photos: DataFrame, calibration: DataFrame, key: str) -> DataFrame:
+    """One calibration row for all photos of a folder; Spark broadcasts the calibrations while they are under its threshold."""
+    return photos.join(calibration, key)
 
 
-def with_calibration(photos: DataFrame, calibration: DataFrame, key: str) -> DataFrame:
-    """One calibration row for all photos of a folder."""
-    small = calibration.limit(CALIBRATION_ROWS + 1).count() <= CALIBRATION_ROWS
-    return photos.join(F.broadcast(calibration) if small else calibration, key)
+def union_all(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts, repeats and all, by column name."""
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unit_hash(*cols: Column) -> Column:
@@ -79,25 +80,32 @@ def jitter(rows: DataFrame, key: str, epoch: int, seed: int = 42) -> DataFrame:
     return rows.withColumns({"brightness": F.when(u(0) < 0.5, 0.7 + 0.6 * u(1)).otherwise(1.0), "angle": F.when(u(2) < 0.5, -30 + 60 * u(3)).otherwise(0.0)})
 
 
+#: Rows that one task ranks at the border of a split.
+RANKED_ROWS = 1_000_000
+
+
 def exact_split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """``split``: test for exactly ceil(share * n) rows, train for the others, by hash order.
 
     The order is total, but no task ranks all rows: hashes are counted by their first
-    three digits, which tells the one group of them that the border runs through; only
-    that group, a four-thousandth of the rows, is ranked.
+    digits, which tells the one group of them that the border runs through; digits are added
+    until that group is small, and only it is ranked.
     """
-    h = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")))).withColumn("_p", F.substring("_h", 1, 3))
-    sizes = h.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()  # at most 4096 rows
-    want, before, edge = math.ceil(share * sum(r.n for r in sizes) - 1e-9), 0, None
-    for r in sizes:
-        if before + r.n >= want:
-            edge = r["_p"]
-            break
-        before += r.n
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
-    inner = h.where(F.col("_p") == F.lit(edge)).withColumn("split", F.when(rank <= want - before, "test").otherwise("train"))
-    outer = h.where(F.col("_p") != F.lit(edge)).withColumn("split", F.when(F.col("_p") < F.lit(edge), "test").otherwise("train"))
-    return outer.unionByName(inner).drop("_h", "_p")
+    h = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))))
+    edge, before, want, n = "", 0, None, 0
+    while want is None or (n > RANKED_ROWS and len(edge) < 30):
+        sizes = h.where(F.startswith("_h", F.lit(edge))).groupBy(F.substring("_h", 1, len(edge) + 3).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # at most 4096 rows
+        want = math.ceil(share * sum(r.n for r in sizes) - 1e-9) if want is None else want
+        for r in sizes:
+            edge, n = r.p, r.n
+            if before + n >= want:
+                break
+            before += n
+    head = F.substring("_h", 1, len(edge))
+    rank = F.row_number().over(Window.partitionBy(head).orderBy("_h", key))
+    inner = h.where(head == F.lit(edge)).withColumn("split", F.when(rank <= want - before, "test").otherwise("train"))
+    outer = h.where(head != F.lit(edge)).withColumn("split", F.when(head < F.lit(edge), "test").otherwise("train"))
+    return outer.unionByName(inner).drop("_h")
 
 
 def kept(rows: DataFrame) -> DataFrame:
@@ -122,6 +130,18 @@ def numbered(rows: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     return local.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_rank") - 1).drop("_part", "_rank", "_start")
 
 
+def at_least_one(rows: DataFrame, what: str = "rows") -> DataFrame:
+    """``rows``, or an error now if there are none."""
+    if not rows.limit(1).count():
+        raise RuntimeError(f"no {what}")
+    return rows
+
+
+def preview(rows: DataFrame, *order: str, n: int = 3) -> DataFrame:
+    """The first ``n`` rows in an order; what it does not tell apart is ordered by all other columns."""
+    return rows.orderBy(*order, *[c for c in rows.columns if c not in order]).limit(n)
+
+
 def mean_of_batch_means(rows: DataFrame, error: Column, idx: str, batch: int) -> DataFrame:
     """loss: the unweighted mean of batch means; a short last batch weighs as much as a full one."""
     means = rows.groupBy(F.floor(F.col(idx) / batch).alias("_b")).agg(F.avg(error).alias("_m"))

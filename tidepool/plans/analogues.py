@@ -348,7 +348,7 @@ def fit_box(spark, sf_dir):
 @query("SELECT page_id FROM pages WHERE url LIKE 'https%' UNION ALL SELECT page_id FROM pages WHERE url NOT LIKE 'https%'")
 def glob_union(spark, sf_dir):
     p = t(spark, sf_dir, "pages")
-    return p.where("url like 'https%'").select("page_id").unionByName(p.where("url not like 'https%'").select("page_id"))
+    return frames.union_all(*[p.where(f"url {x} 'https%'").select("page_id") for x in ("like", "not like")])
 
 
 @query(f"""
@@ -360,13 +360,30 @@ def hit_tests(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", g.hit_box(p, zero, zero).alias("box"), g.hit_disc(p, zero, zero).alias("disc"), r6(b["x0"]).alias("x0"), r6(b["y1"]).alias("y1"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM documents")
+@query("""
+SELECT conv_id, CAST(count(*) FILTER (lower(role) = 'user') * 2 AS INT) AS n,
+       coalesce(string_agg(concat(turn + 1, ',', -turn, ' ', turn * 3, ',', -2), ' ' ORDER BY turn) FILTER (lower(role) = 'user'), '') AS points
+FROM conversations GROUP BY conv_id""")
 def impact_labels(spark, sf_dir):
-    """Label filter, any case, over annotation documents made of ids."""
-    label = F.when(F.col("doc_id") % 2 == 0, "Impact").otherwise("other")
-    doc = F.concat(F.lit('{"shapes":[{"label":"'), label, F.lit('","points":[[-2.9,1.9]]}]}'))
-    shapes = F.from_json(doc, photos.ORIGINAL)["shapes"]
-    return t(spark, sf_dir, "documents").select("doc_id", F.size(photos.impact_points(shapes)).alias("n"))
+    """Points of shapes with a label, in any case, cut toward zero, from documents as text."""
+    point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    shape = F.struct(F.upper("role").alias("label"), F.array(point(F.col("turn") + 1.9, -F.col("turn") - 0.5), point(F.col("turn") * 3, F.lit(-2.7))).alias("points"))
+    docs = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", shape.alias("s")))).alias("x"))
+    shapes = F.from_json(F.to_json(F.struct(F.transform("x", lambda x: x["s"]).alias("shapes"))), photos.ORIGINAL)["shapes"]
+    points = photos.impact_points(shapes, "user")
+    return docs.select("conv_id", F.size(points).alias("n"), F.array_join(F.transform(points, lambda p: F.array_join(p.cast("array<string>"), ",")), " ").alias("points"))
+
+
+@query("""
+WITH u AS (SELECT conv_id, turn, concat(turn, ',', length(text), ' ', -turn, ',', 7) AS p FROM conversations WHERE role = 'user' AND turn >= 1)
+SELECT c.conv_id, c.turn, CAST(2 * count(u.p) AS INT) AS n, coalesce(string_agg(u.p, ' ' ORDER BY u.turn), '') AS points
+FROM conversations c LEFT JOIN u ON c.conv_id = u.conv_id AND u.turn <= c.turn GROUP BY ALL""")
+def cumulative_points(spark, sf_dir):
+    """Lists of points of all notes so far, put together in order."""
+    c = t(spark, sf_dir, "conversations")
+    notes = c.where("role = 'user'").select("conv_id", "turn", F.array(F.array(F.col("turn"), F.char_length("text").cast("long")), F.array(-F.col("turn"), F.lit(7).cast("long"))).alias("v"))
+    h = frames.history_window(c.select("conv_id", "turn"), notes, "conv_id", "turn", "v").select("conv_id", "turn", F.flatten("history").alias("p"))
+    return h.select("conv_id", "turn", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: F.array_join(x.cast("array<string>"), ",")), " ").alias("points"))
 
 
 @query("""

@@ -61,6 +61,23 @@ def normalized(spark: SparkSession, dataset: str, keypoints: list[tuple[float, f
     return pixels.encoded(pixels.apply(pixels.from_spark_images(rows), straight, "matrix", "side")).select("idx", "path", "name", "percent", "content", "json")
 
 
+def points_of(spark: SparkSession, folder: str, custom: bool, key: str = "arrows") -> DataFrame:
+    """photo (the path without extension), points: of the list under ``key``, or, unless ``custom``, of the original annotations so far."""
+    if not custom:
+        return cumulative_hits(spark, folder).withColumnRenamed("hits", "points")
+    return src.files(spark, folder, "*.json", recursive=True).select(F.regexp_replace("path", r"\.json$", "").alias("photo"), src.point_list(F.decode("content", "UTF-8"), key).alias("points"))
+
+
+def overlaid(spark: SparkSession, folder: str, custom: bool, radius: int = 5, colour: tuple[int, int, int] = (0, 255, 0)) -> DataFrame:
+    """path, content: photos with a disc at each of their points; those without an annotation are left out."""
+    rows = src.images(spark, folder).withColumn("photo", F.regexp_replace("path", paths.PHOTO, "")).join(points_of(spark, folder, custom), "photo").where("points is not null").select("path", "points", "image")
+
+    def dotted(a, points):
+        return pixels.discs(a, [tuple(p) for p in points], radius, colour)
+
+    return pixels.encoded(pixels.apply(pixels.from_spark_images(rows), dotted, "points")).select("path", "content")
+
+
 def _in_folders(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """path, seq, file, image, note (text of the JSON beside it) of photos one folder below ``root``; photos without a note raise."""
     read = src.images(spark, root, drop_unreadable=False)

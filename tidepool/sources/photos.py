@@ -76,6 +76,12 @@ def images(spark: SparkSession, folder: str, drop_unreadable: bool = True) -> Da
     return out.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image")
 
 
+def with_status(read: DataFrame) -> DataFrame:
+    """``read`` (images, unreadable ones too) with ``ok`` and, where not, ``error``."""
+    ok = F.coalesce(F.col("image.height") > 0, F.lit(False))
+    return read.withColumns({"ok": ok, "error": F.when(~ok, F.concat(F.lit("cannot read "), F.col("path")))})
+
+
 def annotations(spark: SparkSession, folder: str, schema: str = ORIGINAL) -> DataFrame:
     """path and the columns of each JSON document; a broken one has nulls."""
     found = files(spark, folder, "*.json", recursive=True).select("path", F.from_json(F.decode("content", "UTF-8"), schema).alias("j"))
@@ -90,7 +96,7 @@ def impact_points(shapes: Column, label: str = "impact") -> Column:
 
 def point_list(content: Column, key: str = "arrows") -> Column:
     """Points under ``key`` rounded half to even; null where the key lacks."""
-    held = F.try_element_at(F.from_json(content, f"map<string,{POINTS}>"), F.lit(key))
+    held = F.from_json(content, f"`{key}` {POINTS}").getField(key)
     return F.transform(held, lambda p: F.transform(p, lambda v: F.bround(v).cast("int")))
 
 
