@@ -126,12 +126,12 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance:
     return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("v")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("v")).otherwise(0.0)).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 1.0, tolerance: float = 1e-6, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 1.0, damping: float = 0.85, tolerance: float = 1e-6, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     base = named(pages, page_id=page_id, url=url, html=html).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     judged = with_rule(base.select("page_id", "host", "path"), rules)
     seeds = judged.where("host != '' and r is not null").groupBy("host").agg(F.count(F.when(F.col("r.verdict") == "allow", 1)).alias("trusted"), F.count(F.when(F.col("r.verdict") == "block", 1)).alias("blocked"))
-    ranks = spread(host_edges(base.select("host", "html")), cut(seeds), tolerance=tolerance)
+    ranks = spread(host_edges(base.select("host", "html")), cut(seeds), damping, tolerance)
     ranks = ranks.select(F.col("host").alias("of"), "trust", "distrust")
     by_host = F.when(F.col("distrust") > F.lit(threshold) * F.col("trust"), "block").otherwise("allow")
     return judged.join(ranks, F.expr("host = of"), "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), by_host).alias("verdict"), "trust", "distrust")
