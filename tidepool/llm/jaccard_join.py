@@ -1,9 +1,10 @@
 """Similarity join of documents on word shingles by parity sketches.
 
 A document's set is its distinct shingles, hashed to 64 bits.  Sets are dealt to K
-blocks by hash, and each block XORs its tokens' bits into a 64-bit parity word: two
+blocks by hash, and each block XORs its tokens' hashes into a 64-bit parity word: two
 blocks differ only if a token in exactly one of the sets fell there, so the number of
-differing blocks (and of differing bits) is at most the symmetric difference.  Similar
+differing blocks is at most the symmetric difference; so is the number of differing bits of
+a whole set's sketch, where each token turns one bit.  Similar
 sets of the same size band differ by at most D tokens; with K > D blocks some block
 agrees (pigeonhole), and documents meet by (band, block, word).  Bands are a threshold's
 ratio wide, so a document also enters the next band.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .links import components, groups, in_blocks
-from .shared import named, stored
+from .shared import freed, named, small_or_joined, stored
 from .textkit import mix, pack_texts, shingle_sets, text_slices, unpacked
 
 BLOCK = 2048
@@ -79,9 +80,9 @@ def parity_words(tokens: np.ndarray, k: int, first: int | None = None) -> np.nda
     out = np.zeros(k, np.uint64)
     if len(tokens):
         order = np.argsort(block.astype(np.uint16 if k < 1 << 16 else np.uint64), kind="stable")
-        block, bit = block[order].astype(np.int64), (np.uint64(1) << (tokens & np.uint64(63)))[order]
-        new = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        out[block[new]] = np.bitwise_xor.reduceat(bit, new)
+        block = block[order].astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        out[block[new]] = np.bitwise_xor.reduceat(mix(tokens ^ np.uint64(0x5BD1E995))[order], new)  # a bit for each token would let blocks of one token agree by chance
     return out
 
 
@@ -174,20 +175,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
 
     # Seeds: the places of a few blocks find most of the large groups.
     seeded = classes.select(F.explode("seeds").alias("key"), "rep", F.col("n").alias("size"), F.col("rep").alias("part"))
-    links = verified(near_pairs(meetings(seeded, percent)), classes, src, width, percent).unionByName(same)
-    parts = stored(components(links), "parts")
+    seed_links = verified(near_pairs(meetings(seeded, percent)), classes, src, width, percent)
+    parts = stored(components(seed_links.unionByName(same)), "parts")
 
     # All places, of which only those where components meet go on.
     reps = classes.groupBy("rep").agg(F.max("n").alias("size")).join(parts, F.expr("rep = id"), "left").select("rep", "size", F.coalesce("component", "rep").alias("part"))
     texts = pack_texts(src.where("doc_id is not null")).join(reps, F.expr("doc_id = rep")).select("rep", "size", "part", "t")
     live = stored(meetings(texts.mapInArrow(places, "key long, rep long, size long, part long"), percent), "places")
-    links = stored(links.unionByName(verified(near_pairs(live), classes, src, width, percent)), "links-so-far")
+    place_links = verified(near_pairs(live), classes, src, width, percent)
+    freed(parts)
+    links = seed_links.unionByName(place_links).unionByName(same)
     parts = stored(components(links), "parts")
 
     # What is left: places of many rows where several components still meet.
     at = live.where("key is not null").select("key", "rep", "size").join(parts, F.expr("rep = id"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("part"))
     mixed = at.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select(F.col("key").alias("k2"), "g")
-    rows = at.join(stored(mixed, "mixed"), F.expr("key = k2")).join(classes.select(F.col("rep").alias("r2"), "sketch"), F.expr("rep = r2")).select("key", "rep", "size", "part", "sketch", "g")
+    rows = small_or_joined(at, stored(mixed, "mixed"), F.expr("key = k2")).join(classes.select(F.col("rep").alias("r2"), "sketch"), F.expr("rep = r2")).select("key", "rep", "size", "part", "sketch", "g")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["key", "b1", "b2"]):
@@ -210,7 +213,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_a)), pa.array(np.concatenate(got_b))], ["a", "b"])
 
     more = in_blocks(rows, ["key"], "rep", "g", BLOCK).mapInArrow(candidates, "a long, b long").distinct()
-    parts = components(links.unionByName(verified(more, classes, src, width, percent)))
+    last_links = verified(more, classes, src, width, percent)
+    freed(live)
+    parts = components(links.unionByName(last_links))
     whole = sized.select("doc_id", "n").join(member.select("i2", "rep"), F.expr("doc_id = i2"), "left").join(parts, F.expr("rep = id"), "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
@@ -218,7 +223,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
 def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs a, b those whose sets are similar.
 
-    Sketches decide first; texts of documents in no pair that is left go no further than one shuffle.
+    Sketches decide first; only texts of documents in a pair that is left are packed and sent.
     """
     most = (1 - percent / 100) / (1 + percent / 100)
 
@@ -235,8 +240,8 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, p
     of = lambda x: classes.select(F.col("rep").alias(f"i{x}"), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     sketched = pairs.join(of("a"), F.expr("a = ia")).join(of("b"), F.expr("b = ib")).select("a", "b", "sa", "sb", "na", "nb")
     pairs = stored(sketched.mapInArrow(close, "a long, b long").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    some = stored(pack_texts(src).join(wanted, F.expr("doc_id = w"), "left_semi"), "pair-texts")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "pair-ids")
+    some = stored(pack_texts(small_or_joined(src, wanted, F.expr("doc_id = w"), "left_semi")), "pair-texts")
     ta, tb = some.select(F.col("doc_id").alias("ia"), F.col("t").alias("ta")), some.select(F.col("doc_id").alias("ib"), F.col("t").alias("tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +260,6 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, p
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(tb, F.expr("b = ib")).join(ta, F.expr("a = ia")).select("a", "b", "ta", "tb")
-    return stored(both.mapInArrow(check, "a long, b long").distinct(), "links")
+    links = stored(both.mapInArrow(check, "a long, b long").distinct(), "links")
+    freed(pairs, wanted, some)
+    return links

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import held
-from .shared import SMALL_ROWS, freed, small_or_joined, stored
+from .shared import SMALL_ROWS, free_name, freed, small_or_joined, stored
 
 FIELD = "<*>"
 #: Space characters that seldom occur; texts without them, and without two spaces, need no look at each space.
@@ -71,7 +71,7 @@ def generalised(lines: DataFrame, min_docs: int, min_tokens: int, share: float)
 def drop_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, short_docs: int = 25, depth: int = 3, share: float = 0.05, doc_id: str = "doc_id", text: str = "text", n_lines: str | None = "n_lines", n_dropped: str | None = "n_dropped") -> DataFrame:
     """All columns of ``docs``, with ``text`` less its dropped lines, and (where named) how many lines there were and went."""
     carried = [c for c in docs.columns if c.lower() not in {x.lower() for x in (n_lines, n_dropped) if x}]
-    whole = docs.select(F.struct(F.lit(0).alias("_"), *[docs[f"`{c}`"] for c in carried if c != text]).alias("rest"), docs[f"`{doc_id}`"].cast("long").alias("doc"), docs[f"`{text}`"].alias("t"))
+    whole = docs.select(F.struct(F.lit(0).alias(free_name(carried, "_")), *[docs[f"`{c}`"] for c in carried if c != text]).alias("rest"), docs[f"`{doc_id}`"].cast("long").alias("doc"), docs[f"`{text}`"].alias("t"))
     whole = whole.withColumns({"doc": F.coalesce("doc", F.lit(-(1 << 63))), "row": F.xxhash64("doc", "t")})
     lines = stored(lines_of(whole.where("t is not null").select("doc", "row", F.xxhash64("t", F.lit(1)).alias("body"), "t"), depth), "lines")
     anew = generalised(lines, min_docs, min_tokens, share)
