@@ -45,7 +45,7 @@ from .textkit import SpanTable, text_slices
 #: Tokens of the stream that are cut at a time.
 BLOCK = 1 << 18
 #: Distinct chunks that a worker remembers, about 60 bytes each.
-TABLE_CHUNKS = 2_000_000
+TABLE_CHUNKS = 300_000
 #: New chunks that are encoded as one text, as a call for each costs more; where chunks begin with a space they are parted again.
 JOINED = 64
 #: Bytes that begin no white space character, so that a chunk may begin with them or with one space before them.

@@ -31,7 +31,7 @@ from .textkit import SpanTable, text_slices, texts
 
 MARK = "▁"
 #: Distinct words that a worker remembers, about 60 bytes each.
-TABLE_WORDS = 2_000_000
+TABLE_WORDS = 300_000
 
 
 @functools.lru_cache(maxsize=2)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,14 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 1_000_000
 
 
+#: Rows that go to Python at a time, unless the session has a number of its own: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +52,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
@@ -54,6 +65,27 @@ def freed(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are deleted at the end, but for those handed to what this gives."""
+    made: list[DataFrame] = []
+    kept: list[str] = []
+    _scratch.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.remove(made)
+        freed(*[df for df in made if df._stored_at not in kept])
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, longer by as many underscores as it takes to differ from all names in ``taken``."""
     while name.lower() in {x.lower() for x in taken}:

@@ -14,14 +14,17 @@ SLICE_BYTES = 2 << 20
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of parts of a batch; null texts are empty."""
-    col = pc.cast(batch.column(column).fill_null(""), pa.large_string())
-    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    col = batch.column(column)
+    col = col.fill_null("") if col.null_count else col
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offsets = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] else np.empty(0, np.uint8)
     lo, n = 0, len(col)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
         yield lo, min(hi, n), data[offsets[lo] : offsets[min(hi, n)]], offsets[lo : min(hi, n) + 1] - offsets[lo]
         lo = min(hi, n)
+    pa.default_memory_pool().release_unused()  # workers live on, and share the executor's memory
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -166,8 +169,10 @@ def pack_texts(df, column: str = "t"):
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            rows = [None if x is None else z.compress(x) for x in pc.cast(batch.column(at), pa.binary()).to_pylist()]
-            yield batch.set_column(at, pa.field(column, pa.binary()), pa.array(rows, pa.binary()))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                rows = [None if x is None else z.compress(x) for x in pc.cast(part.column(at), pa.binary()).to_pylist()]
+                yield part.set_column(at, pa.field(column, pa.binary()), pa.array(rows, pa.binary()))
 
     schema = df.withColumn(column, F.lit(None).cast("binary")).schema
     return df.mapInArrow(run, schema)

@@ -259,16 +259,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def with_score(docs: DataFrame, model: Model | None, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with the score of each row as one more column, whose name must be free."""
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = model.compressors() if model else None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                got = curve(np.array([evidence(t, *pair) for t in texts(part, "t")]), model.weights) if model else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(got, pa.float64())], ["rest", "s"])
+                rest = batch.column("rest").slice(lo, 256)
+                got = curve(np.array([evidence(t, *pair) for t in rest.field(place).fill_null("").to_pylist()]), model.weights) if model else np.zeros(len(rest))
+                yield pa.RecordBatch.from_arrays([rest, pa.array(got, pa.float64())], ["rest", "s"])
 
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("rest"), docs[f"`{text}`"].alias("t"))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("rest"))
     schema = whole.select("rest", F.lit(0.0).alias("s")).schema
     return whole.mapInArrow(run, schema).select("rest.*", F.col("s").alias(column))
 
