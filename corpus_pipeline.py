@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before it kept.
+
+Columns of any name are carried along; rows of one id with different texts are documents of
+their own in every stage, and so are rows with a null id.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import jaccard_join, line_templates, packing, suffix_dedup, toxicity
 from tidepool.llm.queries import tokenizer_path
-from tidepool.llm.shared import stored, table
+from tidepool.llm.shared import free_name, freed, scratch, small_or_joined, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; the model is learned from the tables as they came."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, column="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    score = free_name(docs.columns, "score")
+    return toxicity.with_score(docs, model, column=score).where(F.col(f"`{score}`") < 0.5).drop(score)
 
 
 def with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -23,15 +28,26 @@ def with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_text(line_templates.drop_lines(docs, n_lines="_lines", n_dropped="_dropped").drop("_lines", "_dropped"), docs)
+    return with_text(line_templates.drop_lines(docs, n_lines=None, n_dropped=None), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more join, the one of the smallest id stays."""
-    parts = jaccard_join.jaccard_components(docs)
-    keep = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    first = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    """Of documents that links of 0.8 or more join, that of the smallest id stays (of the smallest hash, if texts share it; a null id comes last).
+
+    Rows equal in id and text are one document.  Documents without words are linked with nothing and stay.
+    """
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), docs["doc_id"].alias("id"), docs["text"].alias("t"))
+    parts = stored(jaccard_join.jaccard_components(whole, doc_id="key", text="t").select(F.col("doc_id").alias("k"), "component_id"), "parts")
+    ids = whole.groupBy("key").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    rows = parts.distinct().join(ids, F.expr("k = key")).select("k", "component_id", "id", "n")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first"))
+    keep = stored(rows.join(first.select(F.col("first.k").alias("k1")), F.expr("k = k1")).select("k", (F.col("n") > 1).alias("again")), "kept")
+    freed(parts)
+    kept = small_or_joined(whole.select("row", "key"), keep, F.expr("key = k"))
+    if keep.where("again").limit(1).count():
+        again = kept.where("again").dropDuplicates(["key"])
+        kept = kept.where("not again").unionByName(again)
+    return kept.select("row.*")
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +70,16 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Compression lengths, transforms and tokenizers are not SQL; tests hold each stage against brute force.
+#: Compression lengths, transforms and tokenizers are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, name)
-    return docs
+    """The packed pieces; what a stage stored is deleted once the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        with scratch() as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
+        freed(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -437,7 +437,7 @@ def pixel_of_shot(spark, sf_dir):
 @query(f"""
 WITH c AS (SELECT vec_id, arg_min((x, y), (x + y, i)) AS tl, arg_min((x, y), (y - x, i)) AS tr, arg_min((x, y), (-(x + y), i)) AS br, arg_min((x, y), (x - y, i)) AS bl, count(DISTINCT (x, y)) AS k,
              len(list_distinct([arg_min(i, (x + y, i)), arg_min(i, (y - x, i)), arg_min(i, (-(x + y), i)), arg_min(i, (x - y, i))])) AS apart FROM ({PTS.format(n=4)}) GROUP BY vec_id)
-SELECT vec_id, apart = 4 AS apart, CASE WHEN apart = 4 THEN 0.0 END AS off FROM c""")
+SELECT vec_id, apart = 4 AS apart, CASE WHEN apart = 4 THEN CAST(0 AS DOUBLE) END AS off FROM c""")
 def square_corners(spark, sf_dir):
     """How far the ordered corners land from those of the square, in 10,000ths of its side; null where one point is two corners."""
     e = t(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(k) for k, c in g.corners(vec(4)).items()])
