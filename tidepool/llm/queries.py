@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_templates, packing, pieces, quality_rules, suffix_dedup, toxicity, url_filter, vector_lsh, warc
+from . import collocations, jaccard_join, line_templates, packing, pieces, quality_rules, suffix_dedup, toxicity, url_filter, vector_lsh, warc
 from .shared import table
 
 
@@ -74,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_warc": op2_warc,
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_vector_lsh": op8_vector_lsh,
     "op9_pieces": op9_pieces,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL = {
@@ -118,4 +123,24 @@ f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 5
         + 256 * CAST(2 * n_ws > greatest(n_words, 1) AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM f""",
+    "op11_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM s),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, k WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k >= 2 AND NOT EXISTS (
+        SELECT 1 FROM f AS o WHERE o.lang = f.lang AND o.k > f.k AND 100 * o.f >= 100 * f.f AND contains(' ' || o.phrase || ' ', ' ' || f.phrase || ' '))),
+cut AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM c),
+sc AS (SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, n.n,
+         CAST((CAST(1000 AS HUGEINT) * a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+       FROM cut JOIN n ON n.lang = cut.lang
+         JOIN f AS x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1 : j], ' ')
+         JOIN f AS y ON y.lang = cut.lang AND y.phrase = array_to_string(w[j + 1 :], ' ')),
+b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000""",
 }
