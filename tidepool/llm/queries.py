@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, jaccard_join, line_templates, packing, pieces, quality_rules, suffix_dedup, toxicity, url_filter, vector_lsh, warc
+from . import collocations, jaccard_join, line_templates, packing, pieces, quality_rules, spelling, suffix_dedup, toxicity, url_filter, vector_lsh, warc
 from .shared import table
 
 
@@ -78,6 +78,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=199)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_warc": op2_warc,
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLE_SQL = {
@@ -143,4 +148,22 @@ sc AS (SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, n.n,
 b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
 SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
 FROM b QUALIFY rank <= 2000""",
+    "op12_spelling": r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS x(i))),
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+d AS (SELECT doc, run, count(*) AS k, hex(doc || ':' || run) AS hex FROM o GROUP BY doc, run),
+h AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(hex) // 2), lambda i: CAST('0x' || substr(hex, 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))) AS crc FROM d, tab),
+s AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+l AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+one AS (SELECT DISTINCT l.word, l.n, w.word AS form, w.n AS form_n FROM l JOIN w ON l.less = w.word),
+near AS (SELECT word, form, form_n FROM one UNION ALL SELECT form, word, n FROM one
+         UNION ALL SELECT a.word, b.word, b.n FROM l AS a JOIN l AS b ON a.less = b.less AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, first(form ORDER BY form_n DESC, form) AS form, max(form_n) AS form_n FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+r AS (SELECT word, word AS place, 0 AS d FROM f UNION ALL SELECT r.word, f.form, d + 1 FROM r JOIN f ON f.word = r.place WHERE f.form IS NOT NULL),
+top AS (SELECT word, arg_max(place, d) AS root FROM r GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN top ON f.word = top.word""",
 }
