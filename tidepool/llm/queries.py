@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, jaccard_join, line_templates, packing, pieces, quality_rules, spelling, suffix_dedup, toxicity, url_filter, vector_lsh, warc
+from . import collocations, jaccard_join, language, line_templates, packing, pieces, quality_rules, spelling, suffix_dedup, toxicity, url_filter, vector_lsh, warc
 from .shared import table
 
 
@@ -82,6 +82,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), every=199)
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_warc": op2_warc,
@@ -95,6 +101,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
     "op12_spelling": op12_spelling,
+    "op13_language": op13_language,
 }
 
 ORACLE_SQL = {
