@@ -27,6 +27,7 @@ import functools
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -44,6 +45,8 @@ from .textkit import LOWER, mix, span_hashes, text_slices
 BLOCK_BITS, PART_BITS, SHARD_BYTES = 16, 29, 3 << 20
 #: Cells that a task gathers before it sums and sends them.
 HELD = 4 << 20
+#: Bytes of text for each bucket of candidates; as they are frequent, a bucket has few.
+BUCKET_BYTES = 16 << 20
 #: Bytes of text that are scanned at a time.
 SCAN_BYTES = 1 << 20
 
@@ -165,8 +168,8 @@ def full_cells(src: DataFrame, bits: int, words: int, least: int) -> DataFrame:
     return filled.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, full binary, lang string, n long")
 
 
-def candidates(src: DataFrame, full: DataFrame, bits: int, words: int) -> DataFrame:
-    """phrase: those whose cells, and their parts' cells, are full; of one language or another."""
+def candidates(src: DataFrame, full: DataFrame, bits: int, words: int, buckets: int) -> DataFrame:
+    """phrase: those whose cells, and their parts' cells, are full; of one language or another. Tasks send lists of them by bucket."""
     part_bits, found = min(bits, PART_BITS), None
     for part in range(1 << (bits - part_bits)):
         lo = part << (part_bits - BLOCK_BITS)
@@ -179,12 +182,12 @@ def candidates(src: DataFrame, full: DataFrame, bits: int, words: int) -> DataFr
         del mask, rows
 
         def look(batches: Iterator[pa.RecordBatch], part: int = part, held=held) -> Iterator[pa.RecordBatch]:
-            mask, seen = held.value, np.empty(0, np.uint64)
+            mask, seen, out = held.value, np.empty(0, np.uint64), {}
             for batch in batches:
                 own = seeds(batch)
                 for lo, _, data, offsets in text_slices(batch, "t"):
                     start, end, piece, text = word_spans(data, offsets)
-                    lower, before, out = LOWER[data].tobytes(), None, []
+                    lower, before = LOWER[data].tobytes(), None
                     for k, (h, ok) in enumerate(phrase_hashes(data, start, end, piece, own[lo + text], words)):
                         cell = h >> np.uint64(64 - bits)
                         here = (cell >> np.uint64(part_bits)) == part
@@ -199,15 +202,34 @@ def candidates(src: DataFrame, full: DataFrame, bits: int, words: int) -> DataFr
                         new = (known == len(seen)) | (seen[np.minimum(known, len(seen) - 1)] != key) if len(seen) else np.ones(len(key), bool)
                         seen = np.insert(seen, known[new], key[new])
                         at = at[first[new]]
-                        out += [b" ".join(lower[a:b].split()) for a, b in zip(start[at].tolist(), end[at + k].tolist(), strict=True)]
+                        for a, b in zip(start[at].tolist(), end[at + k].tolist(), strict=True):
+                            phrase = b" ".join(lower[a:b].split())
+                            out.setdefault(zlib.crc32(phrase) % buckets, []).append(phrase)
                     if len(seen) > HELD:  # bounds memory; what was sent may be sent again
-                        seen = np.empty(0, np.uint64)
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["phrase"])
+                        yield lists(out)
+                        seen, out = np.empty(0, np.uint64), {}
+            yield lists(out)
 
-        own = src.mapInArrow(look, "phrase string")
+        own = src.mapInArrow(look, "bucket long, phrases binary")
         found = own if found is None else found.unionByName(own)
-    return found.distinct()
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "phrase string")
+
+
+def lists(by: dict[int, list[bytes]]) -> pa.RecordBatch:
+    """A row for each bucket: its phrases, compressed."""
+    return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([zlib.compress(b"\n".join(sorted(x)), 1) for x in by.values()], pa.binary())], ["bucket", "phrases"])
+
+
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each phrase of a bucket once; rows of a bucket stand together."""
+    at, own = None, set()
+    for batch in batches:
+        for bucket, phrases in zip(batch.column("bucket").to_pylist(), batch.column("phrases").to_pylist(), strict=True):
+            if bucket != at:
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string())], ["phrase"])
+                at, own = bucket, set()
+            own.update(zlib.decompress(phrases).split(b"\n"))
+    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string())], ["phrase"])
 
 
 @functools.lru_cache(maxsize=1)
@@ -288,7 +310,7 @@ def collocations(docs: DataFrame, least: int = 100, words: int = 5, top: int = 2
     bits = max(BLOCK_BITS, math.ceil(math.log2(max(size / 4, 1))))
     full = stored(full_cells(src, bits, words, least), "full-cells")
     total = full.where("block < 0").groupBy(F.col("lang").alias("lang2")).agg(F.sum("n").alias("total"))  # a row per language
-    phrases = stored(candidates(src, full.where("block >= 0"), bits, words), "phrases")
+    phrases = stored(candidates(src, full.where("block >= 0"), bits, words, math.ceil(size / BUCKET_BYTES) + 16), "phrases")
     known = counts(src, phrases).where(F.col("n") >= least)
     known = stored(known.withColumn("size", F.size(F.split("phrase", " "))), "known-phrases")
 
