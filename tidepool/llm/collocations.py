@@ -47,6 +47,8 @@ BLOCK_BITS, PART_BITS, SHARD_BYTES = 16, 29, 3 << 20
 HELD = 4 << 20
 #: Bytes of text for each bucket of candidates; as they are frequent, a bucket has few.
 BUCKET_BYTES = 16 << 20
+#: Patterns whose counts are sent together.
+COUNTED = 4096
 #: Bytes of text that are scanned at a time.
 SCAN_BYTES = 1 << 20
 
@@ -282,14 +284,35 @@ def counts(src: DataFrame, phrases: DataFrame) -> DataFrame:
                             look(lang)
             for lang in list(waiting):
                 look(lang)
-            names = held.value.decode().split("\n")
             for lang, own in found.items():
-                rows = list(own.items())
-                for k in range(0, len(rows), 10_000):
-                    part = rows[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([names[i] for i, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["lang", "phrase", "n"])
+                at = np.array(sorted(own), np.int64)
+                n = np.array([own[i] for i in at.tolist()], np.int64)
+                blocks, first = np.unique(at // COUNTED, return_index=True)
+                cut = [*first.tolist(), len(at)]
+                packed = [(at[x:y] % COUNTED).astype("<u2").tobytes() + n[x:y].astype("<i8").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(blocks), pa.string()), pa.array(blocks), pa.array(packed, pa.binary())], ["lang", "block", "counts"])
 
-        part = stored(src.mapInArrow(scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "phrase-counts")
+        def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            """Sums of each language and block, whose rows stand together."""
+            names, at, sums = held.value.decode().split("\n"), None, np.zeros(COUNTED, np.int64)
+
+            def summed() -> pa.RecordBatch:
+                some = np.flatnonzero(sums)
+                return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(some), pa.string()), pa.array([names[at[1] * COUNTED + i] for i in some.tolist()], pa.string()), pa.array(sums[some])], ["lang", "phrase", "n"])
+
+            for batch in batches:
+                for *key, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "block", "counts")), strict=True):
+                    if key != at:
+                        if at is not None:
+                            yield summed()
+                        at, sums = key, np.zeros(COUNTED, np.int64)
+                    m = len(packed) // 10
+                    sums[np.frombuffer(packed, "<u2", m)] += np.frombuffer(packed, "<i8", m, 2 * m)
+            if at is not None:
+                yield summed()
+
+        scanned = src.mapInArrow(scan, "lang string, block long, counts binary").repartition("lang", "block").sortWithinPartitions("lang", "block")
+        part = stored(scanned.mapInArrow(add, "lang string, phrase string, n long"), "phrase-counts")
         held.unpersist()
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "lang string, phrase string, n long")
