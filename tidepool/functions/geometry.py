@@ -6,7 +6,7 @@ the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Half of a 600-pixel square less a border of 2.
@@ -73,13 +73,40 @@ def _adjugate(m: list[list[Column]]) -> list[list[Column]]:
     return [[minor(c, r) for c in range(3)] for r in range(3)]
 
 
+def _product(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
+    return [[a[r][0] * b[0][c] + a[r][1] * b[1][c] + a[r][2] * b[2][c] for c in range(3)] for r in range(3)]
+
+
 def homography(source: list[tuple[Column, Column]], target: list[tuple[Column, Column]]) -> list[Column]:
-    """Nine entries, row by row, the last 1, of the map that takes four points to four; null where three of them are in line."""
-    a, b = _basis(target), _adjugate(_basis(source))
-    h = [[a[r][0] * b[0][c] + a[r][1] * b[1][c] + a[r][2] * b[2][c] for c in range(3)] for r in range(3)]
+    """Nine entries, row by row, the last 1, of the map that takes four points to four; null where three of them are in line.
+
+    One expression an entry, which holds all before it; for tables take ``with_homography``.
+    """
+    h = _product(_basis(target), _adjugate(_basis(source)))
     return [F.try_divide(h[r][c], h[2][2]) for r in range(3) for c in range(3)]
 
 
+def with_homography(rows: DataFrame, source: list[tuple[Column, Column]], target: list[tuple[Column, Column]], out: str = "matrix") -> DataFrame:
+    """``rows`` with the nine entries as an array, null where there is no such map.
+
+    Each step's numbers are columns of their own, so that no number is written out, or worked out, twice.
+    """
+    kept = rows.columns
+
+    def step(df: DataFrame, name: str, m: list[list[Column]]) -> tuple[DataFrame, list[list[Column]]]:
+        cells = {f"_{name}{r}{c}": v for r, own in enumerate(m) for c, v in enumerate(own)}
+        return df.withColumns(cells), [[F.col(f"_{name}{r}{c}") for c in range(len(own))] for r, own in enumerate(m)]
+
+    rows, p = step(rows, "p", [list(x) for x in source])
+    rows, q = step(rows, "q", [list(x) for x in target])
+    rows, a = step(rows, "a", _basis([tuple(x) for x in q]))
+    rows, b = step(rows, "b", _basis([tuple(x) for x in p]))
+    rows, c = step(rows, "c", _adjugate(b))
+    rows, h = step(rows, "h", _product(a, c))
+    entries = F.array(*[F.try_divide(h[r][c], h[2][2]) for r in range(3) for c in range(3)])
+    return rows.withColumn("_m", entries).select(*kept, F.when(F.col("_m")[8].isNotNull(), F.col("_m")).alias(out))
+
+
 def diamond(d: Column) -> list[tuple[Column, Column]]:
     """Targets of top, bottom, left, right on a square of side ``d``."""
     zero = F.lit(0.0)

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir, stored
+
 
 def history_join(photos: DataFrame, notes: DataFrame, seq: str, n: str, value: str, out: str = "history") -> DataFrame:
     """Each photo with the values of all notes 1..n of its sequence, in order; frame 0 gives none. Quadratic; see history_window."""
@@ -25,6 +27,26 @@ def history_window(photos: DataFrame, notes: DataFrame, seq: str, n: str, value:
     return both.where("_photo").select(F.col("_s").alias(seq), F.col("_n").alias(n), F.transform("_h", lambda x: x["_v"]).alias(out))
 
 
+def history_offsets(photos: DataFrame, notes: DataFrame, seq: str, n: str) -> tuple[DataFrame, DataFrame]:
+    """The cumulative history without copies: (photos with ``upto``, notes with ``place``), a photo's history being its sequence's notes of places 1 to ``upto``.
+
+    A blocked prefix scan: rows are range-partitioned by sequence and number, counted within their partition, and the
+    counts of a sequence's earlier partitions are added. So a sequence may be spread over many tasks, and no
+    task holds one. Notes numbered under 1 count for nothing; those of one number stand in any order.
+    """
+    side = lambda d, own: d.select(F.col(seq).alias("_s"), F.col(n).alias("_n"), F.lit(int(own)).cast("long").alias("_own"), (F.struct(*d.columns) if own else F.lit(None).cast(notes.select(F.struct(*notes.columns)).schema[0].dataType)).alias("_row"))
+    both = side(notes.where(F.col(n) >= 1), True).unionByName(side(photos, False))
+    parted = kept(both.repartitionByRange("_s", "_n").withColumn("_part", F.spark_partition_id()))
+    sums = parted.groupBy("_s", "_part").agg(F.sum("_own").alias("_k"))  # a row for each partition and sequence in it
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = sums.select(F.col("_s").alias("_s2"), F.col("_part").alias("_part2"), before.alias("_before"))
+    here = Window.partitionBy("_part", "_s").orderBy("_n")
+    local = parted.withColumns({"_upto": F.sum("_own").over(here.rangeBetween(Window.unboundedPreceding, 0)), "_place": F.sum("_own").over(here.rowsBetween(Window.unboundedPreceding, 0))})
+    local = local.join(carry, F.expr("_s <=> _s2 and _part = _part2"))
+    frames = local.where("_own = 0").select(F.col("_s").alias(seq), F.col("_n").alias(n), (F.col("_upto") + F.col("_before")).alias("upto"))
+    return frames, local.where("_own = 1").select("_row.*", (F.col("_place") + F.col("_before")).alias("place"))
+
+
 def matched(photos: DataFrame, notes: DataFrame, key: str, missing: str = "drop") -> DataFrame:
     """Rows with their note. ``missing``: drop, keep, or error (the plan then raises)."""
     if missing == "drop":
@@ -109,19 +131,17 @@ def exact_split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    """``rows`` written once: to the folder that spark.checkpoint.dir names, or, without one (one machine), to the executors' disks."""
-    spark = rows.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return rows.checkpoint()
-    return rows.persist()
+    """``rows`` written once, now, to the folder that executors share."""
+    shared_dir(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def numbered(rows: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     """A dense number from 0 in total order, without ranking all rows in one task.
 
     Rows are range-partitioned and sorted; each partition's offset is the sum of the
-    sizes before it. The ranked rows are checkpointed, so both passes read the same ones, also
-    after the loss of an executor.  Rows that ``order`` does not tell apart are numbered in any order.
+    sizes before it. The ranked rows are checkpointed when this is called, so both passes read the same
+    ones, also after the loss of an executor.  Rows that ``order`` does not tell apart are numbered in any order.
     """
     parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     local = kept(parted.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
@@ -130,6 +150,36 @@ def numbered(rows: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     return local.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_rank") - 1).drop("_part", "_rank", "_start")
 
 
+def first_successes(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], n: int, idx: str = "idx", by: str | None = None, first: int | None = None) -> DataFrame:
+    """The ``n`` successes of least ``idx``, of each ``by`` if given, without judging all rows.
+
+    ``judge`` takes some of the rows and gives those that succeed.  It is tried on ranges of numbers, from the
+    first on; each next range is as long as the rate of success so far asks for, at most four times the one before.  Groups
+    that have their ``n`` are left out of later ranges.  Runs when called, a job a range; keep ``rows`` as a stored table.
+    """
+    top = rows.agg(F.max(idx)).first()[0]
+    lo, size, found, done = 0, first or 2 * n, rows.limit(0), None
+    while top is not None and lo <= top:
+        part = rows.where((F.col(idx) >= lo) & (F.col(idx) < lo + size))
+        if done is not None:
+            part = part.join(done, by, "left_anti")
+        found = found.unionByName(stored(judge(part), "successes"))
+        lo += size
+        if by is None:
+            have = found.count()
+            if have >= n:
+                break
+            size = min(max(math.ceil(1.25 * (n - have) * lo / max(have, 1)), size), 4 * size)
+        else:
+            done = stored(found.groupBy(by).count().where(F.col("count") >= n).select(by), "groups-done")
+            if not rows.where(F.col(idx) >= lo).join(done, by, "left_anti").limit(1).count():
+                break
+            size = 4 * size
+    if by is None:
+        return found.orderBy(idx).limit(n)
+    return found.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(idx))).where(F.col("_k") <= n).drop("_k")  # a group has what few ranges hold
+
+
 def at_least_one(rows: DataFrame, what: str = "rows") -> DataFrame:
     """``rows``, or an error now if there are none."""
     if not rows.limit(1).count():

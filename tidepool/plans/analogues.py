@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import paths, shots
-from ..operators import frames, raster
+from ..operators import frames, grid, raster
 from ..sources import photos
+from ..sources.store import stored
+from . import photos as batch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -132,17 +134,14 @@ def order_corners(spark, sf_dir):
     return four(spark, sf_dir, g.corners)
 
 
-@query(f"""
-WITH e AS (SELECT vec_id, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y, arg_min(i, (y, i <> 0, i)) + 1 AS t, arg_min(i, (-y, i <> 1, i)) + 1 AS b,
-           arg_min(i, (x, i <> 2, i)) + 1 AS l, arg_min(i, (-x, i <> 3, i)) + 1 AS r FROM ({PTS.format(n=4)}) GROUP BY vec_id),
-d AS (SELECT vec_id, [[x[t], y[t]], [x[b], y[b]], [x[l], y[l]], [x[r], y[r]]] AS p,
-             greatest(sqrt((x[r] - x[l]) ** 2 + (y[r] - y[l]) ** 2), sqrt((x[b] - x[t]) ** 2 + (y[b] - y[t]) ** 2)) AS d FROM e),
--- the eight equations of the unknowns, solved by elimination: one row of coefficients and the right side per equation
+#: Tables p (four points and a length d of each row) and the eight equations of a homography's unknowns, solved by elimination: g has them as m[1][9] to m[8][9].
+ELIMINATION = """
+-- one row of coefficients and the right side per equation
 a AS (SELECT vec_id, d, CAST(k AS INT) AS k,
              [CASE WHEN k < 4 THEN p[k % 4 + 1][1] ELSE 0 END, CASE WHEN k < 4 THEN p[k % 4 + 1][2] ELSE 0 END, CASE WHEN k < 4 THEN 1.0 ELSE 0 END,
               CASE WHEN k < 4 THEN 0 ELSE p[k % 4 + 1][1] END, CASE WHEN k < 4 THEN 0 ELSE p[k % 4 + 1][2] END, CASE WHEN k < 4 THEN 0.0 ELSE 1.0 END,
               -p[k % 4 + 1][1] * q, -p[k % 4 + 1][2] * q, q] AS c
-      FROM (SELECT vec_id, d, p, k, [d / 2, d / 2, 0, d, 0, d, d / 2, d / 2][k + 1] AS q FROM d, (SELECT unnest(range(8)) AS k))),
+      FROM (SELECT vec_id, d, p, k, {target}[k + 1] AS q FROM d, (SELECT unnest(range(8)) AS k))),
 m AS (SELECT vec_id, d, list(c ORDER BY k) AS m FROM a GROUP BY vec_id, d),
 g AS (WITH RECURSIVE g AS (
         SELECT vec_id, d, m, 1 AS j, false AS bad FROM m
@@ -153,7 +152,18 @@ g AS (WITH RECURSIVE g AS (
         FROM (SELECT *, swapped[j] AS lead, swapped[j][j] AS best FROM (
                 SELECT *, list_transform(range(1, 9), lambda i: CASE WHEN i = j THEN m[best_row] WHEN i = best_row THEN m[j] ELSE m[i] END) AS swapped FROM (
                   SELECT *, j - 1 + list_position(list_transform(range(j, 9), lambda i: abs(m[i][j])), list_max(list_transform(range(j, 9), lambda i: abs(m[i][j])))) AS best_row FROM g WHERE j <= 8))))
-      SELECT vec_id, d, m, bad FROM g WHERE j = 9)
+      SELECT vec_id, d, m, bad FROM g WHERE j = 9)"""
+#: The four extremes of each row's points, and the diameter.
+EXTREMES = f"""
+e AS (SELECT vec_id, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y, arg_min(i, (y, i <> 0, i)) + 1 AS t, arg_min(i, (-y, i <> 1, i)) + 1 AS b,
+           arg_min(i, (x, i <> 2, i)) + 1 AS l, arg_min(i, (-x, i <> 3, i)) + 1 AS r FROM ({PTS.format(n=4)}) GROUP BY vec_id),
+d AS (SELECT vec_id, len(list_distinct([t, b, l, r])) = 4 AS apart, [[x[t], y[t]], [x[b], y[b]], [x[l], y[l]], [x[r], y[r]]] AS p,
+             greatest(sqrt((x[r] - x[l]) ** 2 + (y[r] - y[l]) ** 2), sqrt((x[b] - x[t]) ** 2 + (y[b] - y[t]) ** 2)) AS d FROM e),"""
+DIAMOND = "[d / 2, d / 2, 0, d, 0, d, d / 2, d / 2]"
+
+
+@query(f"""
+WITH {EXTREMES} {ELIMINATION.format(target=DIAMOND)}
 SELECT vec_id, round(d, 6) AS d, CAST(i AS INT) AS i, CASE WHEN bad THEN NULL WHEN i = 9 THEN 1.0 ELSE round(m[i][9] / CASE WHEN i IN (3, 6) THEN d WHEN i IN (7, 8) THEN 1 / d ELSE 1 END, 4) + 0.0 END AS h
 FROM g, (SELECT unnest(range(1, 10)) AS i)""")
 def homography_solve(spark, sf_dir):
@@ -161,7 +171,8 @@ def homography_solve(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(k) for k, c in g.extremes(vec(4)).items()])
     names = ["top", "bottom", "left", "right"]
     e = e.withColumn("d", g.diameter(*[F.col(k) for k in names]))
-    h = g.homography([(F.col(f"{k}.x"), F.col(f"{k}.y")) for k in names], g.diamond(F.col("d")))
+    e = g.with_homography(e, [(F.col(f"{k}.x"), F.col(f"{k}.y")) for k in names], g.diamond(F.col("d")))
+    h = [F.get("matrix", F.lit(k)) for k in range(9)]
     unit = [1, 1, F.col("d"), 1, 1, F.col("d"), 1 / F.col("d"), 1 / F.col("d"), 1]
     apart = F.size(F.array_distinct(F.array("top.i", "bottom.i", "left.i", "right.i"))) == 4
     out = F.array(*[F.when(apart, F.round(F.try_divide(v, F.lit(1) * u), 4) + 0.0) for v, u in zip(h, unit, strict=True)])
@@ -311,6 +322,78 @@ def limit_successes(spark, sf_dir):
     return rows.where("event_type = 'purchase'").orderBy("idx").limit(25).select("event_id", F.col("idx").cast("long").alias("idx"))
 
 
+@query("""
+SELECT event_id, idx FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events) WHERE event_type = 'purchase' ORDER BY idx LIMIT 25""")
+def adaptive_limit(spark, sf_dir):
+    """The same, without judging rows far beyond the last success."""
+    rows = stored(frames.numbered(t(spark, sf_dir, "events").select("event_id", "event_type"), "event_id"), "numbered")
+    found = frames.first_successes(rows, lambda part: part.where("event_type = 'purchase'"), 25)
+    return found.select("event_id", F.col("idx").cast("long").alias("idx"))
+
+
+@query("""
+SELECT event_id, user_id, idx FROM (
+  SELECT event_id, user_id, event_type, idx, row_number() OVER (PARTITION BY user_id, event_type ORDER BY idx) AS k FROM (
+    SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM events))
+WHERE event_type = 'click' AND k <= 2""")
+def adaptive_limit_by_group(spark, sf_dir):
+    """The first two clicks of each user."""
+    rows = frames.numbered(t(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", out="at")
+    start = rows.groupBy("user_id").agg(F.min("at").alias("first")).withColumnRenamed("user_id", "u2")
+    rows = stored(rows.join(start, F.expr("user_id = u2")).select("event_id", "user_id", "event_type", (F.col("at") - F.col("first")).alias("idx")), "numbered")
+    found = frames.first_successes(rows, lambda part: part.where("event_type = 'click'"), 2, by="user_id", first=8)
+    return found.select("event_id", "user_id", F.col("idx").cast("long").alias("idx"))
+
+
+@query("""
+WITH u AS (SELECT conv_id, turn, length(text) AS v FROM conversations WHERE role = 'user' AND turn >= 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM u)
+SELECT c.conv_id, c.turn, CAST(count(n.v) AS BIGINT) AS upto, arg_max(n.v, n.place) AS last_v FROM conversations c LEFT JOIN n ON c.conv_id = n.conv_id AND n.turn <= c.turn GROUP BY ALL""")
+def history_offsets(spark, sf_dir):
+    """How many notes each turn has behind it, and the last of them, by its place."""
+    c = t(spark, sf_dir, "conversations")
+    notes = c.where("role = 'user'").select("conv_id", "turn", F.char_length("text").cast("long").alias("v"))
+    turns, placed = frames.history_offsets(c.select("conv_id", "turn"), notes, "conv_id", "turn")
+    placed = placed.select(F.col("conv_id").alias("c2"), "place", F.col("v").alias("last_v"))
+    return turns.join(placed, F.expr("conv_id = c2 and upto = place"), "left").select("conv_id", "turn", "upto", "last_v")
+
+
+@query(f"""
+WITH p AS ({SHIFTED.format(n=10)}), q AS (SELECT 10 * vec_id + i AS k, x, y FROM p),
+c AS (SELECT event_id, event_id * 7919 % 60000 / 100.0 AS x, event_id * 104729 % 60000 / 100.0 AS y FROM events)
+SELECT event_id, min(k) AS box, min(k) FILTER ((c.x - q.x) ** 2 + (c.y - q.y) ** 2 <= 36) AS disc
+FROM c LEFT JOIN q ON abs(c.x - q.x) < 10 AND abs(c.y - q.y) < 10 GROUP BY event_id""")
+def grid_hits(spark, sf_dir):
+    """For each of many clicks the first of many points under it."""
+    points = shifted(spark, sf_dir).select((10 * F.col("vec_id") + F.col("i")).alias("k"), "x", "y")
+    at = lambda m: (F.col("event_id") * m % 60000) / F.lit(100.0)
+    clicks = t(spark, sf_dir, "events").select("event_id", at(7919).alias("x"), at(104729).alias("y"))
+    box = grid.hits(clicks, points, "event_id", "k", 10.0).withColumnRenamed("k", "box")
+    return grid.hits(box, points, "event_id", "k", 6.0, disc=True).select("event_id", "box", F.col("k").alias("disc"))
+
+
+@query(f"""
+WITH {EXTREMES} {ELIMINATION.format(target=DIAMOND)},
+w AS (SELECT event_id, event_id % 500 AS vec_id, [1 + event_id * 3 % 7, 1 + event_id * 5 % 7, 1 + event_id * 4 % 7, 1 + event_id * 6 % 7] AS w FROM events),
+h AS (SELECT event_id, vec_id, list_sum(list_transform(range(1, 5), lambda i: w[i] * p[i][1])) / list_sum(w) AS x, list_sum(list_transform(range(1, 5), lambda i: w[i] * p[i][2])) / list_sum(w) AS y, m, g.d
+      FROM w JOIN d USING (vec_id) JOIN g USING (vec_id) WHERE apart AND NOT bad)
+SELECT event_id, CAST(trunc(d) AS INT) AS side, round((m[1][9] * x + m[2][9] * y + m[3][9]) / (m[7][9] * x + m[8][9] * y + 1) / d, 4) AS u, round((m[4][9] * x + m[5][9] * y + m[6][9]) / (m[7][9] * x + m[8][9] * y + 1) / d, 4) AS v FROM h""")
+def calibrated_points(spark, sf_dir):
+    """Places within the four keypoints of a calibration, moved by its map, which is solved once for each calibration."""
+    e = t(spark, sf_dir, "embeddings").select("vec_id", vec(4).alias("pts"))
+    keys = F.transform("pts", lambda p: F.array(p["x"], p["y"]))
+    solved = batch.solved(e.select(F.col("vec_id").alias("folder"), keys.alias("keypoints"), F.lit(1.0).alias("scale_x"), F.lit(1.0).alias("scale_y")))
+    e = e.select("vec_id", *[c.alias(k) for k, c in g.extremes(F.col("pts")).items()])
+    names = ["top", "bottom", "left", "right"]
+    e = e.where(F.size(F.array_distinct(F.array(*[F.col(f"{k}.i") for k in names]))) == 4).withColumn("d", g.diameter(*[F.col(k) for k in names]))
+    marks = t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 500).alias("at"), *[(1 + F.col("event_id") * k % 7).alias(f"w_{n}") for n, k in zip(names, (3, 5, 4, 6), strict=True)])
+    weight = sum((F.col(f"w_{n}") for n in names[1:]), F.col("w_top"))
+    mean = lambda a: sum((F.col(f"w_{n}") * F.col(f"{n}.{a}") for n in names[1:]), F.col("w_top") * F.col(f"top.{a}")) / weight
+    rows = frames.with_calibration(marks.join(e, F.expr("at = vec_id")).withColumn("folder", F.col("vec_id")), solved, "folder")
+    u, v = g.project([F.get("matrix", F.lit(k)) for k in range(9)], mean("x"), mean("y"))
+    return rows.select("event_id", "side", F.round(u / F.col("d"), 4).alias("u"), F.round(v / F.col("d"), 4).alias("v"))
+
+
 @query("""
 WITH n AS (SELECT DISTINCT l_orderkey AS n FROM lineitem WHERE l_orderkey <> 57)
 SELECT min(k) AS gap FROM (SELECT 0 AS k UNION SELECT n + 1 FROM n) WHERE k NOT IN (SELECT n FROM n)""")
@@ -345,10 +428,11 @@ def fit_box(spark, sf_dir):
     return p.select("p_partkey", w.alias("fit_w"), h.alias("fit_h"), g.scaled_size(F.col("p_size"), 0.05).alias("small"))
 
 
-@query("SELECT page_id FROM pages WHERE url LIKE 'https%' UNION ALL SELECT page_id FROM pages WHERE url NOT LIKE 'https%'")
+@query("SELECT page_id AS id, url AS name FROM pages UNION ALL SELECT conv_id, role FROM conversations")
 def glob_union(spark, sf_dir):
-    p = t(spark, sf_dir, "pages")
-    return frames.union_all(*[p.where(f"url {x} 'https%'").select("page_id") for x in ("like", "not like")])
+    """Rows of two sources, repeats and all."""
+    a, b = t(spark, sf_dir, "pages"), t(spark, sf_dir, "conversations")
+    return frames.union_all(a.select(F.col("page_id").alias("id"), F.col("url").alias("name")), b.select(F.col("role").alias("name"), F.col("conv_id").alias("id")))
 
 
 @query(f"""
@@ -435,20 +519,23 @@ def pixel_of_shot(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS (SELECT vec_id, arg_min((x, y), (x + y, i)) AS tl, arg_min((x, y), (y - x, i)) AS tr, arg_min((x, y), (-(x + y), i)) AS br, arg_min((x, y), (x - y, i)) AS bl, count(DISTINCT (x, y)) AS k,
-             len(list_distinct([arg_min(i, (x + y, i)), arg_min(i, (y - x, i)), arg_min(i, (-(x + y), i)), arg_min(i, (x - y, i))])) AS apart FROM ({PTS.format(n=4)}) GROUP BY vec_id)
-SELECT vec_id, apart = 4 AS apart, CASE WHEN apart = 4 THEN CAST(0 AS DOUBLE) END AS off FROM c""")
+WITH c AS (SELECT vec_id, [arg_min([x, y], (x + y, i)), arg_min([x, y], (x - y, -i)), arg_min([x, y], (-(x + y), i)), arg_min([x, y], (x - y, i))] AS p,
+             len(list_distinct([arg_min(i, (x + y, i)), arg_min(i, (y - x, i)), arg_min(i, (-(x + y), i)), arg_min(i, (x - y, i))])) AS apart,
+             arg_min([x, y], (y - x, i)) AS tr FROM ({PTS.format(n=4)}) GROUP BY vec_id),
+d AS (SELECT vec_id, [p[1], tr, p[3], p[4]] AS p, 600.0 AS d FROM c WHERE apart = 4),
+{ELIMINATION.format(target="[0, d, d, 0, 0, 0, d, d]")}
+SELECT c.vec_id, c.apart = 4 AS apart, CAST(i AS INT) AS i, CASE WHEN bad THEN NULL WHEN i = 9 THEN 1.0 ELSE round(m[i][9] / CASE WHEN i IN (3, 6) THEN 600 WHEN i IN (7, 8) THEN 0.1 ELSE 10 END, 4) + 0.0 END AS h
+FROM c LEFT JOIN g ON g.vec_id = c.vec_id, (SELECT unnest(range(1, 10)) AS i) WHERE i = 1 OR c.apart = 4""")
 def square_corners(spark, sf_dir):
-    """How far the ordered corners land from those of the square, in 10,000ths of its side; null where one point is two corners."""
-    e = t(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(k) for k, c in g.corners(vec(4)).items()])
+    """The map from the ordered corners to those of a square of 600; one row without it where one point is two corners."""
     names = ["tl", "tr", "br", "bl"]
-    e = e.withColumns({f"h{k}": c for k, c in enumerate(g.homography([(F.col(f"{k}.x"), F.col(f"{k}.y")) for k in names], g.square()))})
-    off = []
-    for k, (u, v) in zip(names, g.square(), strict=True):
-        x, y = g.project([F.col(f"h{j}") for j in range(9)], F.col(f"{k}.x"), F.col(f"{k}.y"))
-        off.append(F.hypot(x - u, y - v))
-    apart = F.size(F.array_distinct(F.array(*[F.col(f"{k}.i") for k in names]))) == 4
-    return e.select("vec_id", apart.alias("apart"), F.when(apart, F.abs(F.round(F.greatest(*off) / 600, 4))).alias("off"))
+    e = t(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(k) for k, c in g.corners(vec(4)).items()])
+    e = e.withColumn("apart", F.size(F.array_distinct(F.array(*[F.col(f"{k}.i") for k in names]))) == 4)
+    e = g.with_homography(e, [(F.col(f"{k}.x"), F.col(f"{k}.y")) for k in names], g.square())
+    unit = [10, 10, 600, 10, 10, 600, 0.1, 0.1, 1]
+    h = F.array(*[F.round(F.get("matrix", F.lit(k)) / u, 4) + 0.0 for k, u in enumerate(unit)])
+    rows = e.select("vec_id", "apart", F.posexplode(F.when(F.col("apart"), h).otherwise(F.array(F.lit(None).cast("double")))).alias("i", "h"))
+    return rows.select("vec_id", "apart", (F.col("i") + 1).alias("i"), "h")
 
 
 @query(f"""

@@ -1,4 +1,4 @@
-"""Batch jobs over folders of photos, each one lazy plan from scan to rows that a sink can write.
+"""Batch jobs over folders of photos: names, notes and parameters are joined first, then the photos needed are read.
 
 Results are rows with ``name`` (a path below the output folder), ``content`` (PNG) and ``json``;
 ``write_files`` of the sources makes files of them.
@@ -13,6 +13,9 @@ from ..functions import geometry as g
 from ..functions import paths
 from ..operators import frames, pixels
 from ..sources import photos as src
+from ..sources.store import is_small, stored
+
+CALIBRATION = "folder string, keypoints array<array<double>>, scale_x double, scale_y double"
 
 
 def cumulative_hits(spark: SparkSession, dataset: str) -> DataFrame:
@@ -24,41 +27,84 @@ def cumulative_hits(spark: SparkSession, dataset: str) -> DataFrame:
     return own.join(past, ["seq", "n"]).select("photo", F.flatten(F.filter("past", lambda p: p.isNotNull())).alias("hits"))
 
 
-def normalized(spark: SparkSession, dataset: str, keypoints: list[tuple[float, float]], scale: tuple[float, float] = (1.0, 1.0), size: int = 600, count: int = -1) -> DataFrame:
+def solved(calibrations: DataFrame) -> DataFrame:
+    """folder, matrix, side: the map of each calibration and the side of what it gives, worked out once for each, when called.
+
+    ``calibrations``: folder, keypoints (array of arrays of two, the first four in the order top, bottom, left, right),
+    scale_x, scale_y.  Those of which three extremes are in line go, as nothing can be mapped by them.
+    """
+    pts = F.transform("keypoints", lambda p, i: F.struct(i.alias("i"), F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y")))
+    rows = calibrations.select("folder", "scale_x", "scale_y", pts.alias("pts"))
+    rows = rows.select("folder", *[F.struct((c["x"] * F.col("scale_x")).alias("x"), (c["y"] * F.col("scale_y")).alias("y")).alias(k) for k, c in g.extremes(F.col("pts")).items()])
+    four = [F.col(k) for k in ("top", "bottom", "left", "right")]
+    rows = rows.withColumn("d", g.diameter(*four))
+    rows = g.with_homography(rows, [(c["x"], c["y"]) for c in four], g.diamond(F.col("d")))
+    rows = stored(rows.select("folder", "matrix", F.col("d").cast("int").alias("side")), "calibrations")  # else the filter would be pushed down, with the whole solution in it
+    return rows.where("matrix is not null")
+
+
+def ancestors(path: Column) -> Column:
+    """All folders above a path, the nearest last."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as it stands in the paths of its files."""
+    hadoop, store = src.in_store(spark, folder)
+    return store.makeQualified(hadoop).toString().rstrip("/")
+
+
+def in_calibrated(found: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """path, folder, matrix, side, idx, total: each photo with each calibration above it; ``idx`` counts the photos below the folder by path."""
+    own = solved(calibrations)
+    per = found.select("path", F.explode(ancestors(F.col("path"))).alias("folder"))
+    both = per.join(F.broadcast(own) if is_small(own) else own, "folder")
+    both = frames.numbered(both, "folder", "path", out="at")
+    first = both.groupBy("folder").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("total"))
+    first = first.withColumnRenamed("folder", "f2")
+    return both.join(first, F.expr("folder = f2")).select("path", "folder", "matrix", "side", (F.col("at") - F.col("first")).alias("idx"), "total")
+
+
+def normalized(spark: SparkSession, dataset: str, keypoints, scale: tuple[float, float] = (1.0, 1.0), size: int = 600, count: int = -1) -> DataFrame:
     """idx, path, name, percent, content, json of each photo that can be read and has hits.
 
-    ``idx`` counts all photos by path, so failures leave gaps; a ``count`` over 0 keeps so many
-    successes.  Photos are resized to a square of ``size`` first; keypoints and scale hold there.
-    Photos without hits are dropped before any pixel is moved.
+    ``keypoints``: one list for the whole dataset, with its ``scale``, or a table of calibrations (see ``solved``) whose folders
+    lie in the dataset, each for the photos anywhere below it.  With a table, names begin with the folder's name.
+    ``idx`` counts all photos below a calibrated folder by path, so failures leave gaps; a ``count`` over 0 keeps
+    so many successes of each, and photos beyond them are not read but for the last range tried.  Photos are resized
+    to a square of ``size`` first; keypoints and scale hold there.  Names, notes and hits are joined first; only photos
+    with hits are opened.  Runs that first part when called.
     """
-    found = frames.numbered(src.photos(spark, dataset).select("path"), "path")
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    stem = F.regexp_replace(F.col("path"), paths.PHOTO, "").alias("photo")
+    table = isinstance(keypoints, DataFrame)
+    if table:
+        given = keypoints.withColumn("folder", F.regexp_replace("folder", "(?<=.)/+$", ""))
+        home = qualified(spark, dataset)
+        full = F.when(F.rlike("folder", F.lit("^(/|[A-Za-z][A-Za-z0-9+.-]*:)")), F.regexp_replace(F.regexp_replace("folder", "^/", "file:/"), "^file:/+", "file:/")).otherwise(F.concat(F.lit(f"{home}/"), "folder"))
+        given = given.withColumn("folder", full)
+    else:
+        given = spark.createDataFrame([(qualified(spark, dataset), [[float(x), float(y)] for x, y in keypoints], float(scale[0]), float(scale[1]))], CALIBRATION)
+    found = in_calibrated(src.photos(spark, dataset).select("path"), given)
     hits = cumulative_hits(spark, dataset).where(F.size("hits") > 0)
-    read = src.images(spark, dataset)
-    rows = found.select("idx", "path", stem).join(hits, "photo").join(read, "path").crossJoin(F.broadcast(total))  # one row
-    pts = F.array(*[F.struct(F.lit(k).alias("i"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for k, (x, y) in enumerate(keypoints)])
-    rows = rows.withColumn("_e", F.struct(*[c.alias(k) for k, c in g.extremes(pts).items()]))
-    corner = {k: F.struct((F.col(f"_e.{k}.x") * scale[0]).alias("x"), (F.col(f"_e.{k}.y") * scale[1]).alias("y")) for k in ("top", "bottom", "left", "right")}
-    rows = rows.select("*", *[c.alias(f"_{k}") for k, c in corner.items()])
-    rows = rows.withColumn("_d", g.diameter(*[F.col(f"_{k}") for k in corner]))
-    h = g.homography([(F.col(f"_{k}.x"), F.col(f"_{k}.y")) for k in corner], g.diamond(F.col("_d")))
-    rows = rows.withColumn("_h", F.array(*h)).where("_h[8] is not null")
-    at = [F.get("_h", F.lit(k)) for k in range(9)]
+    rows = found.withColumn("photo", F.regexp_replace("path", paths.PHOTO, "")).join(hits, "photo")
+    name = F.concat(*([paths.base(F.col("folder")), F.lit("/")] if table else []), F.col("idx").cast("string"), F.lit(".png"))
+    rows = rows.select("idx", "path", "folder", name.alias("name"), frames.progress(F.col("idx"), F.col("total")).alias("percent"), "hits", "matrix", "side")
+    if count > 0:
+        readable = lambda part: src.with_images(part).select(*part.columns)
+        rows = frames.first_successes(stored(rows, "to-normalise"), readable, count, by="folder", first=4 * count)
+    read = src.with_images(rows)
+    at = [F.get("matrix", F.lit(k)) for k in range(9)]
 
     def moved(p: Column) -> Column:
         w, t = F.col("image.width"), F.col("image.height")
         return F.array(*g.project(at, F.get(p, F.lit(0)) * size / w, F.get(p, F.lit(1)) * size / t))
 
-    json = src.arrows_document(F.transform("hits", moved))
-    rows = rows.select("idx", "path", F.concat(F.col("idx").cast("string"), F.lit(".png")).alias("name"), frames.progress(F.col("idx"), F.col("total")).alias("percent"), json.alias("json"), F.col("_h").alias("matrix"), F.col("_d").cast("int").alias("side"), "image")
-    if count > 0:
-        rows = rows.orderBy("idx").limit(count)
+    read = read.select("idx", "path", "name", "percent", src.arrows_document(F.transform("hits", moved)).alias("json"), "matrix", "side", "image")
 
     def straight(a, matrix, side):
         return pixels.warp(pixels.lanczos(a, size, size), list(matrix), side, side)
 
-    return pixels.encoded(pixels.apply(pixels.from_spark_images(rows), straight, "matrix", "side")).select("idx", "path", "name", "percent", "content", "json")
+    return pixels.encoded(pixels.apply(pixels.from_spark_images(read), straight, "matrix", "side")).select("idx", "path", "name", "percent", "content", "json")
 
 
 def points_of(spark: SparkSession, folder: str, custom: bool, key: str = "arrows") -> DataFrame:
@@ -69,25 +115,31 @@ def points_of(spark: SparkSession, folder: str, custom: bool, key: str = "arrows
 
 
 def overlaid(spark: SparkSession, folder: str, custom: bool, radius: int = 5, colour: tuple[int, int, int] = (0, 255, 0)) -> DataFrame:
-    """path, content: photos with a disc at each of their points; those without an annotation are left out."""
-    rows = src.images(spark, folder).withColumn("photo", F.regexp_replace("path", paths.PHOTO, "")).join(points_of(spark, folder, custom), "photo").where("points is not null").select("path", "points", "image")
+    """path, content: photos with a disc at each of their points; those without an annotation are left out, and not opened."""
+    found = src.photos(spark, folder).select("path", F.regexp_replace("path", paths.PHOTO, "").alias("photo"))
+    rows = found.join(points_of(spark, folder, custom), "photo").where("points is not null").select("path", "points")
 
     def dotted(a, points):
         return pixels.discs(a, [tuple(p) for p in points], radius, colour)
 
-    return pixels.encoded(pixels.apply(pixels.from_spark_images(rows), dotted, "points")).select("path", "content")
+    return pixels.encoded(pixels.apply(pixels.from_spark_images(src.with_images(rows)), dotted, "points")).select("path", "content")
 
 
 def _in_folders(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """path, seq, file, image, note (text of the JSON beside it) of photos one folder below ``root``; photos without a note raise."""
-    read = src.images(spark, root, drop_unreadable=False)
-    read = read.where(F.rlike("path", F.lit(pattern)) & (paths.parent_name(paths.parent(F.col("path"))) == root.rstrip("/").rsplit("/", 1)[-1]))
-    whole = F.when(F.col("image.height") > 0, F.col("image")).otherwise(F.raise_error(F.concat(F.lit("cannot read "), F.col("path"))))
+    """path, seq, file, note (text of the JSON beside it) of photos right in the folders right below ``root``; photos without a note raise."""
+    found = src.files(spark, root, recursive=True).select("path")
+    found = found.where(F.rlike("path", F.lit(pattern)) & (paths.parent(paths.parent(F.col("path"))) == qualified(spark, root)))
     notes = src.files(spark, root, "*.json", recursive=True).select(F.regexp_replace("path", r"\.json$", "").alias("photo"), F.decode("content", "UTF-8").alias("note"))
-    rows = read.select("path", paths.parent_name(F.col("path")).alias("seq"), paths.base(F.col("path")).alias("file"), whole.alias("image"), F.regexp_replace("path", paths.PHOTO, "").alias("photo"))
+    rows = found.select("path", paths.parent_name(F.col("path")).alias("seq"), paths.base(F.col("path")).alias("file"), F.regexp_replace("path", paths.PHOTO, "").alias("photo"))
     return frames.matched(rows, notes, "photo", "error").drop("photo")
 
 
+def _read_all(rows: DataFrame) -> DataFrame:
+    """``rows`` with images; one that cannot be read raises."""
+    whole = F.when(F.col("image.height") > 0, F.col("image")).otherwise(F.raise_error(F.concat(F.lit("cannot read "), F.col("path"))))
+    return src.with_images(rows, drop_unreadable=False).withColumn("image", whole)
+
+
 def brightened(spark: SparkSession, root: str, seed: int = 42) -> DataFrame:
     """name, content, json, variant, coefficient: three brightness variants of each photo, with its note.
 
@@ -96,15 +148,15 @@ def brightened(spark: SparkSession, root: str, seed: int = 42) -> DataFrame:
     """
     rows = frames.variants(_in_folders(spark, root, r"\.(jpg|png)$"), "path", seed)
     name = F.concat("seq", F.lit("/"), F.split_part("file", F.lit("."), F.lit(1)), F.lit("_"), F.col("variant").cast("string"), F.lit(".png"))
-    rows = rows.select("path", name.alias("name"), F.col("note").alias("json"), "variant", "coefficient", "image")
-    return pixels.encoded(pixels.apply(pixels.from_spark_images(rows), pixels.gamma, "coefficient")).select("name", "content", "json", "variant", "coefficient")
+    rows = rows.select("path", name.alias("name"), F.col("note").alias("json"), "variant", "coefficient")
+    return pixels.encoded(pixels.apply(pixels.from_spark_images(_read_all(rows)), pixels.gamma, "coefficient")).select("name", "content", "json", "variant", "coefficient")
 
 
 def degraded(spark: SparkSession, root: str, scale: float = 0.5) -> DataFrame:
     """name, content, json: each PNG made smaller, its points rounded half to even and then scaled."""
     points = g.scaled(src.point_list(F.col("note")), F.lit(scale), F.lit(scale))
-    rows = _in_folders(spark, root, r"\.png$").select("path", F.concat("seq", F.lit("/"), "file").alias("name"), src.arrows_document(points).alias("json"), F.lit(scale).alias("scale"), "image")
-    return pixels.encoded(pixels.apply(pixels.from_spark_images(rows), pixels.degrade, "scale")).select("name", "content", "json")
+    rows = _in_folders(spark, root, r"\.png$").select("path", F.concat("seq", F.lit("/"), "file").alias("name"), src.arrows_document(points).alias("json"), F.lit(scale).alias("scale"))
+    return pixels.encoded(pixels.apply(pixels.from_spark_images(_read_all(rows)), pixels.degrade, "scale")).select("name", "content", "json")
 
 
 def json_name(name: Column) -> Column:
@@ -115,13 +167,13 @@ def training_rows(spark: SparkSession, folder: str, epoch: int, size: int = 256,
     """path, tensor, coords: photos of one folder, jittered for an epoch, with ten shots each in single precision; a photo without a note raises."""
     from ..functions import shots
 
-    read = src.images(spark, folder).select("path", "image", F.regexp_replace("path", paths.PHOTO, "").alias("photo"))
+    found = src.files(spark, folder).where(paths.is_photo(F.col("path"))).select("path", F.regexp_replace("path", paths.PHOTO, "").alias("photo"))
     notes = src.files(spark, folder, "*.json").select(F.regexp_replace("path", r"\.json$", "").alias("photo"), src.shots(F.decode("content", "UTF-8")).alias("shots"))
-    rows = frames.jitter(frames.matched(read, notes, "photo", "error"), "path", epoch, seed)
+    rows = frames.jitter(frames.matched(found, notes, "photo", "error"), "path", epoch, seed)
     turned = F.transform(F.slice("shots", 1, shots.SHOTS), lambda p: F.array(F.get(p, F.lit(0)), g.turned(F.get(p, F.lit(1)), F.col("angle"))))
-    rows = rows.select("path", shots.label_tensor(turned).alias("coords"), "brightness", "angle", F.lit(size).alias("size"), "image")
+    rows = rows.select("path", shots.label_tensor(turned).alias("coords"), "brightness", "angle", F.lit(size).alias("size"))
 
     def jittered(a, brightness, angle, side):
         return pixels.rotate_in_place(pixels.brightness(pixels.bicubic(a, side, side), brightness), angle)
 
-    return pixels.tensors(pixels.apply(pixels.from_spark_images(rows), jittered, "brightness", "angle", "size")).select("path", "tensor", "coords")
+    return pixels.tensors(pixels.apply(pixels.from_spark_images(src.with_images(rows)), jittered, "brightness", "angle", "size")).select("path", "tensor", "coords")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .store import stored
 
 LABELS = "*.{jpg,jpeg,png,bmp,tif,tiff,webp}"
 POINTS = "array<array<double>>"
@@ -70,10 +71,56 @@ def unlabelled(spark: SparkSession, folder: str) -> DataFrame:
     return files(spark, folder, LABELS).withColumn("_key", key).join(done, "_key", "left_anti").drop("_key").orderBy("path")
 
 
+IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+#: Photos of which the driver holds the paths at a time.
+WAVE = 20_000
+
+
+def plain_path(origin: Column) -> Column:
+    """The path that ``files`` gives for an image's origin, which is a URI."""
+    uri = F.regexp_replace(origin, "^file:/+", "file:/")
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def images(spark: SparkSession, folder: str, drop_unreadable: bool = True) -> DataFrame:
-    """path (as ``files`` writes it) and decoded image (height, width, nChannels, data in BGR order)."""
+    """path (as ``files`` writes it) and decoded image (height, width, nChannels, data in BGR order); a missing folder has none."""
+    hadoop, store = in_store(spark, folder)
+    if not store.exists(hadoop):
+        return spark.createDataFrame([], f"path string, image {IMAGE}")
     out = spark.read.format("image").option("dropInvalid", str(drop_unreadable).lower()).option("recursiveFileLookup", "true").load(folder)
-    return out.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image")
+    return out.select(plain_path(F.col("image.origin")).alias("path"), "image")
+
+
+def with_images(rows: DataFrame, drop_unreadable: bool = True, wave: int = WAVE) -> DataFrame:
+    """``rows`` (``path`` and other columns) with the decoded ``image``, read late: only these files are opened, each once.
+
+    The rows are stored and dealt by hash of the path to waves of about ``wave``.  Of a wave the driver
+    knows the paths, which Spark packs to tasks by size; its rows, bounded by that, are broadcast to the
+    scan, so no decoded pixel is shuffled.  Runs what ``rows`` needs when called.  Of very many waves take
+    the ``parts`` one after the other.
+    """
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, list(parts_with_images(rows, drop_unreadable, wave)))
+
+
+def parts_with_images(rows: DataFrame, drop_unreadable: bool = True, wave: int = WAVE):
+    """What ``with_images`` puts together, a wave at a time."""
+    import re
+
+    spark, kept = rows.sparkSession, stored(rows, "photo-rows")
+    waves = max(1, -(-kept.select("path").distinct().count() // wave))
+    for k in range(waves):
+        part = kept.where(F.pmod(F.xxhash64("path"), F.lit(waves)) == k) if waves > 1 else kept
+        paths = [r.path for r in part.select("path").distinct().collect()]
+        if not paths:
+            if waves == 1:
+                yield part.withColumn("image", F.lit(None).cast(IMAGE))
+            continue
+        exact = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]  # else these stand for several files
+        read = spark.read.format("image").option("dropInvalid", str(drop_unreadable).lower()).load(exact)
+        read = read.select(plain_path(F.col("image.origin")).alias("path"), "image")
+        yield read.join(F.broadcast(part), "path").select(*rows.columns, "image")
 
 
 def with_status(read: DataFrame) -> DataFrame:
