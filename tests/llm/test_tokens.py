@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tidepool.llm import packing, pieces
@@ -64,13 +65,57 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def unpacked(rows):
+    """(doc_id, ids) of each document, from the pieces in order of the stream."""
+    out = []
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        if r.start == 0:
+            out.append((r.doc_id, []))
+        assert out[-1][0] == r.doc_id and len(out[-1][1]) == r.start
+        out[-1][1].extend(r.ids)
+    return out
+
+
+def test_null_and_repeated_ids_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 3000)
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok, _ = packing.load(path)
+    rows = [(None, "null one. " * 30), (None, "null two"), (None, None), (7, "same id " * 50), (7, "other text. " * 300), (7, ""), (-5, "twice. " * 40), (-5, "twice. " * 40), (3, None), (3, None)]
+    rows += [(7, f"many texts of one id {k}. " * 20) for k in range(60)]
+    got = unpacked(packing.pack(spark.createDataFrame(rows, DOCS).repartition(3), path, size=256).collect())
+    want = [(i, tok.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [i for i, _ in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    names = spark.createDataFrame([(f"d{k}", f"text {k}. " * 40) for k in range(50)] + [(None, "x"), ("d", "y")], "doc_id string, text string")
+    order = [i for i, _ in unpacked(packing.pack(names, path, size=256).collect())]
+    assert order == [None, *sorted(r.doc_id for r in names.where("doc_id is not null").collect())]
+
+
+def test_cuts_hang_on_the_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 200_000)
+    path = tokenizer_path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    runs = [sorted(map(tuple, packing.pack(d, path, with_ids=False).collect())) for d in (docs, docs.repartition(13), docs.repartition(2, "source").orderBy(F.desc("doc_id")))]
+    assert runs[0] == runs[1] == runs[2]
+    used = defaultdict(int)
+    for r in runs[0]:
+        used[r[5]] += r[2]
+    assert len({s >> 32 for s in used}) > 5 and sum(n < 128 for n in used.values()) < 0.02 * len(used)
+    sizes = packing.order_key(docs.select("doc_id", F.col("text").alias("t"))).select("key", F.octet_length("t").alias("size"))
+    starts = packing.borders(sizes)
+    per = defaultdict(int)
+    for r in sizes.collect():
+        per[sum(x <= r.key for x in starts)] += r["size"]
+    assert starts == sorted(starts) and max(per.values()) <= 200_000 and len(per) == len(starts)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_cuts_are_the_best(seed):
     rng = np.random.default_rng(seed)
-    size, word = 64, 9
+    size, word, window = 64, 9, 5 * (seed % 3)
     places = np.unique(rng.integers(1, 400, 60)).tolist()
     marks = [(p, int(rng.integers(0, 4))) for p in places]
-    cuts = packing.best_cuts(places[-1], marks, size, word)
+    cuts = packing.best_cuts(places[-1], marks, size, word, window)
     step, nodes, at = size // 32, [(0, 0)], 0
     for j, c in marks:
         while j - nodes[-1][0] > step:
@@ -80,6 +125,6 @@ def test_cuts_are_the_best(seed):
     pad = lambda n: 0 if n & (n - 1) == 0 else size - n
     best = {0: 0}
     for j, c in nodes[1:]:
-        best[j] = min(best[i] + pad(j - i) for i, _ in nodes if i < j and j - i <= size) + c
+        best[j] = min(best[i] + pad(j - i) for i, _ in nodes if i < j and j - i <= size) + c + window
     cost = dict(nodes)
-    assert sum(pad(b - a) + cost[b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)) == best[places[-1]]
+    assert sum(pad(b - a) + cost[b] + window for a, b in zip(cuts[:-1], cuts[1:], strict=True)) == best[places[-1]]

@@ -2,15 +2,18 @@
 
 Documents, in order of id, are one stream of tokens.  Windows of at most ``size`` tokens
 are cut from it so that padding plus penalties is least: a cut at a document's end is
-free, at a sentence's end costs ``sentence_cost``, elsewhere ``word_cost``.  The best cost
+free, at a sentence's end costs ``sentence_cost``, elsewhere ``word_cost``, and each window
+costs ``window_cost``, so that there are no more than need be.  The best cost
 up to a cut j is min over earlier cuts i of best(i) + padding(j - i) + cost(j), and as
 padding is size - (j - i), a monotone queue of best(i) + i gives each minimum in constant
 time; windows whose length is a power of two are not padded and are tried as well.
 
-Spark deals documents to range partitions of the id (then of the text's hash, then of the row, so
-that rows of one id may be in several), each sorted; a task holds one block of the stream at a
+The stream is parted at fixed borders: exact sums of the texts' sizes by leading digits of id and text hash,
+refined where they are heavy, are put together to parts of about ``PART_BYTES`` (more if there would be over
+``PARTS`` of them).  So the result depends on the rows alone, not on how they were dealt to tasks, and
+rows of one id may be in several parts.  A task holds one block of a part at a
 time, emits all windows of a block but the last, and carries that one on.  Only the last window
-of a partition is short of choices, and cuts are the best of each block.
+of a part is short of choices, and cuts are the best of each block.
 
 Texts are tokenised through a table of distinct chunks that a worker keeps from task to task: chunks
 end where byte-level pretokenisation starts anew whatever stands before, so that each is encoded
@@ -18,13 +21,14 @@ once and the ids of texts are put together by array operations.  Tokenizers of a
 byte-level ones without normalisation are applied to whole texts.
 
 Cases: a null or empty text is the end id alone; an empty table gives no pieces; rows of
-equal ids stand next to each other, by the hash of their texts; a null id comes first; text without
+equal ids stand next to each other, by the hash of their texts; equal rows stand in any order, as they are the same; a null id comes first; text without
 sentence ends is cut between any two tokens at ``word_cost``; a very long text is a stream like any
 other, held by one task with 4 bytes a token; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import os
@@ -34,16 +38,18 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import named
+from .shared import freed, named, stored
 from .textkit import SpanTable, text_slices
 
 #: Tokens of the stream that are cut at a time.
 BLOCK = 1 << 18
+#: Bytes of text of a part of the stream, unless that makes more than so many parts.
+PART_BYTES, PARTS = 4 << 20, 20_000
 #: Distinct chunks that a worker remembers, about 60 bytes each.
 TABLE_CHUNKS = 300_000
 #: New chunks that are encoded as one text, as a call for each costs more; where chunks begin with a space they are parted again.
@@ -118,8 +124,8 @@ def tokenise(loaded, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np
         yield ids[lo[k] : lo[k + 1]], end[cut[k] : cut[k + 1]] - lo[k]
 
 
-def best_cuts(total: int, marks: list[tuple[int, int]], size: int, word_cost: int) -> list[int]:
-    """Cut places from 0 to ``total``; ``marks``: ascending (place, cost) of good cuts, the last at ``total``."""
+def best_cuts(total: int, marks: list[tuple[int, int]], size: int, word_cost: int, window_cost: int = 0) -> list[int]:
+    """Cut places from 0 to ``total``; ``marks``: ascending (place, cost) of good cuts, the last at ``total``; each window costs ``window_cost``."""
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best(i) + i, i), both ascending in i
     far = 1 << 60
     best, back = [far] * (total + 1), {0: 0}
@@ -136,7 +142,7 @@ def best_cuts(total: int, marks: list[tuple[int, int]], size: int, word_cost: in
                 break
             if best[j - p] < value:
                 value, i = best[j - p], j - p
-        value += cost
+        value += cost + window_cost
         best[j], back[j] = value, i
         last = j
         while queue and queue[-1][0] >= value + j:
@@ -154,7 +160,39 @@ def best_cuts(total: int, marks: list[tuple[int, int]], size: int, word_cost: in
     return cuts[::-1]
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sentence_cost: int = 2, word_cost: int = 12, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def order_key(df: DataFrame) -> DataFrame:
+    """``df`` (doc_id, t) with ``key``, a text whose order is that of the id, then of the text's hash; a null id comes first."""
+    least = F.lit(-(1 << 63)).cast("long")
+    digits = lambda c: F.lpad(F.hex(c.cast("long").bitwiseXOR(least)), 16, "0")
+    whole = df.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    own = digits(F.col("doc_id")) if whole else F.concat(F.hex(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(" "))
+    return df.withColumn("key", F.concat(F.coalesce(own, F.lit(" ")), digits(F.xxhash64("t"))))
+
+
+def borders(sizes: DataFrame) -> list[str]:
+    """Where parts of the stream begin, as beginnings of keys; the first is empty. ``sizes``: key, size."""
+    total, lo, hi = sizes.agg(F.sum("size"), F.min("key"), F.max("key")).first()
+    if not total:
+        return [""]
+    target = max(PART_BYTES, total // PARTS)
+    digits = len(os.path.commonprefix([lo, hi]))
+    leaves, heavy = [], None
+    while heavy is None or heavy:
+        rows = sizes if heavy is None else sizes.where(F.substring("key", 1, digits).isin(heavy))
+        digits += 2
+        found = rows.groupBy(F.substring("key", 1, digits).alias("p")).agg(F.sum("size").alias("n"), F.min(F.length("key")).alias("length")).collect()  # 256 for each heavy one
+        heavy = [r.p for r in found if r.n > target and r.length > digits]
+        leaves += [(r.p, r.n) for r in found if not (r.n > target and r.length > digits)]
+    out, size = [""], 0
+    for p, n in sorted(leaves):
+        if size and size + n > target:
+            out.append(p)
+            size = 0
+        size += n
+    return out
+
+
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sentence_cost: int = 2, word_cost: int = 12, window_cost: int = 160, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids (array<int>, unless ``with_ids`` is false), crc (CRC-32 of the ids as little-endian uint32), doc_tokens, sequence_id, offset."""
     src = named(docs, doc_id=doc_id, t=text)
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -165,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = load(tokenizer)
-        sequence = TaskContext.get().partitionId() << 40
+        sequence = part = 0
         held: list[list] = []  # documents not yet cut to their end: id, ids, sentence ends, tokens emitted
         waiting = 0
 
@@ -178,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sen
                 marks += [(x, sentence_cost) for x in (ends[(ends > gone) & (ends < len(ids))] + (at - gone)).tolist()]
                 at += len(ids) - gone
                 marks.append((at, 0))
-            cuts = best_cuts(at, marks, size, word_cost)
+            cuts = best_cuts(at, marks, size, word_cost, window_cost)
             stop = cuts[-1] if last else cuts[-2]
             rows: list[tuple] = []
             k = 0
@@ -206,14 +244,25 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sen
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             for lo, hi, data, offsets in text_slices(batch, "t"):
-                keys = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
-                for key, (ids, ends) in zip(keys, tokenise(loaded, data, offsets), strict=True):
+                keys, parts = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("doc_id", "part"))
+                for key, of, (ids, ends) in zip(keys, parts, tokenise(loaded, data, offsets), strict=True):
+                    if of != part:
+                        yield from flush(last=True)
+                        part, sequence, waiting = of, of << 32, 0
                     held.append([key, np.concatenate([ids, end]), ends, 0])
                     waiting += len(ids) + 1
                     if waiting >= BLOCK:
                         yield from flush(last=False)
         yield from flush(last=True)
 
-    order = src.withColumns({"_h": F.xxhash64("t"), "_row": F.monotonically_increasing_id()})
-    dealt = order.repartitionByRange("doc_id", "_h", "_row").sortWithinPartitions("doc_id", "_h", "_row").select("doc_id", "t")
-    return dealt.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in fields.items()))
+    keyed = order_key(src)
+    sizes = stored(keyed.select("key", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("size")), "text-sizes")
+    starts = borders(sizes)
+    freed(sizes)
+
+    @F.pandas_udf("long")
+    def part_of(key: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(starts, x) - 1 for x in key], dtype="int64")
+
+    dealt = keyed.withColumn("part", part_of("key")).repartitionByRange(len(starts), "part").sortWithinPartitions("part", "key")
+    return dealt.select("part", "doc_id", "t").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in fields.items()))
