@@ -1,10 +1,12 @@
 """What the toxic dictionary learns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "se", "t
 
 
 def flagged(model, rows):
-    pair = model.compressors()
-    return toxicity.curve(np.array([toxicity.evidence(t, *pair) for t in rows]), model.weights) >= 0.5
+    pairs = model.compressors()
+    return toxicity.curve(np.array([toxicity.evidence(t, pairs) for t in rows]), model.weights) >= 0.5
 
 
 def made(rng, planted, n=60):
@@ -30,15 +32,6 @@ def made(rng, planted, n=60):
     return out
 
 
-def test_passages_tell_where_no_word_does():
-    rng = random.Random(1)
-    phrase = ["karan", "losel", "mitir"]
-    toxic, ordinary = (made(rng, lambda k=k: " ".join(phrase if k else rng.sample(phrase[:2] + WORDS[:9], 3)), 120) for k in (1, 0))
-    model = toxicity.fit(toxic[:90], ordinary[:90], 0.5)
-    assert any(b"karan losel" in g for g in toxicity.contrast(*([toxicity.gist(t) for t in x] for x in (toxic, ordinary))))
-    assert flagged(model, toxic[90:]).mean() > 0.7 and flagged(model, ordinary[90:]).mean() < 0.1
-
-
 def test_common_stem_of_rare_words_tells():
     rng = random.Random(2)
     toxic = made(rng, lambda: "grumbel" + rng.choice(WORDS) + rng.choice(WORDS), 120)
@@ -47,39 +40,62 @@ def test_common_stem_of_rare_words_tells():
     assert flagged(model, toxic[90:]).mean() > 0.9 and flagged(model, ordinary[90:]).mean() < 0.1
 
 
-def test_few_texts_fill_the_head():
-    docs = pd.read_parquet(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{DATA}/labels.parquet"), on="doc_id").dropna(subset=["text", "toxic"])
-    for most in (5, 30, None):
-        toxic, ordinary = (docs.text[docs.toxic == k].tolist()[:most] for k in (1, 0))
-        telling = toxicity.contrast(*([toxicity.gist(t) for t in x] for x in (toxic, ordinary)))
-        model = toxicity.fit(toxic, ordinary)
-        assert telling and b"".join(telling).strip() and model.toxic != model.ordinary
-        assert most == 5 or any(w.strip() in (b"trash", b"idiot", b"scum", b"moron", b"clown") for w in telling)
-
-
-def test_ends_come_from_the_trainer():
-    docs = pd.read_parquet(f"{DATA.replace('0.01', '0.1')}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{DATA.replace('0.01', '0.1')}/labels.parquet"), on="doc_id").dropna(subset=["text", "toxic"])
-    toxic, ordinary = ([toxicity.gist(t) for t in docs.text[docs.toxic == k].tolist()[:300]] for k in (1, 0))
-    telling = toxicity.contrast(toxic, ordinary)
-    size = max(3 * sum(map(len, telling)) // 2, toxicity.LEAST_HEAD)
-    seen = [t for p in toxicity.parts_of(toxic) for t in telling for _ in range(p.count(t))]
-    plain = sorted(toxicity.parts_of(ordinary), key=lambda p: (zlib.crc32(p), p))[: toxicity.PLAIN]
-    made = toxicity.dictionaries(toxic, ordinary)
-    for samples, got in zip((seen, plain), made, strict=True):
-        assert got[toxicity.BASE :].startswith(zstandard.train_dictionary(size + toxicity.TABLES, samples).as_bytes()[-size:])
-    assert len(made[0]) == len(made[1]) and made[0][: toxicity.BASE] == made[1][: toxicity.BASE] and all(t in made[0][toxicity.BASE :] for t in telling)
-    assert toxicity.trained([], 200) is None and toxicity.trained([b"abc"], 200) is None
-
-
-def test_passages_come_from_whole_texts():
-    rng = random.Random(3)
-    lead = " ".join(rng.choices(WORDS, k=3000))
-    toxic = [f"{lead} {t}" for t in made(rng, lambda: "karan losel mitir", 90)]
-    ordinary = [f"{lead} {t}" for t in made(rng, lambda: " ".join(rng.sample(WORDS, 3)), 90)]
-    parts = toxicity.gist(toxic[0]).split(bytes(toxicity.AROUND))
-    assert len(parts) == toxicity.PASSAGES and all(p.decode().strip() in toxic[0] for p in parts)
-    model = toxicity.fit(toxic, ordinary, 0.5)
-    assert flagged(model, toxic[:9]).mean() > 0.7 and flagged(model, ordinary[:9]).mean() < 0.3
+def labelled(sf):
+    root = DATA.replace("0.01", sf)
+    docs = pd.read_parquet(f"{root}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{root}/labels.parquet"), on="doc_id").dropna(subset=["text", "toxic"])
+    docs["held"] = [zlib.crc32(str(k).encode()) % 5 == 0 for k in docs.doc_id]
+    docs["o"] = [zlib.crc32(f"{k}/".encode()) for k in docs.doc_id]
+    return docs.sort_values("o")
+
+
+@pytest.mark.parametrize("most", [1, 3, 30, 500])
+def test_every_sample_is_a_whole_window(monkeypatch, most):
+    docs = labelled("0.1")
+    toxic, ordinary = (docs.text[(docs.toxic == k) & ~docs.held].tolist()[:most] for k in (1, 0))
+    seen = []
+    plain = zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **how: seen.extend(samples) or plain(size, samples, **how))
+    pairs = toxicity.dictionaries(toxic, ordinary)
+    own, other = ({w for t in x for w in toxicity.windows(t)} for x in (toxic, ordinary))
+    assert len(pairs) == toxicity.PAIRS and set(seen) <= own | other
+    long = {w for t in toxic + ordinary if len(toxicity.WORD.findall(t)) >= toxicity.WINDOW for w in list(toxicity.windows(t))[:-1]}
+    assert all(len(w.split()) == toxicity.WINDOW for w in seen if w in long)
+    assert all(len(a) == len(b) and a != b for a, b in pairs)
+
+
+def test_whole_texts_are_learned_from():
+    docs = labelled("0.1")
+    toxic, ordinary = (docs.text[(docs.toxic == k) & ~docs.held].tolist()[:20] for k in (1, 0))
+    kept = [w for x in toxicity.once(ordinary) for w in x]
+    runs = lambda w: {b" ".join(w.split()[i : i + 3]) for i in range(max(len(w.split()) - 2, 1))}
+    have = {r for w in kept for r in runs(w)}
+    assert all(runs(w) & have for t in ordinary for w in toxicity.windows(t))  # what is left out shares words with what is kept
+    assert toxicity.once(toxic + toxic)[len(toxic) :] == [[] for _ in toxic]
+
+
+def test_evidence_by_a_plain_scorer():
+    docs = labelled("0.01")
+    model = toxicity.fit(*[docs.text[(docs.toxic == k) & ~docs.held].tolist() for k in (1, 0)])
+    fresh = lambda d, w: len(zstandard.ZstdCompressor(level=4, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress(w))
+    for text in [*docs.text[docs.held].tolist()[:12], "", "one", "a b c d e f"]:
+        words = re.findall(r"\w+", text.lower())
+        ws = {" " + " ".join(words[k : k + 5]) + " " for k in range(0, max(len(words) - 1, 1), 4)}
+        got = []
+        for w in (x.encode() for x in ws):
+            gains = [fresh(b, w) - fresh(a, w) for a, b in model.pairs]
+            means = [sum(gains[: k + 1]) / (k + 1) for k in range(len(gains))]
+            got.append(means[-1] if min(means) >= toxicity.ONWARD else 0.0)
+        want = (max(got), np.log1p(sum(x for x in got if x >= toxicity.MARGIN)), np.log1p(len(got)))
+        assert np.allclose(toxicity.evidence(text, model.compressors()), want)
+
+
+def test_held_out_rows_of_a_larger_table():
+    docs = labelled("0.1")
+    train, held = docs[~docs.held], docs[docs.held]
+    toxic, ordinary = (train.text[train.toxic == k].tolist()[: toxicity.SAMPLE] for k in (1, 0))
+    model = toxicity.fit(toxic, ordinary, (train.toxic == 1).mean())
+    caught, wrong = (flagged(model, held.text[held.toxic == k].tolist()[:n]) for k, n in ((1, None), (0, 300)))
+    assert caught.mean() >= 0.5 and wrong.mean() <= 0.02
 
 
 def test_held_out_rows_and_edge_cases(spark):

@@ -1,20 +1,20 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window by window.
-
-Both dictionaries begin with the same base of ordinary text and differ in their ends, which
-the compressor prefers: what zstandard's trainer makes of toxic text at one, of ordinary
-text at the other.  As the trainer takes what is frequent, not what is telling, it is given of
-toxic texts the places where telling passages stand: passages (words, stems, phrases) ranked by how
-many more toxic texts than ordinary ones hold them, and kept if chance does not explain it.  They
-themselves follow, for what the trainer leaves out.
-A window that the toxic dictionary shortens more than the ordinary one is evidence; a
-document's evidence is calibrated to a score by a logistic curve, fitted on labelled
-documents that the dictionaries have not seen.
-
-The fit reads a bounded sample of labelled rows (``SAMPLE`` of each label, by hash of the
-id).  Of a sampled text the dictionaries see passages of the whole of it, ``PASSAGES`` at most, chosen
-by hash; calibration reads the evidence of whole texts, as scoring does, on the executors.  So the
-model is of the same size at every input size, and nothing hangs on where in a text a passage stands.
-Scoring covers whole texts of all rows; only the text is read.
+"""Toxicity by compression distance: pairs of zstandard dictionaries, window by window.
+
+A pair is a dictionary trained on windows of toxic text and one trained, in the same way, on windows of ordinary text, both
+over the same base of ordinary text.  A window that the toxic one shortens more is evidence.
+
+Toxic texts are ordinary for the most part, so that dictionaries trained on all their windows differ by chance more
+than by what is toxic.  Training therefore has two rounds.  In the first, several pairs
+are trained on halves of the sampled texts, all windows of them, and each window of texts they have not seen is compared by
+the mean of what they save; chance differs from pair to pair and cancels out.  Windows of toxic texts that save more than
+``QUANTILE`` of the windows of ordinary texts are those that the second round trains the toxic dictionaries on, again on parts
+of the texts; ordinary windows that save as much go to the ordinary ones.  Passages that several texts repeat count once.
+Samples are always whole windows.  ``PAIRS`` pairs are kept; windows go on from pair to pair while they save ``ONWARD`` bytes on average.
+
+A document's evidence is calibrated to a score by a logistic curve, fitted on labelled documents that the
+dictionaries have not seen.  The fit reads a bounded sample of labelled rows (``SAMPLE`` of each label by hash of the
+id, and of these so many as come to ``SAMPLE_BYTES``), whole texts; calibration and scoring read whole texts of all rows on the
+executors, and only the text.
 
 Cases: null and empty texts give the score of no evidence; equal texts equal scores; an
 empty table gives no rows; with no toxic or no ordinary labelled row every score is 0;
@@ -26,8 +26,8 @@ their length; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import random
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,39 +38,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import named, stored
-from .textkit import mix, texts, window_hashes
-
-#: Labelled rows of each label that are fitted on; passages of each that the dictionaries see, and words of a passage.
-SAMPLE, PASSAGES, WORDS = 3000, 24, 24
-#: Words of a window and from one to the next; from how many bytes saved a window counts; sizes of the dictionaries' parts.
-WINDOW, STRIDE, MARGIN = 5, 4, 3
-HEAD, BASE = 4096, 12288
-#: Bytes that a trained dictionary has before its content, least size of a trained end, passages of ordinary text that are trained on.
-TABLES, LEAST_HEAD, PLAIN = 1024, 192, 20_000
-#: Bytes of the passages compared, and of their surroundings; chance that one of a sample's passages is kept wrongly; passages kept where none passes.
-WIDTHS, AROUND, CHANCE, FEW = (5, 7, 10, 16, 24), 8, 0.01, 16
+from .textkit import texts
+
+#: Labelled rows of each label that are fitted on, and bytes of them (the row that passes them is the last).
+SAMPLE, SAMPLE_BYTES = 1500, 16 << 20
+#: Words of a window and from one to the next; mean of bytes saved with which a window goes on, and counts.
+WINDOW, STRIDE, ONWARD, MARGIN = 5, 4, 1.5, 2.0
+#: Parts of the sample of which each is judged by the others, pairs that judge, bytes of their dictionaries; the share of ordinary windows that a toxic one must save more than; windows taken at least.
+FOLDS, JUDGES, FIRST, QUANTILE, FEW = 4, 6, 8192, 0.998, 64
+#: Pairs of the model, bytes of what is trained and of the base, and the trainer's segment and match lengths.
+PAIRS, TRAINED, BASE, SEGMENT, MATCH = 8, 1024, 12288, 16, 6
+#: Bytes that a trained dictionary has before its content.
+TABLES = 1024
 WORD = re.compile(r"\w+")
 
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    """(toxic, ordinary) raw contents of each pair, and the curve's weights."""
+
+    pairs: tuple[tuple[bytes, bytes], ...]
     weights: tuple[float, ...]
 
     def compressors(self):
-        make = lambda d: zstandard.ZstdCompressor(level=4, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
-        return make(self.toxic), make(self.ordinary)
+        return [(compressor(a), compressor(b)) for a, b in self.pairs]
 
 
-def gist(text: str) -> bytes:
-    """Passages of a whole text, lower-cased words only, with zero bytes between; of many, those of the least hashes."""
-    words = WORD.findall(text.lower())
-    parts = [f" {' '.join(words[k : k + WORDS])} ".encode().replace(b"\0", b" ") for k in range(0, len(words), WORDS)]
-    if len(parts) > PASSAGES:
-        least = sorted(range(len(parts)), key=lambda k: (zlib.crc32(parts[k], k), k))[:PASSAGES]
-        parts = [parts[k] for k in sorted(least)]
-    return bytes(AROUND).join(parts)
+def compressor(content: bytes):
+    return zstandard.ZstdCompressor(level=4, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
 def windows(text: str) -> Iterator[bytes]:
@@ -80,16 +75,23 @@ def windows(text: str) -> Iterator[bytes]:
         yield f" {' '.join(words[k : k + WINDOW])} ".encode()
 
 
-def evidence(text: str, toxic, ordinary) -> tuple[float, float, float]:
-    """(bytes saved by the toxic dictionary in the best window, log of the sum over windows that save ``MARGIN`` or more, of windows); equal windows count once."""
-    best, total, n = 0, 0, 0
-    for w in dict.fromkeys(windows(text)):
-        d = len(ordinary.compress(w)) - len(toxic.compress(w))
-        n += 1
-        best = max(best, d)
-        if d >= MARGIN:
-            total += d
-    return float(best), math.log1p(total), math.log1p(n)
+def savings(ws: list[bytes], pairs) -> list[float]:
+    """Mean bytes that the toxic dictionaries save in each window; 0 for those that fall behind ``ONWARD`` on the way."""
+    live, total = list(range(len(ws))), [0.0] * len(ws)
+    for k, (toxic, ordinary) in enumerate(pairs, 1):
+        for i in live:
+            total[i] += len(ordinary.compress(ws[i])) - len(toxic.compress(ws[i]))
+        live = [i for i in live if total[i] >= k * ONWARD]
+    out = [0.0] * len(ws)
+    for i in live:
+        out[i] = total[i] / len(pairs)
+    return out
+
+
+def evidence(text: str, pairs) -> tuple[float, float, float]:
+    """(mean bytes saved in the best window, log of the sum over windows that save ``MARGIN`` or more, of windows); equal windows count once."""
+    got = savings(list(dict.fromkeys(windows(text))), pairs)
+    return max(got), math.log1p(sum(x for x in got if x >= MARGIN)), math.log1p(len(got))
 
 
 def curve(x: np.ndarray, weights) -> np.ndarray:
@@ -98,96 +100,83 @@ def curve(x: np.ndarray, weights) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def supports(rows: list[bytes], width: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(hash of each passage of ``width`` bytes, in how many rows it stands, and where in the joined rows; these; the passages).
-
-    Between the same ``AROUND`` bytes on both sides a passage counts for the first row only, so that copies count once.
-    With ``only``, passages of these hashes; else those that occur once may be missing.
-    """
-    gap = bytes(AROUND)
-    data = np.frombuffer(gap + b"".join(r + gap for r in rows), np.uint8)
-    zeros = np.concatenate([[0], np.cumsum(data == 0, dtype=np.int32)])
-    at = np.flatnonzero(zeros[width:] == zeros[:-width]).astype(np.int32)
-    del zeros
-    key = window_hashes(data, width)[at]
-    slot = (key >> np.uint64(42)).astype(np.int32)
-    if only is None:
-        sel = np.flatnonzero(np.bincount(slot, minlength=1 << 22)[slot] > 1)
-    else:
-        marked = np.zeros(1 << 22, bool)
-        marked[(only >> np.uint64(42)).astype(np.int64)] = True
-        sel = np.flatnonzero(marked[slot])
-        sel = sel[np.isin(key[sel], only)]
-    looked = len(at)
-    at, key = at[sel], key[sel]
-    del slot, sel
-    wide = window_hashes(data, width + 2 * AROUND)[at - AROUND]
-    first = np.sort(np.unique(wide, return_index=True)[1])
-    at, key = at[first], key[first]
-    row = np.searchsorted(np.cumsum([AROUND] + [len(r) + AROUND for r in rows]), at, "right").astype(np.uint64)
-    first = np.unique(mix(key + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-    found, place, n = np.unique(key[first], return_index=True, return_counts=True)
-    return found, n, at[first][place], data, looked
-
-
-def contrast(own: list[bytes], other: list[bytes]) -> list[bytes]:
-    """Passages of ``own`` by their excess of rows over ``other``, those that save most first; none lies mostly in one before it.
-
-    Kept are passages that chance explains with less than ``CHANCE`` over all passages looked at (Poisson's bound,
-    so that the cut follows the sample), or, where there are none, the best ``FEW``.
-    """
-    found, looked = [], 0
-    for width in WIDTHS:
-        key, n, place, data, more = supports(own, width)
-        looked += more
-        key, n, place = (x[n > 1] for x in (key, n, place))
-        seen, m, *_ = supports(other, width, key)
-        rest = np.zeros(len(key))
-        rest[np.searchsorted(key, seen)] = m
-        chance = len(own) * (rest + 0.5) / len(other)
-        score = np.where(n > chance, n * np.log(n / chance) - n + chance, 0.0)
-        for i in np.argsort(-score, kind="stable")[: HEAD]:
-            if score[i] > 0:
-                found.append((float(score[i]), data[place[i] : place[i] + width].tobytes()))
-    least = math.log(max(looked, 1) / CHANCE)
-    found.sort(key=lambda x: (-x[0] * (len(x[1]) - 3), x[1]))  # a match costs about 3 bytes
-    sure = [g for score, g in found if score >= least]
-    kept: list[bytes] = []
-    for g in sure or [g for _, g in found]:
-        half = len(g) // 2 + 1
-        if any(g[i : i + half] in k for k in kept for i in range(len(g) - half + 1)):
-            continue
-        if sum(map(len, kept)) + len(g) > HEAD or not sure and len(kept) == FEW:
-            break
-        kept.append(g)
-    return kept
-
-
-def trained(samples: list[bytes], size: int) -> bytes | None:
-    """The last ``size`` bytes of the dictionary that zstandard trains on samples, where its best content stands; None if they are too few for it."""
+def once(texts: list[str]) -> list[list[bytes]]:
+    """Windows of each text, but for those with three words in a row of an earlier text, so that what is copied counts once."""
+    seen: set[bytes] = set()
+    out = []
+    for text in texts:
+        own, kept = set(), []
+        for w in windows(text):
+            words = w.split()
+            runs = [b" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))]
+            if seen.isdisjoint(runs):
+                own.update(runs)
+                kept.append(w)
+        seen |= own
+        out.append(kept)
+    return out
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The last ``size`` bytes of the dictionary that zstandard trains on samples, where its best content stands; the samples themselves if they are too few for it."""
     try:
-        return zstandard.train_dictionary(size + TABLES, samples).as_bytes()[-size:] if samples else None
+        return zstandard.train_dictionary(size + TABLES, samples, k=SEGMENT, d=MATCH).as_bytes()[-size:]
     except zstandard.ZstdError:
-        return None
+        return b"".join(samples)[-size:]
 
 
-def parts_of(gists: list[bytes]) -> list[bytes]:
-    return [p for g in gists for p in g.split(bytes(AROUND)) if p]
+def drawn(rng: random.Random, texts: list[list[bytes]], n: int) -> list[bytes]:
+    """Windows of texts in any order, whole texts, until there are ``n``."""
+    out: list[bytes] = []
+    for k in rng.sample(range(len(texts)), len(texts)):
+        out += texts[k]
+        if len(out) >= n:
+            break
+    return out
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Raw contents of both, from gists: a common base, then what is trained on either, then telling passages, or as many bytes of ordinary text."""
-    telling = contrast(toxic, ordinary)
-    size = max(3 * sum(map(len, telling)) // 2, LEAST_HEAD)
-    parts = sorted(parts_of(ordinary), key=lambda p: (zlib.crc32(p), p))  # any, but always the same
-    seen = [t for p in parts_of(toxic) for t in telling for _ in range(p.count(t))]
-    own, other = trained(seen, size) or b"", trained(parts[:PLAIN], size) or b""
-    own += b"".join(telling[::-1])  # the trainer leaves some out, most of them where samples are few
-    other += b"".join(parts[::-1])[: max(len(own) - len(other), 0)]
-    base, size = b"".join(parts)[:BASE], max(len(own), len(other))
+def joint(base: bytes, own: bytes, other: bytes) -> tuple[bytes, bytes]:
+    size = max(len(own), len(other))
     return base + own.rjust(size, b" "), base + other.rjust(size, b" ")  # of equal hashes the compressor keeps the last
 
 
+def judged(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[list[float]], list[list[float]]]:
+    """Mean savings of each window of each text, by pairs trained on halves of texts of the other folds."""
+    out = [[[] for _ in toxic], [[] for _ in ordinary]]
+    folds = min(FOLDS, len(toxic), len(ordinary))
+    for f in range(folds):
+        apart = lambda x: [w for i, w in enumerate(x) if i % folds != f or folds < 2]
+        pairs = []
+        for b in range(JUDGES):
+            rng = random.Random(f * JUDGES + b)
+            own = [w for x in rng.sample(apart(toxic), -(-len(apart(toxic)) // 2)) for w in x]
+            pairs.append([compressor(x) for x in joint(b"", trained(own, FIRST), trained(drawn(rng, apart(ordinary), len(own)), FIRST))])
+        for side, texts in zip(out, (toxic, ordinary), strict=True):
+            for i in range(f, len(texts), folds):
+                side[i] = [sum(len(b.compress(w)) - len(a.compress(w)) for a, b in pairs) / JUDGES for w in texts[i]]
+    return out[0], out[1]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[tuple[bytes, bytes], ...]:
+    """The pairs, from texts in a given order; every sample that is trained on is a window."""
+    own, other = once(toxic), once(ordinary)
+    saved, fooled = judged(own, other)
+    least = float(np.quantile([x for s in fooled for x in s] or [0.0], QUANTILE))
+    every = sorted((x for s in saved for x in s), reverse=True)
+    bar = min(least, every[min(FEW, len(every)) - 1]) if every else least  # of few texts the best windows there are
+    telling = [[w for w, x in zip(ws, s, strict=True) if x > least or bar < least and x >= bar] for ws, s in zip(own, saved, strict=True)]
+    telling = [ws for ws in telling if ws]
+    hard = [w for ws, s in zip(other, fooled, strict=True) for w, x in zip(ws, s, strict=True) if x > least]
+    plain = [[w for w, x in zip(ws, s, strict=True) if x <= least] for ws, s in zip(other, fooled, strict=True)]
+    out = []
+    for b in range(PAIRS):
+        rng = random.Random(1000 + b)
+        some = [w for ws in rng.sample(telling, -(-3 * len(telling) // 4)) for w in ws]
+        base = b"".join(drawn(rng, plain, BASE // 16))[:BASE]
+        out.append(joint(base, trained(some, TRAINED), trained(hard + drawn(rng, plain, 12 * len(some)), TRAINED)))
+    return tuple(out)
+
+
 def calibrated(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, ...]:
     """Weights of the curve; the sample is of equal shares, ``rate`` is the share of toxic rows among all."""
     weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
@@ -211,10 +200,10 @@ def fit(toxic: list[str], ordinary: list[str], rate: float = 0.1) -> Model | Non
     if not toxic or not ordinary:
         return None
     (own, own_rest), (other, other_rest) = thirds(toxic), thirds(ordinary)
-    model = Model(*dictionaries([gist(t) for t in own], [gist(t) for t in other]), (0.0,) * 4)
-    pair = model.compressors()
-    x = np.array([evidence(t, *pair) for t in own_rest + other_rest])
-    return Model(model.toxic, model.ordinary, calibrated(x, np.array([1.0] * len(own_rest) + [0.0] * len(other_rest)), rate))
+    model = Model(dictionaries(own, other), (0.0,) * 4)
+    pairs = model.compressors()
+    x = np.array([evidence(t, pairs) for t in own_rest + other_rest])
+    return Model(model.pairs, calibrated(x, np.array([1.0] * len(own_rest) + [0.0] * len(other_rest)), rate))
 
 
 def held_out(doc_id):
@@ -229,32 +218,28 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return None
     order = marks.withColumn("o", F.xxhash64("id"))
     some = [order.where(F.col("y") == k).orderBy("o", "id").limit(SAMPLE) for k in (0, 1)]
-    some = some[0].unionByName(some[1]).withColumn("of", F.row_number().over(Window.partitionBy("y").orderBy("o", "id")) % 3).select(F.col("id").alias("k"), "y", "of")
+    some = some[0].unionByName(some[1]).select(F.col("id").alias("k"), "y", "o")
     found = named(docs, id=doc_id, t=text).where("t is not null").join(F.broadcast(some), F.expr("id = k"))  # at most 2 * SAMPLE ids
-    found = found.groupBy("id", "y", "of").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).select("id", "y", "of", "x.t")
-    found = stored(found, "labelled")
-
-    def gists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "y", "of")), pa.array([gist(t) for t in texts(batch, "t")], pa.binary())], ["id", "y", "of", "g"])
-
+    found = found.groupBy("id", "y", "o").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).select("id", "y", "o", "x.t")
+    ranked = Window.partitionBy("y").orderBy("o", "id")
+    sized = found.withColumns({"before": F.sum(F.octet_length("t")).over(ranked) - F.octet_length("t"), "of": F.row_number().over(ranked) % 3})  # at most SAMPLE rows of each
+    found = stored(sized.where(F.col("before") < SAMPLE_BYTES).select("id", "y", "of", "o", "t"), "labelled")
     kinds = f"id {found.schema['id'].dataType.simpleString()}, y {found.schema['y'].dataType.simpleString()}"
-    seen = found.select("id", "y", "of", "t").mapInArrow(gists, f"{kinds}, of int, g binary").orderBy(F.xxhash64("id"), "id").collect()  # at most 2 * SAMPLE rows of PASSAGES short passages
+    seen = found.orderBy("o", "id").collect()  # at most SAMPLE_BYTES of each label, and one text
     both = [[r for r in seen if (r.y == 1) == toxic] for toxic in (True, False)]
     if not all(both):
         return None
-    seen = [[bytes(r.g) for r in x if r.of != 1] or [bytes(r.g) for r in x] for x in both]
-    model = Model(*dictionaries(*seen), (0.0,) * 4)
+    model = Model(dictionaries(*[[r.t for r in x if r.of != 1] or [r.t for r in x] for x in both]), (0.0,) * 4)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = model.compressors()
+        pairs = model.compressors()
         for batch in batches:
-            got = [evidence(t, *pair) for t in texts(batch, "t")]
+            got = [evidence(t, pairs) for t in texts(batch, "t")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(x) for x in got], pa.list_(pa.float64()))], ["id", "y", "x"])
 
     apart = all(any(r.of == 1 for r in x) for x in both)
     rows = (found.where("of = 1") if apart else found).mapInArrow(measured, f"{kinds}, x array<double>").orderBy("id").collect()  # three numbers a row
-    return Model(model.toxic, model.ordinary, calibrated(np.array([r.x for r in rows]), np.array([float(r.y == 1) for r in rows]), rate))
+    return Model(model.pairs, calibrated(np.array([r.x for r in rows]), np.array([float(r.y == 1) for r in rows]), rate))
 
 
 def with_score(docs: DataFrame, model: Model | None, text: str = "text", column: str = "score") -> DataFrame:
@@ -262,11 +247,11 @@ def with_score(docs: DataFrame, model: Model | None, text: str = "text", column:
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = model.compressors() if model else None
+        pairs = model.compressors() if model else None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rest = batch.column("rest").slice(lo, 256)
-                got = curve(np.array([evidence(t, *pair) for t in rest.field(place).fill_null("").to_pylist()]), model.weights) if model else np.zeros(len(rest))
+                got = curve(np.array([evidence(t, pairs) for t in rest.field(place).fill_null("").to_pylist()]), model.weights) if model else np.zeros(len(rest))
                 yield pa.RecordBatch.from_arrays([rest, pa.array(got, pa.float64())], ["rest", "s"])
 
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("rest"))
