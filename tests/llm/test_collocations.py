@@ -1,16 +1,13 @@
-"""Collocations against counting in plain Python, and against their SQL."""
+"""Collocations against counting in plain Python; their SQL is in test_archive."""
 
 import random
 import re
 from collections import Counter
 from fractions import Fraction
 
-import duckdb
 import numpy as np
 
-from tests.conftest import DATA
 from tidepool.llm import collocations
-from tidepool.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "text string, lang string"
 
@@ -90,12 +87,3 @@ def test_very_long_text_and_extra_columns(spark):
 def test_no_rows(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
     assert run(spark, [(None, None), ("", "en")]) == []
-
-
-def test_the_tables_by_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
-    got = QUERIES["op11_collocations"](spark, DATA)
-    want = con.execute(ORACLE_SQL["op11_collocations"])
-    names = [d[0] for d in want.description]
-    assert names == got.columns and sorted(want.fetchall()) == sorted(tuple(r) for r in got.collect())

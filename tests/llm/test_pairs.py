@@ -160,3 +160,11 @@ def test_documents_of_repeated_and_null_ids(spark):
     rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (None, a), (None, None), (5, None)]
     got = sorted(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as t", "2 as n"), 3, 90).collect()), key=repr)
     assert [(r[0], r[2]) for r in got] == sorted([(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (None, None), (None, None), (5, 5)], key=lambda r: repr((r[0], 38)))
+
+
+def test_a_place_that_most_rows_share(spark):
+    """Most texts are a common passage with a word of their own, so that they meet at nearly all places."""
+    common = " ".join(f"w{k}" for k in range(120))
+    rows = [(k, f"{common} own{k}a own{k}b" if k % 3 else f"{common} far {' '.join(f'x{k}y{j}' for j in range(40))}") for k in range(90)] + [(200, "apart " * 9), (201, None)]
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS), 3, 90).collect())
+    assert got == by_hand(rows, 3, 90)

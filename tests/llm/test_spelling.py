@@ -1,4 +1,4 @@
-"""Spelling variants against comparing all pairs of words, and against their SQL."""
+"""Spelling variants against comparing all pairs of words; their SQL is in test_archive."""
 
 import random
 import re
@@ -6,12 +6,9 @@ import zlib
 from collections import Counter
 from itertools import product
 
-import duckdb
 import numpy as np
 
-from tests.conftest import DATA
 from tidepool.llm import spelling
-from tidepool.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string"
 
@@ -113,12 +110,3 @@ def test_repeated_rows_and_extra_columns(spark):
     rows = [(1, "letter letter lettre")] * 5
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as n", "'x' as word")
     assert sorted((r.word, r.n) for r in spelling.variants(docs).collect()) == [("letter", 10), ("lettre", 5)]
-
-
-def test_the_tables_by_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
-    got = QUERIES["op12_spelling"](spark, DATA)
-    want = con.execute(ORACLE_SQL["op12_spelling"])
-    names = [d[0] for d in want.description]
-    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.select(*names).collect())

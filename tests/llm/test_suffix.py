@@ -73,3 +73,14 @@ def test_whole_characters_and_carried_columns(spark):
     df = spark.createDataFrame([(1, "a" + head, "x"), (2, "bb" + head, "y")], "doc_id long, text string, t string")
     got = {r.doc_id: r for r in suffix_dedup.dedup(df, 99, chars=True, carry=("t",)).collect()}
     assert got[2].kept.decode() == "bb" and got[2].rest.t == "y" and got[1].kept.decode() == "a" + head
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(map(chr, rng.integers(97, 123, 300_000).tolist()))
+    rows = [(1, long), (2, long[1000:1200] + "!" + long[299_000:] + "?"), (3, "z" * 300_000), (4, long[:150] + "é" * 60)]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not got[1].spans and bytes(got[1].kept) == long.encode()
+    assert [tuple(x) for x in got[2].spans] == [(0, 200), (201, 1201)] and bytes(got[2].kept) == b"!?"
+    assert [tuple(x) for x in got[3].spans] == [(1, 300_000)] and bytes(got[3].kept) == b"z"
+    assert [tuple(x) for x in got[4].spans][0] == (0, 150) and got[4].n_bytes == 270

@@ -32,6 +32,14 @@ def test_pieces_are_the_library_s(spark):
     assert pieces.encode(docs.limit(0), model).count() == 0
 
 
+def test_pieces_of_null_and_repeated_rows(spark):
+    model = tokenizer_path("piece_bpe_32k.model")
+    sp, _ = pieces.load(model)
+    rows = [(None, "null id"), (None, "null id"), (None, None), (4, "one text"), (4, "another text"), (4, "one text"), (4, None)]
+    got = pieces.encode(spark.createDataFrame(rows, DOCS).repartition(3), model).collect()
+    assert sorted(((r.doc_id, list(r.ids), r.decoded) for r in got), key=repr) == sorted(((i, x, sp.decode(x)) for i, x in ((i, sp.encode(t or "", add_eos=True)) for i, t in rows)), key=repr)
+
+
 def test_packing(spark):
     path = tokenizer_path("byte_bpe_50k.json")
     tok, table = packing.load(path)

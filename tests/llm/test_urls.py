@@ -75,6 +75,18 @@ def test_rules_and_edge_cases(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_ties_and_very_long_pages(spark):
+    """Of equal trust and distrust a host is allowed; links of a very long page all count."""
+    rows = [page("good.org", "http://m.net"), page("m.net", "http://bad.org"), page("bad.org"), ("http://long.net/", "x" * 2_000_000 + '<a href="//bad.org/">' * 50_000 + '<a href="//m.net/">')]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], PAGES)
+    edges = {(r.src, r.dst): r.n for r in url_filter.host_edges(pages.withColumn("host", url_filter.host_of(pages.url))).collect()}
+    assert edges["long.net", "bad.org"] == 50_000 and edges["long.net", "m.net"] == 1
+    rules = [url_filter.Rule("block", "bad.org", "/"), url_filter.Rule("allow", "good.org", "/")]
+    got = {r.host: r for r in url_filter.judge_urls(pages.where("page_id < 3"), rules, damping=0.5).collect()}
+    assert got["m.net"].trust == got["m.net"].distrust > 0 and got["m.net"].verdict == "allow"
+    assert {r.host: r.verdict for r in url_filter.judge_urls(pages, rules, damping=0.5).collect()}["long.net"] == "block"
+
+
 def test_given_pages_link_to_no_other_host(spark):
     """All links of the given pages are relative, so that their verdicts follow from rules and seeds alone."""
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
