@@ -34,18 +34,18 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 0.8 or more join, that of the smallest id stays (of the smallest hash, if texts share it; a null id comes last).
 
-    Rows equal in id and text are one document.  Documents without words are linked with nothing and stay.
+    Rows equal in id and text, by 128 bits of hashes, are one document.  Documents without words are linked with nothing and stay.
     """
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), docs["doc_id"].alias("id"), docs["text"].alias("t"))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), F.xxhash64(docs["text"], docs["doc_id"], F.lit(1)).alias("key2"), docs["doc_id"].alias("id"), docs["text"].alias("t"))
     parts = stored(jaccard_join.jaccard_components(whole, doc_id="key", text="t").select(F.col("doc_id").alias("k"), "component_id"), "parts")
     ids = whole.groupBy("key").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("n"))
     rows = parts.distinct().join(ids, F.expr("k = key")).select("k", "component_id", "id", "n")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first"))
     keep = stored(rows.join(first.select(F.col("first.k").alias("k1")), F.expr("k = k1")).select("k", (F.col("n") > 1).alias("again")), "kept")
     freed(parts)
-    kept = small_or_joined(whole.select("row", "key"), keep, F.expr("key = k"))
+    kept = small_or_joined(whole.select("row", "key", "key2"), keep, F.expr("key = k"))
     if keep.where("again").limit(1).count():
-        again = kept.where("again").dropDuplicates(["key"])
+        again = kept.where("again").dropDuplicates(["key", "key2"])
         kept = kept.where("not again").unionByName(again)
     return kept.select("row.*")
 
