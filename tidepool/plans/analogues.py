@@ -573,7 +573,7 @@ WITH n AS (SELECT count(*) AS n FROM events), r AS (SELECT event_id, row_number(
 SELECT event_id, CAST(5 * least(i, floor(i * 20 / n)) AS INT) AS percent, printf('%d/%d | %d', i + 1, n, event_id % 11) AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM r JOIN events USING (event_id), n""")
 def progress_and_status(spark, sf_dir):
     rows = frames.numbered(t(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
-    n = F.lit(rows.count())
+    rows, n = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))), F.col("n")  # one row
     return rows.select("event_id", frames.progress(F.col("idx"), n).alias("percent"), paths.status(F.col("idx"), n, F.col("event_id") % 11).alias("status"), paths.iso_seconds(F.col("ts")).alias("at"))
 
 
