@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -26,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is set, a temporary one under a local master only."""
+    """The folder named by spark.checkpoint.dir; where none is set, one in the warehouse, under a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
@@ -34,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
             return held.rsplit("/", 1)[0]
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tidepool-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidepool"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

@@ -39,6 +39,8 @@ LEAST, ANCHOR = 100, 16
 MOST_RUNS = 4096
 #: Bytes of runs under one transform.
 BLOCK_BYTES = 1 << 17
+#: Bytes of text whose windows are hashed at a time, at about 100 bytes each.
+RUN_BYTES = 1 << 20
 #: Between runs in a block; no byte of UTF-8.
 GAP = b"\xff"
 
@@ -173,7 +175,7 @@ def repeats(src: DataFrame, least: int) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, copies = batch.column("doc").to_numpy(), batch.column("copy").to_numpy()
-            for lo, _, data, offsets in text_slices(batch, "t"):
+            for lo, _, data, offsets in text_slices(batch, "t", RUN_BYTES):
                 text, start, n, name, content = runs_of(data, offsets, least)
                 if not len(text):
                     continue
