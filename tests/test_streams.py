@@ -74,6 +74,17 @@ def test_step_is_the_batch_fold(spark):
     assert {r.user: [[p.x, p.y] for p in r.points] for r in got} == {u: s[0] for u, s in state.items()}
 
 
+def test_a_session_of_any_length(spark):
+    kind = F.element_at(F.array(*map(F.lit, ["down", "move", "up", "down", "other"])), (F.col("id") % 5 + 1).cast("int"))
+    rows = spark.range(0, 120_000, 1, 6).select(F.when(F.col("id") % 1000 == 7, "v").otherwise("u").alias("user"), "id", F.when(F.col("id").isin(40_000, 110_003), "reset").otherwise(kind).alias("kind"), (F.col("id") * 37 % 900).cast("double").alias("x"), (F.col("id") * 91 % 700).cast("double").alias("y"))
+    got = {r.user: [[p.x, p.y] for p in r.points] for r in sessions.fold_sorted(rows, "user", "kind", "x", "y", "id", most=50).collect()}
+    state = {}
+    for r in rows.orderBy("id").toLocalIterator():
+        state[r.user] = sessions.step(state.get(r.user, ([], -1)), (r.kind, r.x, r.y), 10.0, 50)
+    assert got == {u: s[0] for u, s in state.items()} and len(got["u"]) == 50
+    assert sessions.fold_sorted(rows.limit(0), "user", "kind", "x", "y", "id").count() == 0
+
+
 def keyed(batch):
     return batch.select(F.element_at(F.split("path", "/"), -1).alias("k"), F.decode("content", "UTF-8").alias("v"), "path", "modificationTime")
 

@@ -10,6 +10,7 @@ from ..functions import paths, shots
 from ..operators import frames, grid, raster
 from ..sources import photos
 from ..sources.store import stored
+from ..streaming import sessions
 from . import photos as batch
 
 QUERIES: dict = {}
@@ -470,7 +471,7 @@ def cumulative_points(spark, sf_dir):
     return h.select("conv_id", "turn", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: F.array_join(x.cast("array<string>"), ",")), " ").alias("points"))
 
 
-@query("""
+SESSION_FOLD = """
 WITH RECURSIVE e AS (
   SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value AS x, value * 3 AS y,
          CASE event_type WHEN 'click' THEN 'down' WHEN 'view' THEN 'move' WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'reset' ELSE 'other' END AS kind FROM events),
@@ -484,7 +485,10 @@ f AS (
   FROM (SELECT e.*, f.p, f.held, CAST(list_min(list_filter(range(1, len(f.p) + 1), lambda i: abs(f.p[i].x - e.x) < 10 AND abs(f.p[i].y - e.y) < 10)) AS INT) AS near
         FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)),
 l AS (SELECT user_id, arg_max(p, k) AS p FROM f GROUP BY user_id)
-SELECT user_id, CAST(len(p) AS INT) AS n, array_to_string(list_transform(p, lambda q: printf('%.3f/%.3f', q.x, q.y)), ' ') AS points FROM l""")
+SELECT user_id, CAST(len(p) AS INT) AS n, array_to_string(list_transform(p, lambda q: printf('%.3f/%.3f', q.x, q.y)), ' ') AS points FROM l"""
+
+
+@query(SESSION_FOLD)
 def session_fold(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "down").when(F.col("event_type") == "view", "move").when(F.col("event_type") == "purchase", "up").when(F.col("event_type") == "error", "reset").otherwise("other")
@@ -493,6 +497,16 @@ def session_fold(spark, sf_dir):
     return frames.fold_points(e, "user_id", "ts", "kind", "value", "y", most=4).select("user_id", F.size("points").alias("n"), text.alias("points"))
 
 
+@query(SESSION_FOLD)
+def session_fold_sorted(spark, sf_dir):
+    """The same by rows in order, for sessions of any length."""
+    kinds = {"click": "down", "view": "move", "purchase": "up", "error": "reset"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()], F.lit("other"))
+    e = t(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("kind"), "value", (F.col("value") * 3).alias("y"))
+    text = F.array_join(F.transform("points", lambda p: F.format_string("%.3f/%.3f", p["x"], p["y"])), " ")
+    return sessions.fold_sorted(e, "user_id", "kind", "value", "y", "ts", "event_id", most=4).select("user_id", F.size("points").alias("n"), text.alias("points"))
+
+
 @query(f"""
 WITH p AS ({SHIFTED.format(n=10)}), q AS (SELECT vec_id, i, CAST(trunc(x) AS INT) AS x, CAST(trunc(y) AS INT) AS y FROM p), d AS (SELECT *, (x - 300) ** 2 + (y - 300) ** 2 AS d FROM q),
 r AS (SELECT *, (SELECT max(CAST(trunc(k * 29.8) AS INT)) FROM (SELECT unnest(range(1, 10)) AS k) WHERE trunc(k * 29.8) ** 2 < d.d) AS edge FROM d),

@@ -1,4 +1,4 @@
-"""The fold of pointer events to point lists, as a stream that keeps its place over restarts."""
+"""The fold of pointer events to point lists: over sorted rows, and as a stream that keeps its place over restarts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -32,6 +33,39 @@ def step(state: tuple[list, int], event: tuple, reach: float, most: int | None)
     return points, held
 
 
+def fold_sorted(events: DataFrame, user: str, kind: str, x: str, y: str, *order: str, reach: float = 10.0, most: int | None = None) -> DataFrame:
+    """user, points: what ``fold_points`` gives, for sessions of any length: events of a user pass a task in order, which holds nothing but the points.
+
+    A fold is in order by its nature, so a user is one task's work, but never its memory. What comes before a user's last reset
+    is not sent.
+    """
+    resets = events.where(F.col(kind) == "reset").groupBy(user).agg(F.max(F.struct(*order)).alias("_reset")).withColumnRenamed(user, "_user")
+    own = events.join(resets, F.expr(f"`{user}` <=> _user"), "left").where(F.col("_reset").isNull() | (F.struct(*order) >= F.col("_reset")))
+    rows = own.select(F.col(user).alias("_u"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.col(kind).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    keys = ["_u", *[f"_o{k}" for k in range(len(order))]]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, kind_of = None, None, None
+
+        def folded() -> pa.RecordBatch:
+            points = [{"x": a, "y": b} for a, b in state[0]]
+            return pa.RecordBatch.from_arrays([pa.array([at], kind_of), pa.array([points], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], ["user", "points"])
+
+        for part in parts:
+            kind_of = part.schema.field("_u").type
+            for u, *event in zip(*(part.column(c).to_pylist() for c in ("_u", "_k", "_x", "_y")), strict=True):
+                if state is None or u != at:
+                    if state is not None:
+                        yield folded()
+                    at, state = u, ([], -1)
+                state = step(state, tuple(event), reach, most)
+        if state is not None:
+            yield folded()
+
+    schema = f"user {rows.schema['_u'].dataType.simpleString()}, points {POINTS}"
+    return rows.repartition("_u").sortWithinPartitions(*keys).mapInArrow(run, schema).withColumnRenamed("user", user)
+
+
 class Fold(StatefulProcessor):
     """State of a user: points and hold up to the watermark, and the events after it, which may still be joined by earlier ones."""
 
