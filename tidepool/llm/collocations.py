@@ -17,8 +17,8 @@ which cells are full (``PART_BITS`` at a time) and the patterns (``SHARD_BYTES``
 a pass over the texts, so that work grows faster than the text where candidates keep growing.
 
 Cases: null texts are empty; a null language is ``und``; pieces of fewer words have fewer phrases; repeated rows
-count as often as they stand; a language without candidates gives no rows, as an empty table does; very long
-texts are cut to slices at the ends of pieces for scanning; equal scores are ordered by count, then by phrase; extra columns are ignored.
+count as often as they stand; a language without candidates gives no rows, as an empty table does; a very long
+text is scanned whole, with a few bytes a letter in its task; equal scores are ordered by count, then by phrase; extra columns are ignored.
 """
 
 from __future__ import annotations
