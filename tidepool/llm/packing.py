@@ -51,7 +51,7 @@ BLOCK = 1 << 18
 #: Bytes of text of a part of the stream, unless that makes more than so many parts.
 PART_BYTES, PARTS = 4 << 20, 20_000
 #: Distinct chunks that a worker remembers, about 60 bytes each.
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 1_000_000
 #: New chunks that are encoded as one text, as a call for each costs more; where chunks begin with a space they are parted again.
 JOINED = 64
 #: Bytes that begin no white space character, so that a chunk may begin with them or with one space before them.
