@@ -10,25 +10,45 @@ COLOURS = ["yellow", "yellow", "red", "red", "blue", "blue", "black", "black", "
 RINGS = 10
 
 
-def ring_colour(x: Column, y: Column, size: int = 600, border: int = 3) -> Column:
+def _whole(v):
+    """Cut toward 0; a column stays one."""
+    return v.cast("int") if isinstance(v, Column) else int(v)
+
+
+def ring_colour(x: Column, y: Column, size: int | Column = 600, border: int = 3) -> Column:
     """Colour of a pixel, a ring being (inner, outer] on the squared distance, its border over the ring inside it."""
-    radius, centre = size // 2 - 2, size // 2
+    centre = _whole(size / 2)
+    radius = centre - 2
     d = (x - centre) * (x - centre) + (y - centre) * (y - centre)
     step = radius / RINGS
     within = lambda lo, hi: (d > lo * lo) & (d <= hi * hi)
     out = F.lit("black")
     painted = F.lit(None).cast("string")
     for i in range(RINGS - 1, -1, -1):  # outermost first; what comes later covers
-        inner, outer = int(i * step), int((i + 1) * step)
+        inner, outer = _whole(i * step), _whole((i + 1) * step)
         painted = F.when(within(inner, outer), COLOURS[i]).otherwise(painted)
         if i and i != 6:
-            edge = int(inner + border / 2)
+            edge = _whole(inner + border / 2)
             painted = F.when(within(inner, edge), "white" if i == 7 else "black").otherwise(painted)
-    x_ring = (int(step / 2 - border / 2), int(step / 2 + border / 2))
+    x_ring = (_whole(step / 2 - border / 2), _whole(step / 2 + border / 2))
     painted = F.when(within(*x_ring), "black").otherwise(painted)
     return F.coalesce(painted, out)
 
 
+def targets(sizes: DataFrame, size: str = "size") -> DataFrame:
+    """``sizes`` with a row for each pixel of a square of that side: x, y, colour."""
+    rows = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col(size) - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col(size) - 1)))
+    return rows.withColumn("colour", ring_colour(F.col("x"), F.col("y"), F.col(size)))
+
+
+def spokes_of(sizes: DataFrame, size: str = "size", every: int = 30) -> DataFrame:
+    """``sizes`` with the ends of a target's spokes: degrees, x, y."""
+    centre = F.col(size) / 2
+    radius = F.floor(centre) - 2
+    rows = sizes.withColumn("degrees", F.explode(F.sequence(F.lit(0), F.lit(359), F.lit(every))))
+    return rows.withColumns({"x": centre + radius * F.cos(F.radians("degrees")), "y": centre + radius * F.sin(F.radians("degrees"))})
+
+
 def pixels(spark: SparkSession, size: int = 600) -> DataFrame:
     n = spark.range(size * size)
     return n.select((F.col("id") % size).cast("int").alias("x"), F.floor(F.col("id") / size).cast("int").alias("y"))

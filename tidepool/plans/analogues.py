@@ -420,6 +420,40 @@ def spokes(spark, sf_dir):
     return s.select("degrees", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
+@query("""
+WITH g AS (SELECT DISTINCT p_size / 10.0 AS gamma FROM part)
+SELECT gamma, CAST(i AS INT) AS level, CAST(trunc(pow(i / 255.0, 1 / gamma) * 255.0) AS INT) AS v FROM g, (SELECT unnest(range(256)) AS i)""")
+def gamma_tables(spark, sf_dir):
+    """The 256 levels of each brightness that the rows ask for, made once for each."""
+    gs = t(spark, sf_dir, "part").select((F.col("p_size") / F.lit(10.0)).alias("gamma")).distinct()
+    return gs.select("gamma", F.posexplode(g.gamma_table(F.col("gamma"))).alias("level", "v"))
+
+
+@query("""
+SELECT n_nationkey, CAST(60 + 4 * n_nationkey AS INT) AS size, CAST(d AS INT) AS degrees,
+       round((60 + 4 * n_nationkey) / 2 + ((60 + 4 * n_nationkey) // 2 - 2) * cos(radians(d)), 6) AS x, round((60 + 4 * n_nationkey) / 2 + ((60 + 4 * n_nationkey) // 2 - 2) * sin(radians(d)), 6) AS y
+FROM nation, (SELECT unnest(range(0, 360, 30)) AS d)""")
+def spokes_by_size(spark, sf_dir):
+    s = raster.spokes_of(t(spark, sf_dir, "nation").select("n_nationkey", (60 + 4 * F.col("n_nationkey")).cast("int").alias("size")))
+    return s.select("n_nationkey", "size", "degrees", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+@query("""
+WITH s AS (SELECT n_nationkey, CAST(60 + 4 * n_nationkey AS INT) AS size FROM nation),
+b AS (SELECT *, size // 2 AS c, (size // 2 - 2) / CAST(10 AS DOUBLE) AS step FROM s),
+p AS (SELECT *, unnest(range(size)) AS x FROM b), q AS (SELECT *, unnest(range(size)) AS y FROM p),
+d AS (SELECT *, (x - c) ** 2 + (y - c) ** 2 AS d FROM q),
+r AS (SELECT *, len(list_filter(range(1, 10), lambda k: trunc(k * step) ** 2 < d)) AS ring FROM d),
+n AS (SELECT n_nationkey, size, CASE WHEN d <= 0 OR d > (c - 2) ** 2 THEN 'black' WHEN d > trunc(step / 2 - 1.5) ** 2 AND d <= trunc(step / 2 + 1.5) ** 2 THEN 'black'
+  WHEN ring >= 1 AND ring <> 6 AND d <= trunc(trunc(ring * step) + 1.5) ** 2 THEN CASE WHEN ring = 7 THEN 'white' ELSE 'black' END
+  ELSE ['yellow', 'red', 'blue', 'black', 'white'][CAST(ring // 2 AS INT) + 1] END AS colour FROM r)
+SELECT n_nationkey, size, colour, count(*) AS n FROM n GROUP BY ALL""")
+def target_rasters(spark, sf_dir):
+    """Pixels of each colour in targets of many sizes."""
+    sizes = t(spark, sf_dir, "nation").select("n_nationkey", (60 + 4 * F.col("n_nationkey")).cast("int").alias("size"))
+    return raster.targets(sizes).groupBy("n_nationkey", "size", "colour").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""
 SELECT p_partkey, CAST(round_even(w * least(800.0 / w, 600.0 / h), 0) AS INT) AS fit_w, CAST(round_even(h * least(800.0 / w, 600.0 / h), 0) AS INT) AS fit_h,
        CAST(greatest(1, trunc(p_size * 0.05)) AS INT) AS small FROM (SELECT *, 100.0 + p_partkey % 977 AS w, 90.0 + p_partkey % 653 AS h FROM part)""")
