@@ -175,6 +175,42 @@ def test_grid_is_all_pairs(spark, reach, disc):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def joined_rows(df):
+    """The most rows that a join of the plan gave."""
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+
+    def walk(node):
+        kids = node.children()
+        own = node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() and node.metrics().contains("numOutputRows") else 0
+        return max([own, *[walk(kids.apply(k)) for k in range(kids.size())]])
+
+    return walk(qe.executedPlan())
+
+
+@pytest.mark.parametrize("disc", [False, True])
+def test_least_of_crowds(spark, disc, monkeypatch):
+    """Most points of a cell out of reach, clicks of one id at several places, and work that does not grow with the crowd."""
+    rng = random.Random(7)
+    far = [(k, 1.5, 1.5) for k in range(60)] + [(60 + k, 0.1, rng.randrange(80) / 80) for k in range(20)]
+    asked = [(k, 0.05, 0.0) for k in range(20)] + [(20, 5.0, 5.0), (21, 0.2, 0.9), (21, 0.9, 0.9), (None, 0.1, 0.1)]
+    p, c = (spark.createDataFrame(rows, f"{k} long, x double, y double") for rows, k in ((far, "p"), (asked, "c")))
+    near = lambda a, b: (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 1 if disc else max(abs(a[1] - b[1]), abs(a[2] - b[2])) < 1
+    want = {a[0]: min((b[0] for o in asked if o[0] == a[0] is not None for b in far if near(o, b)), default=None) for a in asked}
+    for first in (1, 2, 32, 1000):
+        monkeypatch.setattr(grid, "FIRST", first)
+        rows = grid.hits(c, p, "c", "p", 1.0, disc).collect()
+        assert len(rows) == len(asked) and all(want[r.c] == r.p for r in rows)
+    monkeypatch.setattr(grid, "FIRST", 32)
+    crowd = spark.range(4000).selectExpr("id as p", "id % 10 / 100 as x", "0.0 as y")
+    clicks = spark.range(300).selectExpr("id as c", "0.05 as x", "0.0 as y")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert joined_rows(grid.hits(clicks, crowd, "c", "p", 1.0, disc)) <= 300 * 32
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_rows_by_number(spark, tmp_path):
     rows = frames.numbered(spark.range(1000).select((F.col("id") * 3).alias("k")), "k")
     write_numbered(rows, f"{tmp_path}/d", files=10)

@@ -370,7 +370,8 @@ def grid_hits(spark, sf_dir):
     at = lambda m: (F.col("event_id") * m % 60000) / F.lit(100.0)
     clicks = t(spark, sf_dir, "events").select("event_id", at(7919).alias("x"), at(104729).alias("y"))
     box = grid.hits(clicks, points, "event_id", "k", 10.0).withColumnRenamed("k", "box")
-    return grid.hits(box, points, "event_id", "k", 6.0, disc=True).select("event_id", "box", F.col("k").alias("disc"))
+    disc = grid.hits(clicks, points, "event_id", "k", 6.0, disc=True).groupBy(F.col("event_id").alias("e2")).agg(F.min("k").alias("disc"))
+    return box.join(disc, F.expr("event_id = e2"), "left").select("event_id", "box", "disc")
 
 
 @query(f"""
