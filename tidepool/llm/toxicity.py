@@ -9,6 +9,9 @@ are trained on halves of the sampled texts, all windows of them, and each window
 the mean of what they save; chance differs from pair to pair and cancels out.  Windows of toxic texts that save more than
 ``QUANTILE`` of the windows of ordinary texts are those that the second round trains the toxic dictionaries on, again on parts
 of the texts; ordinary windows that save as much go to the ordinary ones.  Passages that several texts repeat count once.
+Where there are enough texts, they are first dealt
+into kinds (such as languages) by the dictionaries of ordinary windows that shorten them most, and both rounds go kind by kind, as windows
+of a rare kind differ from those of a common one by more than by what is toxic; each dictionary holds a part for each kind.
 Samples are always whole windows.  ``PAIRS`` pairs are kept; windows go on from pair to pair while they save ``ONWARD`` bytes on average.
 
 A document's evidence is calibrated to a score by a logistic curve, fitted on labelled documents that the
@@ -48,6 +51,8 @@ WINDOW, STRIDE, ONWARD, MARGIN = 5, 4, 1.5, 2.0
 FOLDS, JUDGES, FIRST, QUANTILE, FEW = 4, 6, 8192, 0.998, 64
 #: Pairs of the model, bytes of what is trained and of the base, and the trainer's segment and match lengths.
 PAIRS, TRAINED, BASE, SEGMENT, MATCH = 8, 1024, 12288, 16, 6
+#: Kinds of text that are looked for, ordinary texts to find them, beginnings and turns; texts of each label that a kind has at least.
+KINDS, TYPICAL, STARTS, TURNS, ENOUGH = 4, 240, 4, 5, 80
 #: Bytes that a trained dictionary has before its content.
 TABLES = 1024
 WORD = re.compile(r"\w+")
@@ -157,23 +162,63 @@ def judged(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[
     return out[0], out[1]
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[tuple[bytes, bytes], ...]:
-    """The pairs, from texts in a given order; every sample that is trained on is a window."""
-    own, other = once(toxic), once(ordinary)
+def alike(own: list[list[bytes]], other: list[list[bytes]]) -> list[tuple[list[int], list[int]]]:
+    """(places of toxic, of ordinary texts) of each kind of text: each goes to the one of several dictionaries of ordinary windows that shortens it most.
+
+    The kinds are found among ordinary texts, from several beginnings, of which that with the shortest sum stays; a kind of too few texts is
+    given up and its texts go to the next best.
+    """
+    if min(len(own), len(other)) < 2 * ENOUGH:
+        return [(list(range(len(own))), list(range(len(other))))]
+    bodies = [b"".join(x) for x in other]
+    some = [i for i in range(len(other)) if bodies[i]][:TYPICAL]
+    best: tuple[float, list] = (math.inf, [])
+    for start in range(STARTS):
+        rng = random.Random(2000 + start)
+        kinds = [[i] for i in rng.sample(some, min(KINDS, len(some)))]
+        for _ in range(TURNS):
+            of = [compressor(b"".join(drawn(rng, [other[i] for i in kind], FIRST // 32))[:FIRST]) for kind in kinds if kind]
+            sizes = [[len(c.compress(bodies[i])) for c in of] for i in some]
+            nearest = [x.index(min(x)) for x in sizes]
+            kinds = [[i for i, k in zip(some, nearest, strict=True) if k == g] for g in range(len(of))]
+        if sizes and (total := sum(map(min, sizes))) < best[0]:
+            best = total, of
+    of = best[1]
+    sizes = [[[len(c.compress(b"".join(x))) for c in of] for x in texts] for texts in (own, other)]
+    while True:
+        nearest = [[min(range(len(of)), key=x.__getitem__) for x in side] for side in sizes]
+        least = [min(side.count(k) for side in nearest) for k in range(len(of))]
+        if len(of) < 2 or min(least) >= ENOUGH:
+            break
+        gone = least.index(min(least))
+        of = of[:gone] + of[gone + 1 :]
+        sizes = [[x[:gone] + x[gone + 1 :] for x in side] for side in sizes]
+    return [tuple([i for i, k in enumerate(side) if k == g] for side in nearest) for g in range(len(of))]
+
+
+def told(own: list[list[bytes]], other: list[list[bytes]], few: int) -> tuple[list[list[bytes]], list[bytes], list[list[bytes]]]:
+    """(windows of toxic texts that tell, ordinary windows that save as much, the other ordinary ones) of texts of one kind."""
     saved, fooled = judged(own, other)
     least = float(np.quantile([x for s in fooled for x in s] or [0.0], QUANTILE))
     every = sorted((x for s in saved for x in s), reverse=True)
-    bar = min(least, every[min(FEW, len(every)) - 1]) if every else least  # of few texts the best windows there are
+    bar = min(least, every[min(few, len(every)) - 1]) if every else least  # of few texts the best windows there are
     telling = [[w for w, x in zip(ws, s, strict=True) if x > least or bar < least and x >= bar] for ws, s in zip(own, saved, strict=True)]
-    telling = [ws for ws in telling if ws]
     hard = [w for ws, s in zip(other, fooled, strict=True) for w, x in zip(ws, s, strict=True) if x > least]
     plain = [[w for w, x in zip(ws, s, strict=True) if x <= least] for ws, s in zip(other, fooled, strict=True)]
+    return [ws for ws in telling if ws], hard, plain
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[tuple[bytes, bytes], ...]:
+    """The pairs, from texts in a given order; every sample that is trained on is a window."""
+    own, other = once(toxic), once(ordinary)
+    kinds = [told([own[i] for i in a], [other[i] for i in b], -(-FEW * len(a) // len(own))) for a, b in alike(own, other)]
     out = []
     for b in range(PAIRS):
         rng = random.Random(1000 + b)
-        some = [w for ws in rng.sample(telling, -(-3 * len(telling) // 4)) for w in ws]
-        base = b"".join(drawn(rng, plain, BASE // 16))[:BASE]
-        out.append(joint(base, trained(some, TRAINED), trained(hard + drawn(rng, plain, 12 * len(some)), TRAINED)))
+        some = [[w for ws in rng.sample(telling, -(-3 * len(telling) // 4)) for w in ws] for telling, _, _ in kinds]
+        base = b"".join(drawn(rng, [ws for _, _, plain in kinds for ws in plain], BASE // 16))[:BASE]
+        parts = [joint(b"", trained(own, TRAINED), trained(hard + drawn(rng, plain, 12 * len(own)), TRAINED)) for own, (_, hard, plain) in zip(some, kinds, strict=True)]
+        out.append(joint(base, *(b"".join(x) for x in zip(*parts, strict=True))))
     return tuple(out)
 
 
