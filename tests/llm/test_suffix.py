@@ -84,3 +84,15 @@ def test_very_long_texts(spark):
     assert [tuple(x) for x in got[2].spans] == [(0, 200), (201, 1201)] and bytes(got[2].kept) == b"!?"
     assert [tuple(x) for x in got[3].spans] == [(1, 300_000)] and bytes(got[3].kept) == b"z"
     assert [tuple(x) for x in got[4].spans][0] == (0, 150) and got[4].n_bytes == 270
+
+
+@pytest.mark.parametrize("n", [300, 5000, 70_000])
+def test_expansion_goes_on_from_the_sort(n):
+    rng = np.random.default_rng(n)
+    data = rng.choice(np.frombuffer(b"ab\xff", np.uint8), n)
+    data[n // 2 : n // 2 + n // 3] = data[: n // 3]
+    for depth in (7, 8, 40, 100):
+        _, _, rows, known, apart = suffix_dedup.parted(data, depth)
+        assert known == 0 if depth < 8 else 8 <= known <= depth
+        assert depth < 40 or known >= 24
+        assert (suffix_dedup.expand(rows, depth, known, apart) == suffix_dedup.expand(rows, depth)).all()

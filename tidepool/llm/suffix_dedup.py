@@ -8,7 +8,7 @@ and equal windows meet under one name.  Neighbouring windows of one name are one
 as one row of hashes; runs of equal content keep their first occurrence, and all later ones
 are marked.  Only names with several different runs are looked at byte by byte: their texts
 are put together in blocks, and on the transform of a block breadth-first backward extension
-parts the suffixes by common prefixes of 1, 2, 3 ... bytes.  At ``least`` it stops: suffixes not
+parts the suffixes by common prefixes of one byte more each time, from the longest that the sort has parted already.  At ``least`` it stops: suffixes not
 parted yet share that many bytes, and all but the first of each such class are marked.
 
 A name with more than ``MOST_RUNS`` different runs (one common line between ever other
@@ -84,27 +84,43 @@ def transform(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
 
     Suffixes that agree that far stand in any order.
     """
+    return parted(data, depth)[:3]
+
+
+def parted(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """``transform``, the longest length up to ``depth`` that the sort went through, and which rows begin an interval of equal prefixes of it.
+
+    Each turn sorts by as many ranks of the turn before as a key of 64 bits holds.  Later turns only
+    order rows within intervals, so that these stand where they stood.
+    """
     n = len(data)
     rank = np.zeros(n, np.uint64)
     for k in range(8):
         rank = (rank << np.uint64(8)) | np.roll(data, -k).astype(np.uint64)
+    bits = max((n - 1).bit_length(), 1)
     have, low = 8, np.empty(n, np.uint64)
+    known, apart = 0, np.arange(n) == 0
     while True:
         order = np.argsort(rank)
         key = rank[order]
-        new = key[1:] != key[:-1]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        if have <= depth:
+            known, apart = have, new
         if have >= depth or new.all():
             break
-        low[order] = np.cumsum(np.concatenate([[False], new]), dtype=np.uint64)
-        rank = (low << np.uint64(32)) | np.roll(low, -have)
-        have *= 2
+        low[order] = np.cumsum(new, dtype=np.uint64) - np.uint64(1)
+        times = min(max(64 // bits, 2), -(-depth // have))
+        rank = low
+        for k in range(1, times):
+            rank = (rank << np.uint64(bits)) | np.roll(low, -k * have)
+        have *= times
     inverse = np.empty(n, np.int32)
     inverse[order] = np.arange(n, dtype=np.int32)
-    return order, inverse, data[order - 1]
+    return order, inverse, data[order - 1], known, apart
 
 
-def expand(rows: np.ndarray, depth: int) -> np.ndarray:
-    """Which rows of a transform begin a new interval of equal ``depth``-byte prefixes.
+def expand(rows: np.ndarray, depth: int, known: int = 0, apart: np.ndarray | None = None) -> np.ndarray:
+    """Which rows of a transform begin a new interval of equal ``depth``-byte prefixes; ``apart``: which begin one of ``known``-byte prefixes, if known.
 
     Backward extension by c takes row p to the place of p among rows with byte c, behind
     all rows of lesser bytes. Rows next to each other after it are parted at length l + 1 if
@@ -112,12 +128,14 @@ def expand(rows: np.ndarray, depth: int) -> np.ndarray:
     only rows that are not parted yet are looked at.
     """
     back = np.argsort(rows, kind="stable").astype(np.int32)  # the row that extension takes to each place
-    byte = rows[back]
-    apart = np.concatenate([[True], byte[1:] != byte[:-1]])
+    if known < 1 or apart is None:
+        byte = rows[back]
+        known, apart = 1, np.concatenate([[True], byte[1:] != byte[:-1]])
+    apart = apart.copy()
     undecided = np.flatnonzero(~apart).astype(np.int32)
     here, there = back[undecided], back[undecided - 1]
     interval = np.cumsum(apart, dtype=np.int32)
-    for _ in range(1, depth):
+    for _ in range(known, depth):
         cut = interval[here] != interval[there]
         if cut.any():
             apart[undecided[cut]] = True
@@ -139,8 +157,8 @@ def later_windows(runs: list[bytes], at: np.ndarray, least: int) -> tuple[np.nda
     windows = size - least + 1
     run = np.repeat(np.arange(len(runs)), windows)
     inner = np.arange(len(run)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-    _, inverse, rows = transform(data, least)
-    kind = np.cumsum(expand(rows, least))[inverse[base[run] + inner]]
+    _, inverse, rows, known, apart = parted(data, least)
+    kind = np.cumsum(expand(rows, least, known, apart))[inverse[base[run] + inner]]
     lead = np.empty(kind.max() + 1, np.int64)
     lead[kind[::-1]] = np.arange(len(kind))[::-1]  # the first of each kind, as windows stand in their order
     of = lead[kind]
