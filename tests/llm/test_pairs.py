@@ -1,5 +1,6 @@
 """Similarity operators against brute force."""
 
+import pathlib
 import re
 from itertools import combinations
 
@@ -9,6 +10,7 @@ import pytest
 from tests.conftest import DATA
 from tidepool.llm import jaccard_join, vector_lsh
 from tidepool.llm.links import components
+from tidepool.llm.shared import shared_dir
 
 DOCS = "doc_id long, text string"
 
@@ -99,6 +101,36 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_tasks_and_files_by_their_links(spark):
+    """Rounds over few links ask for few tasks, however many partitions a shuffle has, and leave one table."""
+    links = [(k, k + 7) for k in range(300) if k % 50] + [(1000, k) for k in range(1001, 1200)]
+    rng = np.random.default_rng(3)
+    name = rng.permutation(1200).tolist()
+    links = [(name[a], name[b]) for a, b in links if b < 1200]
+    src = spark.createDataFrame(links, "a long, b long").repartition(16)
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    context, shared = spark.sparkContext, pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    files = lambda: set(shared.rglob("part-*"))
+    old = files()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few-tasks", "components")
+        got = {r.id: r.component for r in components(src).collect()}
+        track = context.statusTracker()
+        stages = {s for j in track.getJobIdsForGroup("few-tasks") for s in track.getJobInfo(j).stageIds}
+        done = sorted(info.numCompletedTasks for s in stages if (info := track.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    ids = {i for x in links for i in x}
+    assert got == closed(ids, links)
+    assert sum(n >= 97 for n in done) <= 6  # joins' own stages; a round had fifteen of them
+    assert len(files() - old) <= context.defaultParallelism
+
+
 def vectors_by_hand(rows, least):
     good = {}
     for i, v, label in rows:
