@@ -87,3 +87,47 @@ def test_very_long_text_and_extra_columns(spark):
 def test_no_rows(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
     assert run(spark, [(None, None), ("", "en")]) == []
+
+
+def test_texts_are_read_as_often_whatever_the_candidates(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "PART_BITS", 16)
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 300)
+    rows = texts(4) * 60  # 600,000 bytes, so that the sketch has more cells than a mask
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).mapInArrow(counted, DOCS)
+    got = sorted(tuple(r) for r in collocations.collocations(docs, least=600).collect())
+    assert got == sorted(by_hand(rows, least=600))
+    assert read.value <= 3 * len(rows)  # their size, the sketch, the counts
+
+
+def test_masks_of_parts_of_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "PART_BITS", 16)
+    monkeypatch.setattr(collocations, "FULL_BITS", 14)
+    monkeypatch.setattr(collocations, "CELL_BYTES", 1 / 8)
+    parts, masks = [], collocations.masks
+
+    def noted(full, bits):
+        for x in masks(full, bits):
+            parts.append(x[:2])
+            yield x
+
+    monkeypatch.setattr(collocations, "masks", noted)
+    rows = texts(5)
+    assert run(spark, rows, least=10) == sorted(by_hand(rows, least=10))
+    assert len(parts) > 1 and [x for x, _ in parts] == list(range(parts[0][1]))
+
+
+def test_letters_of_many_words(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SCAN_BYTES", 50)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(" ".join(rng.choices(words, weights=range(400, 0, -1), k=30)) + rng.choice([". ", "", "\t\tw1  w2 w1"]), rng.choice(["en", "fr"])) for _ in range(1500)]
+    for n in (2, 3):
+        monkeypatch.setattr(collocations, "LETTERS", n)
+        assert run(spark, rows, least=6) == sorted(by_hand(rows, least=6))

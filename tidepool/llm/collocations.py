@@ -1,32 +1,32 @@
 """Collocations: phrases whose words stand together more often than their frequencies explain.
 
-Three passes over the texts, each with whole counts:
+Two passes over the texts, each with whole counts:
 
 1. Every phrase of 1 to ``words`` words is hashed to a cell of a count-min sketch of one row, which grows
-   with the text (a cell for about four bytes).  Tasks send the cells that they filled, and their
-   sums, saturated at 255, are upper bounds of the phrases' counts.
+   with the text.  Tasks send the cells that they filled, and their sums, saturated at 255, are upper
+   bounds of the phrases' counts.
 2. Phrases in cells of ``least`` or more, whose parts are all in such cells too, are the candidates: a
-   phrase is never more frequent than its part.  Tasks send each of them once.
-3. Candidates are dealt by hash to shards of bounded size.  For each shard tasks compile an Aho-Corasick
-   automaton of patterns with a space as guard at both ends, and scan their texts, brought to the same
-   form, for overlapping matches; counts are summed.  Upper bounds are then forgotten: what is below
-   ``least`` goes, and scores come from exact counts.
-
-Two kinds of things grow with the corpus and are looked at in bounded portions: the bits that tell
-which cells are full (``PART_BITS`` at a time) and the patterns (``SHARD_BYTES`` at a time); each portion is
-a pass over the texts, so that work grows faster than the text where candidates keep growing.
+   phrase is never more frequent than its part.  Tasks gather texts and the candidates that stand in them, until
+   one or the other are many; then they compile an Aho-Corasick automaton of a language's candidates and scan its
+   texts for overlapping matches.  Both are written with ``LETTERS`` letters for each word of a candidate (words are told
+   apart by 64-bit hashes, frequent ones have the first letters), and with another one for other words and ends of pieces.  A
+   candidate stands in the automaton of each text that holds it, so that sums are whole counts.  Upper bounds are
+   then forgotten: what is below ``least`` goes, and scores come from exact counts.
+
+No text meets the candidates of other texts, so that work grows with the text, however many candidates there are.  Only
+the full cells are known to all tasks, as a mask of at most 2^``PART_BITS`` bits: cells of a larger sketch share
+bits, which makes candidates of phrases that counting then drops.  Beyond a full cell in 2^``FULL_BITS`` bits there is a
+pass for each part of them.
 
 Cases: null texts are empty; a null language is ``und``; pieces of fewer words have fewer phrases; repeated rows
 count as often as they stand; a language without candidates gives no rows, as an empty table does; a very long
-text is scanned whole, with a few bytes a letter in its task; equal scores are ordered by count, then by phrase; extra columns are ignored.
+text is worked on whole, with several numbers a word in its task, and scanned once for each ``SHARD_BYTES`` of its candidates; equal scores are ordered by count, then by phrase; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -41,24 +41,25 @@ from pyspark.sql import functions as F
 from .shared import named, stored
 from .textkit import LOWER, mix, span_hashes, text_slices
 
-#: Cells of a block of the sketch, as a power of two; cells whose bits are looked at in one pass; bytes of one automaton's patterns.
-BLOCK_BITS, PART_BITS, SHARD_BYTES = 16, 29, 3 << 20
+#: Cells of a block of the sketch, and bits of a mask of full cells, as powers of two; bytes of one automaton's patterns.
+BLOCK_BITS, PART_BITS, SHARD_BYTES = 16, 29, 8 << 20
+#: Bytes of text for a cell, and the bits that a mask has for each full cell as a power of two.
+CELL_BYTES, FULL_BITS = 16, 4
 #: Cells that a task gathers before it sums and sends them.
 HELD = 4 << 20
+#: Bytes of text that a task gathers before it looks for their candidates.
+TEXT_BYTES = 32 << 20
 #: Bytes of text for each bucket of candidates; as they are frequent, a bucket has few.
-BUCKET_BYTES = 16 << 20
-#: Patterns whose counts are sent together.
-COUNTED = 4096
-#: Bytes of text that are scanned at a time.
-SCAN_BYTES = 1 << 20
+BUCKET_BYTES = 64 << 20
+#: Letters for a word, and letters that are scanned at a time.
+LETTERS, SCAN_BYTES = 2, 1 << 20
 
-SPACES = re.compile(b" {2,}")
 WORD, SPACE, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = SPACE
 KIND[list(b".,;:!?\n\x0b\x0c\r")] = END
-#: Texts as the automata see them: A-Z lower-cased, tabs as spaces, ends of pieces as line ends.
-PLAIN = bytes(0x20 if KIND[b] == SPACE else 0x0A if KIND[b] == END else int(LOWER[b]) for b in range(256))
+#: A-Z lower-cased, tabs as spaces.
+PLAIN = np.where(KIND == SPACE, 0x20, LOWER).astype(np.uint8)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +114,7 @@ def packed_cells(cells: np.ndarray) -> tuple[list[int], list[bytes]]:
 
 
 def full_cells(src: DataFrame, bits: int, words: int, least: int) -> DataFrame:
-    """block, full (a bit for each cell of ``least`` or more), and rows of a negative block with lang, n: words of each language."""
+    """block, full (the places of its cells of ``least`` or more), and rows of a negative block with lang, n: words of each language."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -148,8 +149,10 @@ def full_cells(src: DataFrame, bits: int, words: int, least: int) -> DataFrame:
         """Rows of a block stand together."""
         sums, at = np.zeros(1 << BLOCK_BITS, np.uint16), None
 
-        def bits_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(sums >= min(least, 255)).tobytes()], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], ["block", "full", "lang", "n"])
+        def full_of() -> Iterator[pa.RecordBatch]:
+            places = np.flatnonzero(sums >= min(least, 255)).astype("<u2")
+            if len(places):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([places.tobytes()], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], ["block", "full", "lang", "n"])
 
         for batch in batches:
             for block, cells, lang, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "lang", "n")), strict=True):
@@ -157,42 +160,155 @@ def full_cells(src: DataFrame, bits: int, words: int, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.array([lang], pa.string()), pa.array([n], pa.int64())], ["block", "full", "lang", "n"])
                     continue
                 if block != at:
-                    if at is not None and (sums >= min(least, 255)).any():
-                        yield bits_of()
+                    if at is not None:
+                        yield from full_of()
                     sums[:], at = 0, block
                 m = len(cells) // 3
                 place = np.frombuffer(cells, "<u2", m)
                 sums[place] = np.minimum(sums[place] + np.frombuffer(cells, np.uint8, m, 2 * m), 255)
-        if at is not None and (sums >= min(least, 255)).any():
-            yield bits_of()
+        if at is not None:
+            yield from full_of()
 
     filled = src.mapInArrow(fill, "block long, cells binary, lang string, n long")
     return filled.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, full binary, lang string, n long")
 
 
-def candidates(src: DataFrame, full: DataFrame, bits: int, words: int, buckets: int) -> DataFrame:
-    """phrase: those whose cells, and their parts' cells, are full; of one language or another. Tasks send lists of them by bucket."""
-    part_bits, found = min(bits, PART_BITS), None
-    for part in range(1 << (bits - part_bits)):
-        lo = part << (part_bits - BLOCK_BITS)
-        rows = full.where((F.col("block") >= lo) & (F.col("block") < lo + (1 << (part_bits - BLOCK_BITS)))).select("block", "full").collect()  # at most 64 MB
+def masks(full: DataFrame, bits: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number, how many there are, bits) of each mask.  Cells that lie multiples of its size apart share a bit, or have bits in other masks."""
+    part_bits, parts = min(bits, PART_BITS), 1
+    n = (full.agg(F.sum(F.octet_length("full"))).first()[0] or 0) // 2
+    while parts < 1 << (bits - part_bits) and n > parts << (part_bits - FULL_BITS):
+        parts *= 2
+    for part in range(parts):
         mask = np.zeros(1 << (part_bits - 3), np.uint8)
-        for r in rows:
-            at = (r.block - lo) << (BLOCK_BITS - 3)
-            mask[at : at + (1 << (BLOCK_BITS - 3))] = np.frombuffer(r.full, np.uint8)
-        held = src.sparkSession.sparkContext.broadcast(mask)
-        del mask, rows
-
-        def look(batches: Iterator[pa.RecordBatch], part: int = part, held=held) -> Iterator[pa.RecordBatch]:
-            mask, seen, out = held.value, np.empty(0, np.uint64), {}
+        own = F.pmod(F.shiftright("block", part_bits - BLOCK_BITS), F.lit(parts)) == part
+        for r in full.where(own).select("block", "full").collect():  # about 64 MB at most
+            at = (r.block & ((1 << (part_bits - BLOCK_BITS)) - 1)) << (BLOCK_BITS - 3)
+            place = np.frombuffer(r.full, "<u2")
+            np.bitwise_or.at(mask[at : at + (1 << (BLOCK_BITS - 3))], place >> 3, (128 >> (place & 7)).astype(np.uint8))
+        yield part, parts, mask
+
+
+class Waiting:
+    """Texts of a language and the candidates that stand in them."""
+
+    def __init__(self):
+        self.hashes: list[np.ndarray] = []
+        self.begins: list[np.ndarray] = []
+        self.first: list[np.ndarray] = []
+        self.length: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.phrases: list[bytes] = []
+        self.words = self.size = 0
+
+    def read(self, hashes: np.ndarray, begins: np.ndarray) -> None:
+        """Hashes of words that follow each other, and which of them begin a piece."""
+        self.hashes.append(hashes)
+        self.begins.append(begins)
+        self.words += len(hashes)
+
+    def look_for(self, phrases: list[bytes], keys: np.ndarray, first: np.ndarray, words: int) -> None:
+        """Candidates of so many words, their hashes, and where one of each begins."""
+        self.phrases += phrases
+        self.keys.append(keys)
+        self.first.append(first)
+        self.length.append(np.full(len(first), words, np.int8))
+        self.size += sum(map(len, phrases)) + 3 * len(phrases)
+
+    def letters(self, first: np.ndarray, length: np.ndarray, letters: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """(the texts by the words of some candidates, where each candidate begins and ends, which words stand there, where runs of such words end)."""
+        hashes, begins = np.concatenate(self.hashes), np.concatenate(self.begins)
+        known = np.unique(hashes[np.concatenate([first[length > k] + k for k in range(length.max())])])
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        kept = np.flatnonzero(known[at] == hashes)
+        at = at[kept]
+        rank = np.empty(len(known), np.int64)
+        rank[np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")] = np.arange(len(known))
+        word = rank[at]
+        base = math.ceil(len(known) ** (1 / letters)) + 1
+        apart = begins[kept] | (np.diff(kept, prepend=-2) != 1)
+        place = letters * np.arange(len(kept)) + np.cumsum(apart)
+        out = np.zeros(place[-1] + letters, "<u4")
+        for k in range(letters):
+            out[place + k] = 1 + k * base + word // base ** (letters - 1 - k) % base
+        own = np.searchsorted(kept, first)
+        order = np.zeros(len(own), np.uint64)  # by the first three words
+        for k in range(3):
+            order = order << np.uint64(21) | np.where(length > k, word[np.minimum(own + k, len(word) - 1)] + 1, 0).astype(np.uint64)
+        return out.tobytes().decode("utf-32-le"), np.stack([place[own], place[own + length - 1] + letters]), np.argsort(order, kind="stable"), place[apart] - 1
+
+    def counts(self, shard_bytes: int, scan_bytes: int, letters: int) -> np.ndarray:
+        """How often each of the candidates stands in the texts."""
+        import ahocorasick
+
+        first, length = np.concatenate(self.first), np.concatenate(self.length)
+        found = np.zeros(len(first), np.int64)
+        size = np.cumsum([len(x) + 3 for x in self.phrases])
+        cut = [*np.flatnonzero(np.diff(size // shard_bytes, prepend=-1)).tolist(), len(size)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            text, span, order, ends = self.letters(first[lo:hi], length[lo:hi], letters)
+            auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for k, a, b in zip(order.tolist(), *span[:, order].tolist(), strict=True):  # nodes list their children as they come: the frequent first
+                auto.add_word(text[a:b], k)
+            auto.make_automaton()
+            at = [*ends[np.flatnonzero(np.diff(ends // scan_bytes, prepend=-1))].tolist(), len(text)]
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                seen = np.fromiter(map(itemgetter(1), auto.iter(text[x:y])), np.int32)
+                found[lo:hi] += np.bincount(seen, minlength=hi - lo)
+        return found
+
+    def sent(self, lang: str, buckets: int, n: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket: its phrases and their counts, compressed."""
+        bucket = (np.concatenate(self.keys) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, first = np.unique(bucket[order], return_index=True)
+        cut = [*first.tolist(), len(order)]
+        parts = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        phrases = [zlib.compress(b"\n".join([self.phrases[i] for i in x.tolist()]), 1) for x in parts]
+        counts = [zlib.compress(n[x].astype("<i8").tobytes(), 1) for x in parts]
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array([lang] * len(own), pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "lang", "phrases", "counts"])
+
+
+SENT, KNOWN = "bucket long, lang string, phrases binary, counts binary", "lang string, phrase string, n long"
+
+
+def frequent(src: DataFrame, full: DataFrame, bits: int, words: int, least: int, buckets: int) -> DataFrame:
+    """lang, phrase, n: the phrases that stand ``least`` times or more in texts of a language."""
+    found = None
+    for part, parts, mask in masks(full, bits):
+        held, part_bits = src.sparkSession.sparkContext.broadcast(mask), len(mask).bit_length() + 2
+
+        def scan(batches: Iterator[pa.RecordBatch], part: int = part, parts: int = parts, held=held, part_bits: int = part_bits) -> Iterator[pa.RecordBatch]:
+            mask, seen = held.value, np.empty(0, np.uint64)
+            waiting: dict[str, Waiting] = {}
+            size = 0
+
+            def send() -> Iterator[pa.RecordBatch]:
+                while waiting:
+                    lang, own = waiting.popitem()
+                    if own.phrases:
+                        yield own.sent(lang, buckets, own.counts(SHARD_BYTES, SCAN_BYTES, LETTERS))
+
             for batch in batches:
-                own = seeds(batch)
+                names, own = batch.column("lang").to_pylist(), seeds(batch)
                 for lo, _, data, offsets in text_slices(batch, "t"):
                     start, end, piece, text = word_spans(data, offsets)
-                    lower, before = LOWER[data].tobytes(), None
+                    if not len(start):
+                        continue
+                    plain, before = PLAIN[data].tobytes(), None
+                    solid = np.concatenate([[0], np.cumsum(end - start)])
+                    kinds, kind = np.unique(np.array(names[lo : lo + len(offsets) - 1], object), return_inverse=True)
+                    kind, place = kind[text], np.empty(len(start), np.int64)  # of each word: its language, its place among that language's words
+                    for i, lang in enumerate(kinds.tolist()):
+                        at = np.flatnonzero(kind == i)
+                        place[at] = waiting.setdefault(lang, Waiting()).words + np.arange(len(at))
+                    begins = np.concatenate([[True], piece[1:] != piece[:-1]])
                     for k, (h, ok) in enumerate(phrase_hashes(data, start, end, piece, own[lo + text], words)):
+                        if k == 0:
+                            for i, lang in enumerate(kinds.tolist()):
+                                waiting[lang].read(h[kind == i], begins[kind == i])
                         cell = h >> np.uint64(64 - bits)
-                        here = (cell >> np.uint64(part_bits)) == part
+                        here = (cell >> np.uint64(part_bits)) % np.uint64(parts) == part
                         cell = (cell & np.uint64((1 << part_bits) - 1)).astype(np.int64)
                         hot = ok & ((mask[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool) | ~here)
                         if before is not None:
@@ -204,118 +320,43 @@ def candidates(src: DataFrame, full: DataFrame, bits: int, words: int, buckets:
                         new = (known == len(seen)) | (seen[np.minimum(known, len(seen) - 1)] != key) if len(seen) else np.ones(len(key), bool)
                         seen = np.insert(seen, known[new], key[new])
                         at = at[first[new]]
-                        for a, b in zip(start[at].tolist(), end[at + k].tolist(), strict=True):
-                            phrase = b" ".join(lower[a:b].split())
-                            out.setdefault(zlib.crc32(phrase) % buckets, []).append(phrase)
-                    if len(seen) > HELD:  # bounds memory; what was sent may be sent again
-                        yield lists(out)
-                        seen, out = np.empty(0, np.uint64), {}
-            yield lists(out)
-
-        own = src.mapInArrow(look, "bucket long, phrases binary")
-        found = own if found is None else found.unionByName(own)
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "phrase string")
-
-
-def lists(by: dict[int, list[bytes]]) -> pa.RecordBatch:
-    """A row for each bucket: its phrases, compressed."""
-    return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([zlib.compress(b"\n".join(sorted(x)), 1) for x in by.values()], pa.binary())], ["bucket", "phrases"])
-
-
-def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each phrase of a bucket once; rows of a bucket stand together."""
-    at, own = None, set()
-    for batch in batches:
-        for bucket, phrases in zip(batch.column("bucket").to_pylist(), batch.column("phrases").to_pylist(), strict=True):
-            if bucket != at:
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string())], ["phrase"])
-                at, own = bucket, set()
-            own.update(zlib.decompress(phrases).split(b"\n"))
-    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string())], ["phrase"])
-
-
-@functools.lru_cache(maxsize=1)
-def automaton(patterns: bytes):
-    """A worker keeps the automaton of the shard that it is at."""
-    import ahocorasick
-
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, x in enumerate(patterns.decode().split("\n")):
-        out.add_word(f" {x} ", k)
-    out.make_automaton()
-    return out
-
-
-def scannable(text: bytes) -> bytes:
-    """Words with one space between, pieces with a line end between spaces."""
-    return b" " + SPACES.sub(b" ", text.translate(PLAIN).replace(b"\n", b" \n ")) + b" "
-
-
-def counts(src: DataFrame, phrases: DataFrame) -> DataFrame:
-    """lang, phrase, n: how often each phrase stands in texts of each language."""
-    size = phrases.agg(F.sum(F.octet_length("phrase") + 3)).first()[0] or 0
-    shards, spark, found = max(1, math.ceil(size / SHARD_BYTES)), src.sparkSession, None
-    dealt = stored(phrases.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int")).repartition(min(shards, 1000), "shard"), "phrase-shards")
-    for shard in range(shards if size else 0):
-        own = [r.phrase for r in dealt.where(F.col("shard") == shard).select("phrase").collect()]  # about SHARD_BYTES, as they are dealt by hash
-        if not own:
-            continue
-        held = spark.sparkContext.broadcast("\n".join(own).encode())
-        del own
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            found, second, auto = {}, itemgetter(1), automaton(held.value)
-            waiting: dict[str, list[bytes]] = {}
-            size = Counter()
-
-            def look(lang: str) -> None:
-                found.setdefault(lang, Counter()).update(map(second, auto.iter(b"\n".join(waiting.pop(lang)).decode())))
-                size[lang] = 0
+                        for i, lang in enumerate(kinds.tolist()):
+                            some = at[kind[at] == i]
+                            first, last = start[some], end[some + k]
+                            phrases = [plain[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                            for j in np.flatnonzero(last - first != solid[some + k + 1] - solid[some] + k).tolist():
+                                phrases[j] = b" ".join(phrases[j].split())
+                            waiting[lang].look_for(phrases, h[some], place[some], k + 1)
+                    size += len(data)
+                    if size >= TEXT_BYTES or max(x.size for x in waiting.values()) >= SHARD_BYTES:
+                        yield from send()
+                        seen, size = np.empty(0, np.uint64), 0
+            yield from send()
 
-            for batch in batches:
-                names = batch.column("lang").to_pylist()
-                for lo, _, data, offsets in text_slices(batch, "t"):
-                    raw = data.tobytes()
-                    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                        lang = names[lo + k]
-                        waiting.setdefault(lang, []).append(scannable(raw[a:b]))
-                        size[lang] += b - a
-                        if size[lang] >= SCAN_BYTES:
-                            look(lang)
-            for lang in list(waiting):
-                look(lang)
-            for lang, own in found.items():
-                at = np.array(sorted(own), np.int64)
-                n = np.array([own[i] for i in at.tolist()], np.int64)
-                blocks, first = np.unique(at // COUNTED, return_index=True)
-                cut = [*first.tolist(), len(at)]
-                packed = [(at[x:y] % COUNTED).astype("<u2").tobytes() + n[x:y].astype("<i8").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(blocks), pa.string()), pa.array(blocks), pa.array(packed, pa.binary())], ["lang", "block", "counts"])
-
-        def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            """Sums of each language and block, whose rows stand together."""
-            names, at, sums = held.value.decode().split("\n"), None, np.zeros(COUNTED, np.int64)
-
-            def summed() -> pa.RecordBatch:
-                some = np.flatnonzero(sums)
-                return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(some), pa.string()), pa.array([names[at[1] * COUNTED + i] for i in some.tolist()], pa.string()), pa.array(sums[some])], ["lang", "phrase", "n"])
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sums of each bucket, whose rows stand together."""
+            at, sums = None, {}
+
+            def summed() -> Iterator[pa.RecordBatch]:
+                for lang, own in sums.items():
+                    known = [(x, n) for x, n in own.items() if n >= least]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(known), pa.string()), pa.array([x for x, _ in known], pa.binary()).cast(pa.string()), pa.array([n for _, n in known], pa.int64())], ["lang", "phrase", "n"])
 
             for batch in batches:
-                for *key, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "block", "counts")), strict=True):
-                    if key != at:
-                        if at is not None:
-                            yield summed()
-                        at, sums = key, np.zeros(COUNTED, np.int64)
-                    m = len(packed) // 10
-                    sums[np.frombuffer(packed, "<u2", m)] += np.frombuffer(packed, "<i8", m, 2 * m)
-            if at is not None:
-                yield summed()
-
-        scanned = src.mapInArrow(scan, "lang string, block long, counts binary").repartition("lang", "block").sortWithinPartitions("lang", "block")
-        part = stored(scanned.mapInArrow(add, "lang string, phrase string, n long"), "phrase-counts")
+                for bucket, lang, phrases, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "phrases", "counts")), strict=True):
+                    if bucket != at:
+                        yield from summed()
+                        at, sums = bucket, {}
+                    own = sums.setdefault(lang, {})
+                    for x, k in zip(zlib.decompress(phrases).split(b"\n"), np.frombuffer(zlib.decompress(n), "<i8").tolist(), strict=True):
+                        own[x] = own.get(x, 0) + k
+            yield from summed()
+
+        sent = src.mapInArrow(scan, SENT).repartition("bucket").sortWithinPartitions("bucket")
+        known = stored(sent.mapInArrow(add, KNOWN), "phrase-counts")
         held.unpersist()
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], "lang string, phrase string, n long")
+        found = known if found is None else found.unionByName(known)
+    return found
 
 
 def joined(words: Column, first: Column | int, size: Column) -> Column:
@@ -330,11 +371,10 @@ def collocations(docs: DataFrame, least: int = 100, words: int = 5, top: int = 2
     """
     src = named(docs, t=text, lang=lang).select("t", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    bits = max(BLOCK_BITS, math.ceil(math.log2(max(size / 4, 1))))
+    bits = max(BLOCK_BITS, math.ceil(math.log2(max(size / CELL_BYTES, 1))))
     full = stored(full_cells(src, bits, words, least), "full-cells")
     total = full.where("block < 0").groupBy(F.col("lang").alias("lang2")).agg(F.sum("n").alias("total"))  # a row per language
-    phrases = stored(candidates(src, full.where("block >= 0"), bits, words, math.ceil(size / BUCKET_BYTES) + 16), "phrases")
-    known = counts(src, phrases).where(F.col("n") >= least)
+    known = frequent(src, full.where("block >= 0"), bits, words, least, math.ceil(size / BUCKET_BYTES) + 16)
     known = stored(known.withColumn("size", F.size(F.split("phrase", " "))), "known-phrases")
 
     longer = known.where("size > 2").withColumn("w", F.split("phrase", " "))
