@@ -92,7 +92,8 @@ def test_no_rows(spark):
 def test_texts_are_read_as_often_whatever_the_candidates(spark, monkeypatch):
     monkeypatch.setattr(collocations, "PART_BITS", 16)
     monkeypatch.setattr(collocations, "SHARD_BYTES", 300)
-    rows = texts(4) * 60  # 600,000 bytes, so that the sketch has more cells than a mask
+    monkeypatch.setattr(collocations, "CELL_BYTES", 1, raising=False)
+    rows = texts(4) * 60  # 891,600 bytes: 16 cells of the sketch share a bit of the mask
     read = spark.sparkContext.accumulator(0)
 
     def counted(batches):
